@@ -13,7 +13,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm.tables import partitions
@@ -23,7 +23,7 @@ LEAST_GROUPS = 48
 SENT = "kind int, b int, g int, body binary"
 """kind: the step of the exchange; b: bucket, g: group; body: packed arrays."""
 
-_KINDS = (np.uint8, np.uint32, np.uint64, np.int64, np.float64, np.int32, np.float32)
+_KINDS = (np.uint8, np.uint16, np.uint32, np.uint64, np.int64, np.float64)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -46,29 +46,34 @@ def groups_for(size: int, group_bytes: int = GROUP_BYTES) -> int:
     return max(1, min(LEAST_GROUPS, -(-size // (1 << 16))), -(-size // group_bytes))
 
 
-def grouped(docs: DataFrame, n_groups: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """g, doc_id, body: rows dealt to groups, texts compressed for the exchange (null: empty)."""
+def grouped(docs: DataFrame, n_groups: int, doc_id: str = "doc_id", text: str = "text", flag: Column | None = None) -> DataFrame:
+    """g, doc_id, flag, body: rows dealt to groups, texts compressed for the exchange (null: empty)."""
 
     def squeeze(batches):
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            body = [z.compress(t.as_buffer()) if t.is_valid else b"" for t in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(body, pa.binary())], ["g", "doc_id", "body"])
+            body = [z.compress(t.as_buffer()) if t.is_valid else b"" for t in batch.column(3).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(body, pa.binary())], ["g", "doc_id", "flag", "body"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     g = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n_groups)).cast("int")
-    rows = docs.select(g.alias("g"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(squeeze, f"g int, doc_id {kind}, body binary")
+    rows = docs.select(g.alias("g"), F.col(doc_id).alias("doc_id"), (F.lit(False) if flag is None else flag).alias("flag"), F.col(text).alias("text")).mapInArrow(squeeze, f"g int, doc_id {kind}, flag boolean, body binary")
     return rows.repartition(max(partitions(docs.sparkSession), min(n_groups, 2000) // 3), "g")
 
 
 def opened(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
     """Ids and block of a group, always in the same order: by id, null last, then text."""
+    return flagged(table)[:3]
+
+
+def flagged(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     z = zstandard.ZstdDecompressor()
-    rows = [(i is None, 0 if i is None else i, z.decompress(b) if b else b"") for i, b in zip(table.column("doc_id").to_pylist(), table.column("body").to_pylist(), strict=True)]
+    columns = (table.column(c).to_pylist() for c in ("doc_id", "body", "flag"))
+    rows = [(i is None, 0 if i is None else i, z.decompress(b) if b else b"", bool(f)) for i, b, f in zip(*columns, strict=True)]
     rows.sort()
     off = np.zeros(len(rows) + 1, np.int64)
     np.cumsum([len(r[2]) for r in rows], out=off[1:])
-    return [None if r[0] else r[1] for r in rows], np.frombuffer(b"".join(r[2] for r in rows), np.uint8), off
+    return [None if r[0] else r[1] for r in rows], np.frombuffer(b"".join(r[2] for r in rows), np.uint8), off, np.array([r[3] for r in rows], bool)
 
 
 def sent(kind: int, g: int, buckets: list[tuple[int, bytes]]) -> pa.Table:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import language, mixing, quality, sharding, substrings, suffixes
+from lexquarry.llm import katz, language, mixing, neardup, quality, sharding, substrings, suffixes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def remainder(n: int, doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(n))
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = katz.scored(documents(spark, sf_dir), remainder(10) != 0)
+    return found.withColumn("held_out", remainder(10) == 0)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed(documents(spark, sf_dir)).drop("kept")
 
@@ -40,11 +45,15 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(documents(spark, sf_dir)).drop("kept")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.grouped(documents(spark, sf_dir))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.fit(docs.where(remainder(4) != 2))
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "cosine")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_sharding, op4_quality, op5_mixing, op6_substring_dedup, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_katz, op2_suffix_dedup, op3_sharding, op4_quality, op5_mixing, op6_substring_dedup, op8_near_dedup, op9_language)}
 ORACLES: dict[str, str] = {}
