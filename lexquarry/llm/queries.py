@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import katz, language, mixing, neardup, quality, sharding, substrings, suffixes
+from lexquarry.llm import decontamination, katz, language, mixing, neardup, quality, sharding, substrings, suffixes, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(documents(spark, sf_dir)).drop("kept")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decontamination.matched(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", F.explode("items").alias("x")).select("doc_id", "x.item_id", "x.distance", "x.end")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(documents(spark, sf_dir))
 
@@ -55,5 +61,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "cosine")
 
 
-QUERIES = {f.__name__: f for f in (op1_katz, op2_suffix_dedup, op3_sharding, op4_quality, op5_mixing, op6_substring_dedup, op8_near_dedup, op9_language)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(remainder(3) != 1).select("doc_id", "toxic"))
+    return toxicity.score(docs, model).withColumns({"held_out": remainder(3) == 1, "predicted": (F.col("score") >= toxicity.CUT).cast("int")})
+
+
+QUERIES = {f.__name__: f for f in (op1_katz, op2_suffix_dedup, op3_sharding, op4_quality, op5_mixing, op6_substring_dedup, op7_decontamination, op8_near_dedup, op9_language, op10_toxicity)}
 ORACLES: dict[str, str] = {}
