@@ -1,37 +1,50 @@
-"""The corpus pipeline: language ID, near-duplicates, decontamination, mixing, sharding."""
+"""The corpus pipeline: language ID, near-duplicates, benchmark decontamination, mixing, sharding."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import language, mixing, sharding
+from lexquarry.llm import decontamination, language, mixing, neardup, sharding
 from lexquarry.llm.tables import written
 
 MIN_LANGUAGE_SCORE = 0.3
-"""A text that has letters is rejected below this share of its closest language; a text without letters always is."""
+"""A text with letters goes if its closest language has a smaller share; a text without letters always goes."""
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a known language."""
-    model = language.fit(docs)
-    found = language.identify(docs, model)
+    """Drops documents without a recognisable language. Labels train the profiles; the text alone decides."""
+    found = language.identify(docs, language.fit(docs))
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group, and one row per id; rows without an id stay."""
+    gone = neardup.grouped(docs).where("NOT kept").select("doc_id").distinct()
+    stay = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return stay.select(docs.columns).unionAll(docs.where("doc_id IS NULL"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.matched(docs, benchmark).where(F.size("items") == 0).select(docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as often as the mix takes it."""
     mixed = mixing.mix(docs.withColumn("_tokens", mixing.n_words("text")), size="_tokens")
     return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard and place in it."""
+    """All rows with their shard and place in it; copies of a document are drawn as separate rows."""
     return sharding.shard(docs, 8, keys=["doc_id", "source", "lang", "n_chars"])
 
 
-STAGES = [("language", identify), ("mix", mix), ("shard", shard)]
+STAGES = [("language", identify), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
 ORACLE_SQL = None
+"""SQL can't express the language profiles, Unicode edit matching and tilted rates; tests compare with brute force."""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
