@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.llm.tables import partitions
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 3 << 20
 LEAST_GROUPS = 48
 SENT = "kind int, b int, g int, body binary"
 """kind: the step of the exchange; b: bucket, g: group; body: packed arrays."""

@@ -35,7 +35,7 @@ from lexquarry.llm.text import Hasher, first_min, mix, ragged
 LENGTH = 400
 ANCHOR = 100
 HOT = 20_000
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
 SETTLED, SEND, ASK, SPREAD = 1, 2, 4, 8
@@ -84,16 +84,16 @@ def refine(rank: np.ndarray, column: np.ndarray, todo: np.ndarray) -> np.ndarray
 def _eights(buf: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place as a number that sorts like them; zeros follow the end."""
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    return np.ndarray((len(buf),), ">u8", padded, 0, (1,))
+    return np.ndarray((len(buf),), ">u8", padded, 0, (1,)).astype(np.uint64)
 
 
 def _by_bytes(rank: np.ndarray, eights: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
     """Refines rank by n bytes from each place; returns what is still tied."""
     todo = np.arange(len(places))
     for k in range(0, n, 8):
-        x = eights[np.minimum(places[todo] + k, len(eights) - 1)].astype(np.uint64)
+        x = eights[np.minimum(places[todo] + k, len(eights) - 1)]
         if n - k < 8:
-            x >>= np.uint64(8 * (8 - (n - k)))
+            x = x >> np.uint64(8 * (8 - (n - k)))
         todo = refine(rank, x, todo)
     return todo
 
@@ -160,15 +160,20 @@ class Stretches:
         empty = np.zeros(0, np.int64)
         self.start = self.stop = self.anchor = empty
         if n >= length:
-            grams = hasher.spans(np.arange(n - anchor + 1), np.arange(anchor, n + 1))
-            key = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
-            pick = (first_min(key, length - anchor + 1) & _LOW).astype(np.int64)
-            row = np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
-            at = np.flatnonzero(row[: n - length + 1] == row[length - 1 :])
-            if len(at):
-                new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (pick[at[1:]] != pick[at[:-1]])])
-                self.start, self.stop = at[new], at[np.r_[new[1:], len(at)] - 1] + 1
-                self.anchor = pick[self.start]
+            pick = first_min(hasher.keys(anchor), length - anchor + 1)
+            pick &= _LOW
+            # a stretch ends where the anchor changes, and a row's last suffix starts `length` before its end
+            inside = np.zeros(n - length + 2, bool)
+            for a, b in zip(self.off[:-1], self.off[1:] - length + 1, strict=True):
+                inside[a : max(a, b)] = True
+            turn = np.r_[True, pick[1:] != pick[:-1], True]
+            turn[self.off[self.off < len(turn)]] = True
+            start = np.flatnonzero(inside[:-1] & turn[:-1])
+            self.start = start
+            closes = turn | ~inside
+            at = np.flatnonzero(closes)
+            self.stop = at[np.searchsorted(at, start, "right")]
+            self.anchor = pick[start].astype(np.int64)
         under = hasher.spans(self.anchor, self.anchor + anchor)
         whole = hasher.spans(self.start, self.stop + length - 1) + mix((self.anchor - self.start).astype(np.uint64))
         bucket = under % np.uint64(n_buckets)

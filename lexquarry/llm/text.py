@@ -75,7 +75,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n + 1).bit_length())
+    size = -(-(n + 1) // (1 << 20)) << 20 if n > 1 << 16 else 1 << 17
     up, down = _powers(size)
     return up[: n + 1], down[: n + 1]
 
@@ -100,6 +100,15 @@ class Hasher:
         self.pre = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(table[buf] * self.up[: len(buf)], out=self.pre[1:])
 
+    def keys(self, width: int) -> np.ndarray:
+        """For every place, a key of the `width` bytes from it: their hash above, the place in the lower 32 bits."""
+        n = len(self.pre) - width
+        out = (self.pre[width:] - self.pre[:n]) * self.down[:n]
+        out *= U(0xBF58476D1CE4E5B9)
+        out &= U(0xFFFFFFFF00000000)
+        out |= np.arange(n, dtype=np.uint64)
+        return out
+
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.pre[end] - self.pre[start]) * self.down[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
@@ -118,6 +127,17 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
 
 def first_min(key: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each `width` consecutive keys; len(key) - width + 1 results."""
+    n = len(key) - width + 1
+    if n <= 0:
+        return key[:0]
+    if width >= 16:  # each window is the end of one run of `width` keys and the beginning of the next
+        full = -(-len(key) // width) * width
+        runs_ = np.full(full, np.iinfo(key.dtype).max, key.dtype)
+        runs_[: len(key)] = key
+        runs_ = runs_.reshape(-1, width)
+        upto = np.minimum.accumulate(runs_, 1).ravel()[width - 1 : width - 1 + n]
+        after = np.minimum.accumulate(runs_[:, ::-1], 1)[:, ::-1].ravel()[:n]
+        return np.minimum(upto, after)
     out, have = key, 1
     while have * 2 <= width:
         out = np.minimum(out[:-have], out[have:])
