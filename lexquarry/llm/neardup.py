@@ -6,10 +6,12 @@ place has one below j, so a text of many shingles stops after a few ranks. Signa
 signatures agree in a share of places that estimates the Jaccard similarity with less variance than MinHash.
 
 1. Documents with the same set of shingles (equal 128-bit sums over the set) form a class; one of them stands for it.
-2. Bands of ROWS places are hashed; in each band bucket, all members are compared with one, the hub (smallest hash of
-   id, so that the buckets of one group mostly share it). Links are confirmed on the full sets.
-3. Where a bucket still holds documents of different components, these are compared with each other: in cells of
-   bounded size, by signature, and every pair whose estimate is not clearly too low is confirmed on the full sets.
+2. Bands of ROWS places are hashed; each band bucket has a hub, the member with the smallest hash of id, which the
+   buckets of one group mostly share. Every document is compared with the smallest of its hubs, and then with those of
+   its other hubs that are not in its component yet. Links are confirmed on the full sets.
+3. Where a bucket still holds documents of different components, those outside its largest one are compared with all
+   others: in cells of bounded size, each pair in the first bucket it shares. Pairs whose estimate is not clearly too
+   low are compared on the full sets, unless a link found before has joined them; a cell returns the links that join.
 4. Components come from large-star and small-star steps, each written to the shared folder.
 
 So a group of n copies costs n links, not n squared. With 20 bands of 6 places, a pair at similarity 0.85 meets in no
@@ -118,9 +120,8 @@ def runs_of(q: np.ndarray) -> np.ndarray:
     return out
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def bodies_of(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, body: compressed texts of these ids, one per id. The plan is the same at every size."""
 
     def squeeze(batches):
         z = zstandard.ZstdCompressor(level=1)
@@ -129,20 +130,40 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: s
 
     kind = docs.schema[doc_id].dataType.simpleString()
     bodies = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(squeeze, f"id {kind}, body binary")
-    bodies = bodies.join(ids, "id", "left_semi").groupBy("id").agg(F.min("body").alias("body"))
-    both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
+    return bodies.join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("body").alias("body"))
+
+
+def sets_of(bodies: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
+    """Sorted shingles of each compressed text."""
+    z = zstandard.ZstdDecompressor()
+    raw = [z.decompress(b) for b in bodies]
+    h, row = shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), width)
+    return [np.sort(part) for part in np.split(h, np.searchsorted(row, np.arange(1, len(bodies))))] if bodies else []
+
+
+def alike(s: np.ndarray, t: np.ndarray, threshold: int = THRESHOLD) -> bool:
+    if 100 * min(len(s), len(t)) < threshold * max(len(s), len(t)):
+        return False
+    both = np.concatenate([s, t])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= threshold * (len(s) + len(t) - common)
+
+
+def confirmed(pairs: DataFrame, bodies: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles reach the threshold. bodies: id, body."""
+    kind = bodies.schema["id"].dataType.simpleString()
+    first = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")).hint("merge"), "a")
+    both = first.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("y")).hint("merge"), "b")
 
     def check(batches):
-        z, kept = zstandard.ZstdDecompressor(), {}
+        kept: dict[bytes, np.ndarray] = {}
 
         def sets(bodies: list[bytes]) -> list[np.ndarray]:
             """Sets of the bodies; those of the last call are known."""
             nonlocal kept
             new = list(dict.fromkeys(b for b in bodies if b not in kept))
-            raw = [z.decompress(b) for b in new]
-            h, row = shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), width)
-            cut = np.split(h, np.searchsorted(row, np.arange(1, len(new)))) if new else []
-            kept = {b: kept[b] for b in set(bodies) if b in kept} | {b: np.sort(s) for b, s in zip(new, cut, strict=True)}
+            kept = {b: kept[b] for b in set(bodies) if b in kept} | dict(zip(new, sets_of(new, width), strict=True))
             return [kept[b] for b in bodies]
 
         for batch in batches:
@@ -152,10 +173,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: s
                 found = sets(x + y)
                 ok = []
                 for s, t in zip(found[: len(x)], found[len(x) :], strict=True):
-                    both_ = np.concatenate([s, t])
-                    both_.sort()
-                    common = int((both_[1:] == both_[:-1]).sum())
-                    ok.append(100 * common >= threshold * (len(s) + len(t) - common))
+                    ok.append(alike(s, t, threshold))
                 yield part.select(["a", "b"]).filter(pa.array(ok))
 
     return both.select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}")
@@ -180,35 +198,60 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def cells(bands: DataFrame, sigs: DataFrame, found: DataFrame, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:
-    """Pairs (a, b) of one bucket but different components that may reach the threshold."""
+def cells(bands: DataFrame, reps: DataFrame, found: DataFrame, bodies: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:
+    """Links (a, b) that join documents of one bucket but different components.
+
+    bands: key, doc_id; reps: doc_id, bands, sig; found: id, component; bodies: id, body.
+    """
     least = threshold / 100 - MARGIN
-    label = F.coalesce(F.col("component"), F.col("doc_id"))
-    of = bands.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", label.alias("component"))
-    mixed = of.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1")
-    n = F.ceil(F.col("n") / F.lit(float(cell))).cast("int")
-    members = of.join(mixed, "key").select("key", "doc_id", "component", n.alias("blocks"), F.pmod(F.xxhash64("doc_id"), n).cast("int").alias("block"))
-    # each pair of blocks is a cell; a member goes to all cells of its block
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = members.select("key", "doc_id", "component", "block", others).select("key", "doc_id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    placed = placed.join(sigs.select("doc_id", "sig"), "doc_id")
-    kind = bands.schema["doc_id"].dataType.simpleString()
-
-    def pairs(table: pa.Table) -> pa.Table:
-        ids, comp, block = (table.column(c).to_numpy() for c in ("doc_id", "component", "block"))
-        sig = np.stack([np.frombuffer(s, np.uint8) for s in table.column("sig").to_pylist()])
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left = np.flatnonzero(block == i)
-        right = left if i == j else np.flatnonzero(block == j)
+    of = bands.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    sizes = of.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", "n").alias("main"), F.max("n").alias("inside"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / F.lit(float(cell))).cast("int")
+    mixed = sizes.where("inside < n").select("key", "main", blocks(F.col("n") - F.col("inside")).alias("nl"), blocks(F.col("n")).alias("nr"))
+    members = of.join(mixed, "key").withColumn("outside", F.col("component") != F.col("main"))
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.where("outside").select("key", "doc_id", "component", "outside", F.lit(True).alias("left"), block("nl").alias("i"), every("nr").alias("j"))
+    right = members.select("key", "doc_id", "component", "outside", F.lit(False).alias("left"), every("nl").alias("i"), block("nr").alias("j"))
+    placed = left.unionAll(right).join(reps.join(bodies.withColumnRenamed("id", "doc_id"), "doc_id"), "doc_id")
+    kind = bands.schema["doc_id"].dataType
+
+    def links(table: pa.Table) -> pa.Table:
+        key, of_left = table.column("key")[0].as_py(), table.column("left").to_numpy(zero_copy_only=False)
+        ids, outside = table.column("doc_id").to_pylist(), table.column("outside").to_numpy(zero_copy_only=False)
+        sig = np.stack([np.frombuffer(x, np.uint8) for x in table.column("sig").to_pylist()])
+        band = np.array(table.column("bands").to_pylist())
+        body = table.column("body").to_pylist()
+        names, comp = np.unique(np.array(table.column("component").to_pylist()), return_inverse=True)
+        root = np.arange(len(names))  # of each component, flat after each join
+        known: dict[int, np.ndarray] = {}
+        here = np.flatnonzero(~of_left)
+        order = {i: k for k, i in enumerate(sorted(set(ids)))}
+        at = np.array([order[i] for i in ids])
         a, b = [], []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((ids[right] < ids[x]) if i == j else True)]
-            y = y[(sig[y] == sig[x]).mean(1) >= least] if len(y) else y
-            a += [ids[x]] * len(y)
-            b += ids[y].tolist()
-        return pa.table({"a": pa.array([max(p) for p in zip(a, b, strict=True)], table.schema.field("doc_id").type), "b": pa.array([min(p) for p in zip(a, b, strict=True)], table.schema.field("doc_id").type)})
 
-    return placed.groupBy("key", "i", "j").applyInArrow(pairs, f"a {kind}, b {kind}").distinct()
+        def shingles_of(k: int) -> np.ndarray:
+            if k not in known:
+                known[k] = sets_of([body[k]], width)[0]
+            return known[k]
+
+        for x in np.flatnonzero(of_left):
+            y = here[(root[comp[here]] != root[comp[x]]) & (~outside[here] | (at[here] < at[x]))]
+            share = (sig[y] == sig[x]).mean(1) if len(y) else np.zeros(0)
+            near = share >= least
+            y, share = y[near], share[near]
+            # the pair's first common band is this bucket
+            same = band[y] == band[x]
+            y, share = y[band[x][same.argmax(1)] == key] if len(y) else y, share[band[x][same.argmax(1)] == key] if len(y) else share
+            for k in y[np.argsort(-share, kind="stable")]:
+                if root[comp[k]] != root[comp[x]] and alike(shingles_of(x), shingles_of(k), threshold):
+                    root[root == root[comp[k]]] = root[comp[x]]
+                    a.append(max(ids[x], ids[k]))
+                    b.append(min(ids[x], ids[k]))
+        arrow = table.schema.field("doc_id").type
+        return pa.table({"a": pa.array(a, arrow), "b": pa.array(b, arrow)})
+
+    return placed.groupBy("key", "i", "j").applyInArrow(links, f"a {kind.simpleString()}, b {kind.simpleString()}")
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD, report: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
@@ -224,20 +267,35 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     reps = written(reps.groupBy("doc_id").agg(F.min(F.struct("bands", "sig")).alias("x")).select("doc_id", "x.*"), "representatives")
     bands = reps.select(F.explode("bands").alias("key"), "doc_id")
 
-    hubs = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("hub"))).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "x.hub")
-    star = bands.join(hubs, "key").where("doc_id <> hub").select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct()
-    star = written(star, "star")
+    hubs = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("hub"))).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "x")
+    of_doc = bands.join(hubs, "key").groupBy("doc_id").agg(F.array_sort(F.collect_set("x")).alias("hubs"))  # at most BANDS hubs
+    of_doc = written(of_doc, "hubs")
+    bodies = written(bodies_of(docs, of_doc.select(F.col("doc_id").alias("id")), doc_id, text), "bodies")
+    edge = lambda hub: (F.greatest("doc_id", hub).alias("a"), F.least("doc_id", hub).alias("b"))
+
+    star = of_doc.select(*edge(F.col("hubs")[0]["hub"])).where("a <> b").distinct()
     # a row whose id has several texts links its classes: each id is one document
     own = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(reps.select(F.col("doc_id").alias("a")), "a", "left_semi")
-    first = written(confirmed(star, docs, doc_id, text, width, threshold).unionAll(own), "links")
-    found = written(components(first), "components")
-    more = written(cells(bands, reps, found, threshold), "more")
-    if more.limit(1).count():
-        second = written(confirmed(more, docs, doc_id, text, width, threshold), "links")
-        if second.limit(1).count():
-            found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(second))
+    links = written(confirmed(star, bodies, width, threshold).unionAll(own), "links")
+    found = written(components(links), "components")
+    label = found.select(F.col("id").alias("hub"), F.col("component").alias("c"))
+
+    rest = of_doc.select("doc_id", F.explode(F.slice("hubs", 2, BANDS)).alias("x")).select("doc_id", "x.hub").where("doc_id <> hub")
+    rest = rest.join(label, "hub", "left").withColumn("c", F.coalesce("c", "hub"))
+    rest = rest.join(label.select(F.col("hub").alias("doc_id"), F.col("c").alias("d")), "doc_id", "left").where(F.coalesce("d", "doc_id") != F.col("c"))
+    rest = written(rest.select(*edge(F.col("hub"))).distinct(), "rest")
+
+    def joined(found: DataFrame, more: DataFrame) -> DataFrame:
+        if not more.limit(1).count():
+            return found
+        return written(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
+
+    if rest.limit(1).count():
+        found = joined(found, written(confirmed(rest, bodies, width, threshold), "links"))
+    last = written(cells(bands, reps, found, bodies, width, threshold), "links")
+    found = joined(found, last)
     if report:
-        for name, table in (("star", star), ("more", more), ("links", first)):
+        for name, table in (("star", star), ("rest", rest), ("cells", last)):
             report(name, table)
 
     labelled = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexquarry.llm import neardup
 
@@ -61,20 +62,35 @@ def test_buckets_of_many_components(frame):
     assert found(neardup.grouped(frame(pairs))) == brute(pairs)
 
 
-def test_cells_of_large_buckets(spark):
-    rng = np.random.default_rng(5)
-    base = rng.integers(0, 256, neardup.SIZE).astype(np.uint8)
-    sigs = []
-    for k in range(90):
-        s = base.copy()
-        s[rng.choice(len(s), k % 45, replace=False)] ^= 1
-        sigs.append((k, bytearray(s.tobytes())))
-    bands = spark.createDataFrame([(1, k) for k, _ in sigs], "key long, doc_id long")
-    table = spark.createDataFrame(sigs, "doc_id long, sig binary")
-    comps = spark.createDataFrame([(k, 0) for k in range(1, 30)], "id long, component long")
-    label = {k: 0 if k < 30 else k for k in range(90)}
-    want = {(a, b) for a in range(90) for b in range(a) if label[a] != label[b] and np.mean(np.frombuffer(sigs[a][1], np.uint8) == np.frombuffer(sigs[b][1], np.uint8)) >= 0.75}
-    assert {(r.a, r.b) for r in neardup.cells(bands, table, comps, cell=20).collect()} == want
+@pytest.mark.parametrize("cell", [7, 1000])
+def test_cells_link_whole_buckets(spark, frame, cell):
+    """One bucket, no links known but a few: cells of any size find what brute force finds."""
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(60):
+        now = list(base)
+        for e in range(k % 7):
+            now[(37 * k + 29 * e) % 150] = f"x{k}-{e}"
+        texts.append(" ".join(now))
+    docs = frame(list(enumerate(texts)))
+    reps = neardup.signatures(docs).select("doc_id", F.array(F.lit(1)).cast("array<bigint>").alias("bands"), "sig")
+    bands = reps.select(F.explode("bands").alias("key"), "doc_id")
+    known = [(k, 0) for k in (7, 14)]
+    found = spark.createDataFrame(known, "id long, component long")
+    bodies = neardup.bodies_of(docs, docs.select(F.col("doc_id").alias("id")))
+    links = neardup.cells(bands, reps, found, bodies, cell=cell).select("a", "b").collect()
+    parent = {k: k for k in range(60)} | dict(known)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    # brute force, for pairs whose signatures are near enough to be looked at
+    assert {k: root(k) for k in parent} == {k: c for k, (_, c, _) in brute(list(enumerate(texts))).items()}
 
 
 def test_null_ids_repeated_rows_and_empty_table(frame):
