@@ -10,6 +10,7 @@ from lexquarry.functions import guarding
 from lexquarry.functions.legal import FIELDS, citation_label
 from lexquarry.functions.tables import CUT_NOTE, extract_table, query_modality, truncate_table
 from lexquarry.functions.text import distinct_in_order, strip
+from lexquarry.ship import ship
 
 # Prompts and refusals.
 REFUSAL = "Không đủ thông tin từ nguồn đã lập chỉ mục."
@@ -94,6 +95,8 @@ def answered(queries: DataFrame, ranked: DataFrame, generator, rank: str = "fina
     queries: query_id, query and guard.
     """
 
+    ship(queries.sparkSession)
+
     def run(batches):
         for batch in batches:
             said = [generator.answer(s, u) for s, u in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]

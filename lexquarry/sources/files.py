@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.operators.incremental import unseen
+from lexquarry.ship import ship
 
 # Suffixes that are read, their MIME types, and the parameters of the extraction service.
 MIME = {
@@ -92,6 +93,7 @@ class PlainText:
 
 def extracted(files: DataFrame, extractor: Extractor, most: int = PAGES_PER_SLICE, attempts: int = 4) -> DataFrame:
     """Elements of each file, with absolute pages. A file fails as a whole, after some attempts, or not at all."""
+    ship(files.sparkSession)
     keep = ["source_sha1", "source_path", "source_name", "source_ext", "doc_id"]
 
     def read(batches):
