@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from lexquarry.llm import decontamination, language, mixing, neardup, sharding
 from lexquarry.llm.tables import written
 
-MIN_LANGUAGE_SCORE = 0.3
-"""A text with letters goes if its closest language has a smaller share; a text without letters always goes."""
+MIN_COSINE = 0.04
+"""A text with letters goes if no language's prototype is nearer than this, as with random letters; one without always."""
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognisable language. Labels train the profiles; the text alone decides."""
     found = language.identify(docs, language.fit(docs))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("cosine") >= MIN_COSINE)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexquarry.llm.text import in_blocks
+from lexquarry.ship import ship
 
 BUDGET = 0.05
 """Edits per character of the item: pieces of about 20 characters."""
@@ -147,6 +148,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str):
 
 def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", budget: float = BUDGET) -> DataFrame:
     """docs with `items` added: an array of (item_id, distance, end), empty where nothing matches."""
+    ship(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     kind = T.ArrayType(T.StructType().add("item_id", benchmark.schema[item_id].dataType).add("distance", T.IntegerType()).add("end", T.LongType()))
     given = [c for c in docs.columns if c != "items"]

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm.tables import partitions
+from lexquarry.ship import ship
 
 GROUP_BYTES = 3 << 20
 LEAST_GROUPS = 48
@@ -49,6 +50,8 @@ def groups_for(size: int, group_bytes: int = GROUP_BYTES) -> int:
 def grouped(docs: DataFrame, n_groups: int, doc_id: str = "doc_id", text: str = "text", flag: Column | None = None) -> DataFrame:
     """g, doc_id, flag, body: rows dealt to groups, texts compressed for the exchange (null: empty)."""
 
+    ship(docs.sparkSession)
+
     def squeeze(batches):
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.llm.tables import written
 from lexquarry.llm.text import LOWER, Hasher, block_of, in_blocks, mix, runs, words_of
+from lexquarry.ship import ship
 
 WIDTH = 5
 THRESHOLD = 85
@@ -92,6 +93,8 @@ def superminhash(h: np.ndarray, row: np.ndarray, n: int, size: int = SIZE) -> np
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """doc_id, n (shingles), f1 and f2 (sums over the set), bands (hashes), sig (a byte per place)."""
 
+    ship(docs.sparkSession)
+
     def rows(batches):
         for batch in in_blocks(batches):
             n = batch.num_rows

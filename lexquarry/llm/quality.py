@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm.text import Hasher, block_of, in_blocks, mix, runs, words_of
+from lexquarry.ship import ship
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -98,6 +99,8 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, the measurements, and failed: the bits of the rules that failed. Map only; no shuffle."""
 
+    ship(docs.sparkSession)
+
     def rows(batches):
         for batch in in_blocks(batches):
             found = measure(*block_of(batch.column(1)))

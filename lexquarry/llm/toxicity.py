@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm.text import LOWER, Hasher, block_of, in_blocks
+from lexquarry.ship import ship
 
 SAMPLE = 1000
 SAMPLE_BYTES = 1 << 16
@@ -107,6 +108,7 @@ def fit_bags(word: np.ndarray, sentence: np.ndarray, row: np.ndarray, y: np.ndar
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """labels: doc_id and 0 or 1. The driver gets at most 2 * sample documents' word hashes."""
+    ship(docs.sparkSession)
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
     y = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("y"))
     share = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
@@ -157,6 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, n_sentences, and the worst sentence: its score and its first and last byte (null if none)."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches):
