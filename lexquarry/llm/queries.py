@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.llm import decontamination, katz, language, mixing, neardup, quality, sharding, substrings, suffixes, toxicity
+from lexquarry.llm.oracles import ORACLES
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +19,7 @@ def remainder(n: int, doc_id: str = "doc_id") -> Column:
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = katz.scored(documents(spark, sf_dir), remainder(10) != 0)
-    return found.withColumn("held_out", remainder(10) == 0)
+    return found.withColumns({"held_out": remainder(10) == 0, "base_score": F.round("base_score", 6), "score": F.round("score", 6)})
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +69,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_katz, op2_suffix_dedup, op3_sharding, op4_quality, op5_mixing, op6_substring_dedup, op7_decontamination, op8_near_dedup, op9_language, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
