@@ -94,7 +94,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
     """docs with source_size, target, rate and copies added. `size` is a column of tokens per document."""
     spark = docs.sparkSession
     given = [c for c in docs.columns if c not in ("source_size", "target", "rate", "copies")]
-    docs = docs.select(*given, F.col(source).alias("_source"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_k"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(source), F.col(size)).alias("_h"))
+    # the rows travel as one column, so that no name of theirs can clash
+    docs = docs.select(F.struct(*given).alias("row"), F.col(source).alias("_source"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_k"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(source), F.col(size)).alias("_h"))
     counts = written(docs.groupBy(F.col("_source").alias("source"), F.col("_size").alias("size"), F.pmod("_h", F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     by_size = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
     totals = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("t")).limit(MAX_SOURCES + 1).collect()
@@ -123,8 +124,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
     cells = cells.select("_k", F.col("size").alias("_size"), F.col("bucket").alias("_b"), "before", "source_size", "target", "rate", "from", "start")
 
     ranked = docs.withColumn("_b", F.pmod("_h", F.lit(BUCKETS)).cast("int"))
-    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("_k", "_size", "_b").orderBy("_h", doc_id)) - 1)
+    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("_k", "_size", "_b").orderBy("_h", F.col("row")[doc_id])) - 1)
     joined = ranked.join(cells, ["_k", "_size", "_b"])
     place = lambda more: _whole(F.col("from") + (F.col("before") + F.col("_r") + more) * F.col("rate") + F.col("start"))
     copies = place(1) - place(0)
-    return joined.select(*given, "source_size", "target", "rate", F.least(F.greatest(copies, F.lit(0)), F.lit(math.ceil(cap))).cast("int").alias("copies"))
+    return joined.select("row.*", "source_size", "target", "rate", F.least(F.greatest(copies, F.lit(0)), F.lit(math.ceil(cap))).cast("int").alias("copies"))

@@ -57,7 +57,8 @@ def shard(docs: DataFrame, n_shards: int = 8, keys: list[str] | None = None, see
     parts = max(1, -(-n // rows_per_partition), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 1000)))
     if parts * n_shards > MAX_CELLS:
         raise ValueError("raise rows_per_partition: the communication matrix is too large")
-    base = docs.select(*given, F.pmod(drawn("part"), F.lit(parts)).cast("int").alias("_p"), drawn("first").alias("_a"), drawn("second").alias("_b"))
+    # the rows travel as one column, so that no name of theirs can clash
+    base = docs.select(F.struct(*given).alias("row"), F.pmod(drawn("part"), F.lit(parts)).cast("int").alias("_p"), drawn("first").alias("_a"), drawn("second").alias("_b"))
 
     counts = np.zeros(parts, np.int64)
     for p, c in base.groupBy("_p").count().collect():
@@ -69,16 +70,17 @@ def shard(docs: DataFrame, n_shards: int = 8, keys: list[str] | None = None, see
     # at most MAX_CELLS numbers, so the driver's bound is the broadcast's
     cut = F.broadcast(plan) if parts * n_shards <= 1_000_000 else plan
 
-    order = Window.partitionBy("_p").orderBy("_a", *keys)
+    ties = [F.col("row")[k] for k in keys]
+    order = Window.partitionBy("_p").orderBy("_a", *ties)
     dealt = base.withColumn("_r", F.row_number().over(order) - 1).join(cut, "_p")
     dealt = dealt.withColumn("shard", F.size(F.filter("_upto", lambda u: u <= F.col("_r"))).cast("int"))
 
     ranges = max(1, -(-n // (n_shards * rows_per_partition)), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // n_shards) if n > 1000 else 1)
     # the second hash, cut to equal ranges in its own order
     dealt = dealt.withColumn("_q", F.floor((F.shiftrightunsigned(F.col("_b"), 33) * F.lit(ranges)) / F.lit(2.0**31)).cast("int"))
-    within = Window.partitionBy("shard", "_q").orderBy(F.shiftrightunsigned(F.col("_b"), 33), "_b", *keys)
+    within = Window.partitionBy("shard", "_q").orderBy(F.shiftrightunsigned(F.col("_b"), 33), "_b", *ties)
     placed = dealt.withColumn("_s", F.row_number().over(within) - 1)
     before = Window.partitionBy("shard").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("shard", "_q").count().withColumn("_o", F.coalesce(F.sum("count").over(before), F.lit(0))).select("shard", "_q", "_o")
     small = F.broadcast(offsets) if ranges * n_shards <= 1_000_000 else offsets
-    return placed.join(small, ["shard", "_q"]).select(*given, "shard", (F.col("_s") + F.col("_o")).cast("long").alias("slot"))
+    return placed.join(small, ["shard", "_q"]).select("row.*", "shard", (F.col("_s") + F.col("_o")).cast("long").alias("slot"))

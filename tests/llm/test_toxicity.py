@@ -1,0 +1,64 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lexquarry.llm import toxicity as T
+from lexquarry.llm.text import block_of
+
+
+@pytest.fixture(scope="module")
+def marked():
+    """Documents of clean sentences; toxic ones have one sentence with a bad word."""
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(200)]
+    out = []
+    for k in range(600):
+        s = [" ".join(rng.choice(words) for _ in range(8)) for _ in range(rng.randint(2, 8))]
+        bad = k % 4 == 0
+        if bad:
+            s[rng.randrange(len(s))] += f" {rng.choice(['nasty', 'awful', 'vile'])}{rng.choice(['', 'ness', 'er'])}"
+        out.append((k, ". ".join(s) + ".", int(bad)))
+    return out
+
+
+def test_finds_toxic_documents_and_their_sentences(spark, frame, marked):
+    docs = frame([(i, t) for i, t, _ in marked])
+    labels = spark.createDataFrame([(i, y) for i, _, y in marked if i % 3 != 1], "doc_id long, toxic int")
+    model = T.fit(docs, labels)
+    got = {r.doc_id: r for r in T.score(docs, model).collect()}
+    held = [(i, t, y) for i, t, y in marked if i % 3 == 1]
+    assert np.mean([(got[i].score >= T.CUT) == y for i, _, y in held]) > 0.97
+    for i, t, y in held:
+        if y and got[i].score >= T.CUT:
+            assert any(w in t.encode()[got[i].worst_begin : got[i].worst_end].decode() for w in ("nasty", "awful", "vile"))
+    again = T.fit(docs.repartition(7), labels)
+    assert (again.words == model.words).all() and np.allclose(again.weights, model.weights)
+
+
+def test_score_is_the_noisy_or_of_sentences():
+    h, of, row, begin, end = T.sentences(*block_of(pa.array(["One two. Three! four", "", None, "five\nsix", "..."])))
+    assert row.tolist() == [0, 0, 0, 3, 3] and begin.tolist()[:3] == [0, 9, 16] and end.tolist()[:3] == [7, 14, 20]
+    rng = np.random.default_rng(0)
+    w, b = rng.normal(size=3), -1.0
+    word, sentence, rows, y = np.array([0, 1, 2, 0]), np.array([0, 0, 1, 2]), np.array([0, 0, 1]), np.array([1, 0])
+
+    def loss(p):
+        z = np.bincount(sentence, p[word], 3) + p[3]
+        s = 1 / (1 + np.exp(-z))
+        q = [1 - (1 - s[0]) * (1 - s[1]), s[2]]
+        return -np.log(q[0]) - np.log(1 - q[1])
+
+    fitted, bias = T.fit_bags(word, sentence, rows, y, np.ones(2), 3, 400)
+    assert loss(np.r_[fitted, bias]) < loss(np.r_[w, b])
+
+
+def test_edges(spark, frame):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    model = T.fit(frame(["a"]), none)
+    rows = T.score(frame([None, "", "text here", (None, "x")]), model).collect()
+    assert all(0 <= r.score <= 1e-9 for r in rows) and [r.n_sentences for r in rows] == [0, 0, 1, 1]
+    assert T.score(frame([]), model).collect() == []
+    one = spark.createDataFrame([(0, 1), (0, None), (None, 1)], "doc_id long, toxic int")
+    assert len(T.fit(frame(["a"]), one).words) == 0
