@@ -38,7 +38,7 @@ def block_of(arr) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def in_blocks(batches, column: str = "text", limit: int = 4 << 20):
+def in_blocks(batches, column: str = "text", limit: int = 1 << 20):
     """The rows of the batches in slices whose text has at most `limit` bytes, or one row."""
     for batch in batches:
         n = batch.num_rows
