@@ -38,7 +38,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         made.unpersist()
         return 0
     questions = spark.createDataFrame(list(enumerate(args.question)), "query_id long, query string")
-    for row in pipeline.answer(questions, pipeline.index(store.read())).orderBy("query_id").toLocalIterator():
+    index = pipeline.index(store.read(), f"{args.chunks.rstrip('/')}-index")
+    for row in pipeline.answer(questions, index).orderBy("query_id").toLocalIterator():
         print(row["answer"], *(f"[{i}] {s}" for i, s in enumerate(row["sources"], 1)), sep="\n")
     return 0
 
