@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexquarry.llm.tables import written
 from lexquarry.llm.text import block_of, in_blocks
+from lexquarry.ship import ship
 
 LETTERS = 64
 """Vectors for letters: 0 is any run of other characters, 1 to 26 are a to z, further letters share the rest."""
@@ -72,9 +74,10 @@ def trigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     rows = np.cumsum(edge) - 1
     keep = (codes > 0) | edge
     keep[1:] |= codes[:-1] > 0
+    codes, edge, rows = codes[keep], edge[keep], rows[keep]
     # a run of other characters that touches a row's edge is part of that edge
-    keep[1:] &= ~((codes[1:] == 0) & ~edge[1:] & edge[:-1])
-    keep[:-1] &= ~((codes[:-1] == 0) & ~edge[:-1] & edge[1:])
+    keep = (codes > 0) | edge
+    keep[1:-1] |= ~(edge[:-2] | edge[2:])
     codes, edge, rows = codes[keep].astype(np.int64), edge[keep], rows[keep]
     lettered = np.bincount(rows[codes > 0], minlength=n)[:n] > 0
     if len(codes) < 3:
@@ -87,6 +90,8 @@ def trigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, gram, n: how often each trigram occurs in the texts of each language, over all rows with a label."""
 
+    ship(docs.sparkSession)
+
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for batch in in_blocks(batches, "text"):
@@ -129,7 +134,7 @@ def projection(counts: dict[str, np.ndarray], dim: int = DIM, seed: int = 9) ->
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM, seed: int = 9) -> tuple[list[str], np.ndarray]:
     """Prototypes from all labelled rows. The driver gets at most MAX_LANGUAGES * LETTERS**3 counts."""
-    found = gram_counts(docs, text, lang)
+    found = written(gram_counts(docs, text, lang), "grams")
     if len(found.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     counts: dict[str, np.ndarray] = {}
@@ -156,6 +161,7 @@ def cosines(buf: np.ndarray, off: np.ndarray, table: np.ndarray, dim: int) -> tu
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", dim: int = DIM) -> DataFrame:
     """docs with lang_pred, score (the softmax share of the closest language) and cosine added."""
+    ship(docs.sparkSession)
     names, table = model
     shared = docs.sparkSession.sparkContext.broadcast(table)
     given = [c for c in docs.columns if c not in ("lang_pred", "score", "cosine")]
