@@ -31,6 +31,8 @@ from lexquarry.llm.tables import text_bytes, written
 from lexquarry.llm.text import LOWER, Hasher, mix, words_of
 
 ORDER = 2
+GROUP_BYTES = 5 << 20
+"""Larger than elsewhere: a group sends each of its n-grams once, and these are most of what is exchanged."""
 K = 5
 _END, _START = np.uint64(0x1CE1CE1CE1CE1CE1), np.uint64(0x57A127ED57A127ED)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -112,7 +114,7 @@ class Grams:
 def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, k: int = K, n_groups: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row; counts come from the rows where `train` holds."""
     _, size = text_bytes(docs, text)
-    n_groups = n_groups or X.groups_for(size)
+    n_groups = n_groups or X.groups_for(size, GROUP_BYTES)
     n_buckets = max(1, min(n_groups, -(-size // (20 << 20)) + 15))
     groups = X.grouped(docs, n_groups, doc_id, text, F.coalesce(train, F.lit(False)))
 
