@@ -11,6 +11,9 @@ from lexquarry.llm.tables import written
 MIN_COSINE = 0.04
 """A text with letters goes if no language's prototype is nearer than this, as with random letters; one without always."""
 
+NEAR = 80
+"""Percent of the union of shingles from which documents are near copies; 85 is op8's own."""
+
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognisable language. Labels train the profiles; the text alone decides."""
@@ -20,7 +23,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group, and one row per id; rows without an id stay."""
-    gone = neardup.grouped(docs).where("NOT kept").select("doc_id").distinct()
+    gone = neardup.grouped(docs, threshold=NEAR).where("NOT kept").select("doc_id").distinct()
     stay = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return stay.select(docs.columns).unionAll(docs.where("doc_id IS NULL"))
 

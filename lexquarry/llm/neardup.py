@@ -14,8 +14,8 @@ signatures agree in a share of places that estimates the Jaccard similarity with
    low are compared on the full sets, unless a link found before has joined them; a cell returns the links that join.
 4. Components come from large-star and small-star steps, each written to the shared folder.
 
-So a group of n copies costs n links, not n squared. With 20 bands of 6 places, a pair at similarity 0.85 meets in no
-band with probability 8e-5, and less above.
+So a group of n copies costs n links, not n squared. Bands are as long as the threshold allows: with 20 bands of 6
+places, a pair at similarity 0.85 meets in no band with probability 8e-5; with 24 bands of 5, one at 0.80 with 7e-5.
 
 Defined cases: a set is the distinct runs of `width` words, or the whole text if shorter; texts without words, and null
 ids, are linked with nothing and kept. Rows of one id are one document. Words are lower-cased in A-Z only.
@@ -38,14 +38,21 @@ from lexquarry.ship import ship
 WIDTH = 5
 THRESHOLD = 85
 """Percent of the union."""
-BANDS, ROWS = 20, 6
-SIZE = BANDS * ROWS
+SIZE = 120
+MISS = 1e-4
+"""At most so likely, a pair at the threshold shares no band."""
 MARGIN = 0.10
 """In step 3: estimates this far below the threshold, three standard deviations, are not confirmed."""
 CELL = 1000
 _ONE = np.uint64(1)
 
 
+def rows_of(threshold: int) -> int:
+    """Places of a band, as many as MISS allows; all SIZE places are dealt to bands."""
+    fit = (r for r in range(1, SIZE + 1) if SIZE % r == 0 and (1 - (threshold / 100) ** r) ** (SIZE // r) <= MISS)
+    return max(fit, default=1)
+
+
 def shingles(buf: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of each row, and their rows."""
     low = LOWER[buf]
@@ -90,10 +97,12 @@ def superminhash(h: np.ndarray, row: np.ndarray, n: int, size: int = SIZE) -> np
     return values.reshape(n, size)
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n (shingles), f1 and f2 (sums over the set), bands (hashes), sig (a byte per place)."""
 
     ship(docs.sparkSession)
+    places = rows_of(threshold)
+    n_bands = SIZE // places
 
     def rows(batches):
         for batch in in_blocks(batches):
@@ -105,10 +114,10 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
                 np.add.at(s, row, mix(h + np.uint64(1 + 7 * k)))
             v = superminhash(h, row, n)
             q = np.where(np.isfinite(v), v * 2.0**20, 0).astype(np.uint64)
-            bands = np.stack([mix(runs_of(q[:, b * ROWS : (b + 1) * ROWS]) + np.uint64(b)) for b in range(BANDS)], 1)
+            bands = np.stack([mix(runs_of(q[:, b * places : (b + 1) * places]) + np.uint64(b)) for b in range(n_bands)], 1)
             sig = (mix(q.ravel()) & np.uint64(255)).astype(np.uint8).reshape(n, SIZE)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), pa.array(bands.ravel().view(np.int64))), pa.array([s.tobytes() for s in sig], pa.binary())],
+                [batch.column(0), pa.array(count, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), pa.ListArray.from_arrays(np.arange(0, n * n_bands + 1, n_bands, dtype=np.int32), pa.array(bands.ravel().view(np.int64))), pa.array([s.tobytes() for s in sig], pa.binary())],
                 ["doc_id", "n", "f1", "f2", "bands", "sig"],
             )
 
@@ -262,7 +271,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
     report: called with the name and the table of each kind of pairs, for tests and figures.
     """
-    sigs = written(signatures(docs, doc_id, text, width), "signatures")
+    sigs = written(signatures(docs, doc_id, text, width, threshold), "signatures")
     full = sigs.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     members = full.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "rep")
@@ -271,7 +280,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     bands = reps.select(F.explode("bands").alias("key"), "doc_id")
 
     hubs = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("hub"))).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "x")
-    of_doc = bands.join(hubs, "key").groupBy("doc_id").agg(F.array_sort(F.collect_set("x")).alias("hubs"))  # at most BANDS hubs
+    of_doc = bands.join(hubs, "key").groupBy("doc_id").agg(F.array_sort(F.collect_set("x")).alias("hubs"))  # at most one hub a band
     of_doc = written(of_doc, "hubs")
     bodies = written(bodies_of(docs, of_doc.select(F.col("doc_id").alias("id")), doc_id, text), "bodies")
     edge = lambda hub: (F.greatest("doc_id", hub).alias("a"), F.least("doc_id", hub).alias("b"))
@@ -283,7 +292,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     found = written(components(links), "components")
     label = found.select(F.col("id").alias("hub"), F.col("component").alias("c"))
 
-    rest = of_doc.select("doc_id", F.explode(F.slice("hubs", 2, BANDS)).alias("x")).select("doc_id", "x.hub").where("doc_id <> hub")
+    rest = of_doc.select("doc_id", F.explode(F.slice("hubs", 2, SIZE)).alias("x")).select("doc_id", "x.hub").where("doc_id <> hub")
     rest = rest.join(label, "hub", "left").withColumn("c", F.coalesce("c", "hub"))
     rest = rest.join(label.select(F.col("hub").alias("doc_id"), F.col("c").alias("d")), "doc_id", "left").where(F.coalesce("d", "doc_id") != F.col("c"))
     rest = written(rest.select(*edge(F.col("hub"))).distinct(), "rest")

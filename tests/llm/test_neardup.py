@@ -118,3 +118,10 @@ def test_signatures_estimate_similarity(share):
 def test_one_element_fills_every_place():
     v = neardup.superminhash(np.array([7], np.uint64), np.array([0]), 1, 16)
     assert sorted(v[0].astype(int)) == list(range(16))
+
+
+def test_bands_follow_the_threshold():
+    assert (neardup.rows_of(85), neardup.rows_of(80)) == (6, 5)
+    for t in (50, 60, 70, 80, 85, 90, 95):
+        r = neardup.rows_of(t)
+        assert neardup.SIZE % r == 0 and (1 - (t / 100) ** r) ** (neardup.SIZE // r) <= 1e-4

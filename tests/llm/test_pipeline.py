@@ -36,6 +36,13 @@ def test_near_dedup_matches_brute_force(stages):
     assert sorted(r.doc_id for r in stages["near_dedup"]) == sorted(want)
 
 
+def test_near_dedup_takes_similarity_from_080(spark, stages):
+    from test_neardup import brute
+
+    want = {i for i, (_, _, kept) in brute([(r.doc_id, r.text) for r in stages["language"]], 80).items() if kept}
+    assert sorted(r.doc_id for r in stages["near_dedup"]) == sorted(want)
+
+
 def test_decontamination_matches_brute_force(spark, stages):
     items = [(r.item_id, decontamination.normal(r.text)) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     kept = {r.doc_id for r in stages["decontamination"]}
