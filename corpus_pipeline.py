@@ -42,7 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with their shard and place in it; copies of a document are drawn as separate rows."""
-    return sharding.shard(docs, 8, keys=["doc_id", "source", "lang", "n_chars"])
+    return sharding.shard(docs, 8)
 
 
 STAGES = [("language", identify), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]

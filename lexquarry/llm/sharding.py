@@ -7,8 +7,9 @@ what it got by a second keyed hash. No task holds a whole shard: slots are count
 hash) and offset by prefix sums over those counts.
 
 All draws depend on rows and seed alone, so lost tasks are recomputed alike. Defined cases: an empty table gives an
-empty result; null ids and texts are hashed like other values; rows equal in all of `keys` may change places with each
-other, which no result shows. Columns named as the added ones are replaced. A shard may be empty.
+empty result; null ids and texts are hashed like other values; rows equal in all of `keys` share a logical partition, but
+each has draws of its own by its number among them, so copies are dealt as any two rows are. They may change places with
+each other; if they differ outside `keys`, reruns may show it. Columns named as the added ones are replaced. A shard may be empty.
 """
 
 from __future__ import annotations
@@ -72,6 +73,10 @@ def shard(docs: DataFrame, n_shards: int = 8, keys: list[str] | None = None, see
 
     ties = [F.col("row")[k] for k in keys]
     order = Window.partitionBy("_p").orderBy("_a", *ties)
+    # equal rows are next to each other here; all but the first of them draw again. One exchange serves both orders
+    copy = F.row_number().over(order) - F.rank().over(Window.partitionBy("_p").orderBy("_a"))
+    again = lambda k: F.when(F.col("_c") > 0, F.xxhash64(F.lit(f"{seed}:{k}:copy"), k, "_c")).otherwise(F.col(k))
+    base = base.withColumn("_c", copy).withColumns({k: again(k) for k in ("_a", "_b")})
     dealt = base.withColumn("_r", F.row_number().over(order) - 1).join(cut, "_p")
     dealt = dealt.withColumn("shard", F.size(F.filter("_upto", lambda u: u <= F.col("_r"))).cast("int"))
 

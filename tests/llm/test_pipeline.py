@@ -70,6 +70,15 @@ def test_mixing_and_sharding(stages):
     assert sharding and queries
 
 
+def test_copies_are_dealt_as_separate_rows(stages):
+    at = {}
+    for r in stages["sharding"]:
+        at.setdefault(r.doc_id, []).append(r.shard)
+    twice = [x for x in at.values() if len(x) == 2]
+    n = len(twice)
+    assert n > 50 and abs(sum(x == y for x, y in twice) - n / 8) < 4 * (n * 7 / 64) ** 0.5
+
+
 def test_run_applies_all_stages(spark, stages):
     assert corpus_pipeline.run(spark, FOLDER).count() == len(stages["sharding"])
 

@@ -55,3 +55,23 @@ def test_nulls_repeats_and_clashing_columns(frame):
     out = sharding.shard(docs, 2)
     assert sorted(r.shard for r in out.collect()) in ([0, 0, 0, 1, 1], [0, 0, 1, 1, 1])
     assert "_p" in out.columns and set(docs.columns) <= set(out.columns)
+
+
+def test_copies_are_dealt_apart(frame):
+    """Two copies of a row share a shard about as often as any two rows, and their slots are not neighbours."""
+    docs = frame([f"text {i}" for i in range(600)])
+    rows = sharding.shard(docs.unionAll(docs), 8, ["doc_id", "source"], rows_per_partition=200).collect()
+    at = {}
+    for r in rows:
+        at.setdefault(r.doc_id, []).append((r.shard, r.slot))
+    assert len(rows) == 1200 and all(len(x) == 2 for x in at.values())
+    both = [abs(x[1] - y[1]) for (x, y) in at.values() if x[0] == y[0]]
+    assert abs(len(both) - 600 / 8) < 4 * (600 * 7 / 64) ** 0.5
+    assert sum(d == 1 for d in both) <= 8
+
+
+def test_a_group_of_equal_rows_is_dealt_to_all_shards(frame):
+    docs = frame([(None, "same")] * 300 + [(i, f"text {i}") for i in range(300)])
+    rows = sharding.shard(docs, 4, ["doc_id"], rows_per_partition=1000).collect()
+    per = np.bincount([r.shard for r in rows if r.doc_id is None], minlength=4)
+    assert per.sum() == 300 and chi_square_ok(per, np.full(4, 75.0))
