@@ -42,15 +42,23 @@ def bm25_okapi_topk(spark: SparkSession, d: str) -> DataFrame:
     return _lexical(spark, d).select("query_id", "id", "rn", "bm25")
 
 
-def bm25_fts_topk(spark: SparkSession, d: str) -> DataFrame:
-    """All terms must occur; the queries are the first two words of every item."""
+def _fts(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
     docs = V.corpus(spark, d)
-    first = F.regexp_extract(F.lower("query"), r"^\S+\s+\S+", 0)
-    asked = V.items(spark, d).select("query_id", first.alias("query"))
     found = lexical.fts(lexical.postings(docs), lexical.statistics(docs), asked).withColumn("rank", F.round("rank", 8))
     return lexical.top(found, [F.col("rank"), F.col("id")], LEXICAL_K).select("query_id", "id", "rn", F.col("rank").alias("fts_rank"), lexical.fts_score(F.col("rank")).alias("score_lex"))
 
 
+def bm25_fts_topk(spark: SparkSession, d: str) -> DataFrame:
+    """All terms must occur; the queries are the first two words of every item."""
+    first = F.regexp_extract(F.lower("query"), r"^\S+\s+\S+", 0)
+    return _fts(spark, d, V.items(spark, d).select("query_id", first.alias("query")))
+
+
+def bm25_fts_whole_topk(spark: SparkSession, d: str) -> DataFrame:
+    """All terms of the whole item must occur."""
+    return _fts(spark, d, V.items(spark, d))
+
+
 def knn_l2_topk(spark: SparkSession, d: str) -> DataFrame:
     return _dense(spark, d).select("query_id", "id", "rn", F.round("distance", 6).alias("distance"))
 
@@ -282,7 +290,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        hybrid_search, bm25_okapi_topk, bm25_fts_topk, knn_l2_topk, distance_similarity, rrf_fuse, hybrid_weighted, tokenize_counts, accent_strip, sentence_split, token_truncate, html_strip,
+        hybrid_search, bm25_okapi_topk, bm25_fts_topk, bm25_fts_whole_topk, knn_l2_topk, distance_similarity, rrf_fuse, hybrid_weighted, tokenize_counts, accent_strip, sentence_split, token_truncate, html_strip,
         heading_detect, section_windows, section_table, parent_aggregate, pack_chunks, document_chunks, nearby_caption, chunk_ids, incremental_new, incremental_counters, dedup_last_wins, upsert_merge,
         modality, validate_rows, guard_segments, guard_verdicts, parent_expand, rerank_features, redundancy, recency_prior, money_prior, citation_labels, unique_sources, markdown_tables, json_scan, answer_prompts,
     )

@@ -139,6 +139,12 @@ ORACLES = {
         * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 8) AS rank FROM asked JOIN df USING (term) JOIN post USING (term) JOIN dls USING (id), st GROUP BY query_id, id)
       SELECT query_id, id, rn::INT AS rn, rank AS fts_rank, -rank AS score_lex
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, id) AS rn FROM scored JOIN need USING (query_id) WHERE has = need) WHERE rn <= 50""",
+    "bm25_fts_whole_topk": f"""WITH {BM25}, asked AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens("text")}) AS term FROM benchmark),
+      need AS (SELECT query_id, count(*) AS need FROM asked GROUP BY query_id),
+      scored AS (SELECT query_id, id, count(*) AS has, round(-sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END
+        * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 8) AS rank FROM asked JOIN df USING (term) JOIN post USING (term) JOIN dls USING (id), st GROUP BY query_id, id)
+      SELECT query_id, id, rn::INT AS rn, rank AS fts_rank, -rank AS score_lex
+      FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, id) AS rn FROM scored JOIN need USING (query_id) WHERE has = need) WHERE rn <= 50""",
     "knn_l2_topk": f"WITH {DENSE} SELECT query_id, id, rn::INT AS rn, round(distance, 6) AS distance FROM near",
     "distance_similarity": f"WITH {DENSE} SELECT query_id, id, round(similarity, 6) AS similarity FROM sims",
     "rrf_fuse": f"WITH {FUSED} SELECT query_id, rank::INT AS rank, id, round(score_rrf, 6) AS score_rrf FROM fused",

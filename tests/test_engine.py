@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from lexquarry.functions import text
 from lexquarry.operators import answering
 from lexquarry.plans import catalog, cli, pipeline
 from lexquarry.sources import files, jsonl, providers
@@ -172,3 +173,14 @@ def test_entry_and_registry(spark):
 def test_pushdown_reaches_the_scan(spark):
     plan = catalog.tokenize_counts(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Python" not in plan
+
+
+def test_whole_items_are_searched(spark):
+    """Documents with every word of an item, found by sets of words."""
+    folder = "/root/testdata/sf0.01"
+    words = lambda frame, key: {r[0]: set(r[1]) for r in frame.select(key, text.tokens(F.col("text"))).collect()}
+    docs = words(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id")
+    items = words(spark.read.parquet(f"{folder}/benchmark.parquet"), "item_id")
+    want = {(q, i) for q, t in items.items() for i, d in docs.items() if t and t <= d}
+    found = {(r.query_id, r.id) for r in __spark_entry__.queries()["bm25_fts_whole_topk"](spark, folder).collect()}
+    assert found and found == want
