@@ -10,8 +10,8 @@ signatures agree in a share of places that estimates the Jaccard similarity with
    buckets of one group mostly share. Every document is compared with the smallest of its hubs, and then with those of
    its other hubs that are not in its component yet. Links are confirmed on the full sets.
 3. Where a bucket still holds documents of different components, those outside its largest one are compared with all
-   others: in cells of bounded size, each pair in the first bucket it shares. Pairs whose estimate is not clearly too
-   low are compared on the full sets, unless a link found before has joined them; a cell returns the links that join.
+   others: in cells of bounded size, each pair in the first bucket it shares. All pairs are compared on the full sets,
+   unless a link found before has joined them; a cell returns the links that join.
 4. Components come from large-star and small-star steps, each written to the shared folder.
 
 So a group of n copies costs n links, not n squared. Bands are as long as the threshold allows: with 20 bands of 6
@@ -41,9 +41,9 @@ THRESHOLD = 85
 SIZE = 120
 MISS = 1e-4
 """At most so likely, a pair at the threshold shares no band."""
-MARGIN = 0.10
-"""In step 3: estimates this far below the threshold, three standard deviations, are not confirmed."""
 CELL = 1000
+PART = 8 << 20
+"""Bytes of text whose sets a cell holds at once, on either side of its pairs; a single text may be larger."""
 _ONE = np.uint64(1)
 
 
@@ -162,6 +162,12 @@ def alike(s: np.ndarray, t: np.ndarray, threshold: int = THRESHOLD) -> bool:
     return 100 * common >= threshold * (len(s) + len(t) - common)
 
 
+def parts(which: np.ndarray, bodies: list[bytes], part: int = PART) -> list[np.ndarray]:
+    """These rows, cut where their texts exceed so many bytes."""
+    upto = np.cumsum([zstandard.frame_content_size(bodies[k]) for k in which])
+    return np.split(which, np.flatnonzero(np.diff(upto // part)) + 1)
+
+
 def confirmed(pairs: DataFrame, bodies: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose sets of shingles reach the threshold. bodies: id, body."""
     kind = bodies.schema["id"].dataType.simpleString()
@@ -210,12 +216,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def cells(bands: DataFrame, reps: DataFrame, found: DataFrame, bodies: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:
+def cells(bands: DataFrame, reps: DataFrame, found: DataFrame, bodies: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, cell: int = CELL, part: int = PART) -> DataFrame:
     """Links (a, b) that join documents of one bucket but different components.
 
-    bands: key, doc_id; reps: doc_id, bands, sig; found: id, component; bodies: id, body.
+    bands: key, doc_id; reps: doc_id, bands; found: id, component; bodies: id, body.
     """
-    least = threshold / 100 - MARGIN
     of = bands.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     sizes = of.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", "n").alias("main"), F.max("n").alias("inside"), F.sum("n").alias("n"))
     blocks = lambda n: F.ceil(n / F.lit(float(cell))).cast("int")
@@ -225,41 +230,46 @@ def cells(bands: DataFrame, reps: DataFrame, found: DataFrame, bodies: DataFrame
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = members.where("outside").select("key", "doc_id", "component", "outside", F.lit(True).alias("left"), block("nl").alias("i"), every("nr").alias("j"))
     right = members.select("key", "doc_id", "component", "outside", F.lit(False).alias("left"), every("nl").alias("i"), block("nr").alias("j"))
-    placed = left.unionAll(right).join(reps.join(bodies.withColumnRenamed("id", "doc_id"), "doc_id"), "doc_id")
+    placed = left.unionAll(right).join(reps.select("doc_id", "bands").join(bodies.withColumnRenamed("id", "doc_id"), "doc_id"), "doc_id")
     kind = bands.schema["doc_id"].dataType
 
     def links(table: pa.Table) -> pa.Table:
         key, of_left = table.column("key")[0].as_py(), table.column("left").to_numpy(zero_copy_only=False)
         ids, outside = table.column("doc_id").to_pylist(), table.column("outside").to_numpy(zero_copy_only=False)
-        sig = np.stack([np.frombuffer(x, np.uint8) for x in table.column("sig").to_pylist()])
         band = np.array(table.column("bands").to_pylist())
         body = table.column("body").to_pylist()
         names, comp = np.unique(np.array(table.column("component").to_pylist()), return_inverse=True)
         root = np.arange(len(names))  # of each component, flat after each join
-        known: dict[int, np.ndarray] = {}
         here = np.flatnonzero(~of_left)
         order = {i: k for k, i in enumerate(sorted(set(ids)))}
         at = np.array([order[i] for i in ids])
-        a, b = [], []
-
-        def shingles_of(k: int) -> np.ndarray:
-            if k not in known:
-                known[k] = sets_of([body[k]], width)[0]
-            return known[k]
-
+        asked: dict[int, np.ndarray] = {}
         for x in np.flatnonzero(of_left):
-            y = here[(root[comp[here]] != root[comp[x]]) & (~outside[here] | (at[here] < at[x]))]
-            share = (sig[y] == sig[x]).mean(1) if len(y) else np.zeros(0)
-            near = share >= least
-            y, share = y[near], share[near]
+            y = here[(comp[here] != comp[x]) & (~outside[here] | (at[here] < at[x]))]
             # the pair's first common band is this bucket
-            same = band[y] == band[x]
-            y, share = y[band[x][same.argmax(1)] == key] if len(y) else y, share[band[x][same.argmax(1)] == key] if len(y) else share
-            for k in y[np.argsort(-share, kind="stable")]:
-                if root[comp[k]] != root[comp[x]] and alike(shingles_of(x), shingles_of(k), threshold):
-                    root[root == root[comp[k]]] = root[comp[x]]
-                    a.append(max(ids[x], ids[k]))
-                    b.append(min(ids[x], ids[k]))
+            y = y[band[x][(band[y] == band[x]).argmax(1)] == key] if len(y) else y
+            if len(y):
+                asked[x] = y
+        a, b = [], []
+        for left in parts(np.array(list(asked)), body, part) if asked else []:
+            of_x = dict(zip(left, sets_of([body[k] for k in left], width), strict=True))
+            for right in parts(np.unique(np.concatenate([asked[x] for x in left])), body, part):
+                of_y = sets_of([body[k] for k in right], width)
+                n, h = np.array([len(t) for t in of_y]), np.concatenate(of_y)
+                order_h = np.argsort(h, kind="stable")
+                h, owner = h[order_h], np.repeat(np.arange(len(right)), n)[order_h]
+                for x in left:
+                    k = np.flatnonzero(np.isin(right, asked[x]) & (root[comp[right]] != root[comp[x]]))
+                    if not len(k):
+                        continue
+                    first, end = np.searchsorted(h, of_x[x], "left"), np.searchsorted(h, of_x[x], "right")
+                    m = end - first
+                    common = np.bincount(owner[np.repeat(first - np.cumsum(m) + m, m) + np.arange(m.sum())], minlength=len(right))[k]
+                    for y in right[k[100 * common >= threshold * (len(of_x[x]) + n[k] - common)]]:
+                        if root[comp[y]] != root[comp[x]]:
+                            root[root == root[comp[y]]] = root[comp[x]]
+                            a.append(max(ids[x], ids[y]))
+                            b.append(min(ids[x], ids[y]))
         arrow = table.schema.field("doc_id").type
         return pa.table({"a": pa.array(a, arrow), "b": pa.array(b, arrow)})
 
@@ -271,12 +281,12 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
     report: called with the name and the table of each kind of pairs, for tests and figures.
     """
-    sigs = written(signatures(docs, doc_id, text, width, threshold), "signatures")
+    sigs = written(signatures(docs, doc_id, text, width, threshold).drop("sig"), "signatures")
     full = sigs.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     members = full.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "rep")
-    reps = full.join(classes.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi").select("doc_id", "bands", "sig")
-    reps = written(reps.groupBy("doc_id").agg(F.min(F.struct("bands", "sig")).alias("x")).select("doc_id", "x.*"), "representatives")
+    reps = full.join(classes.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi").select("doc_id", "bands")
+    reps = written(reps.groupBy("doc_id").agg(F.min("bands").alias("bands")), "representatives")
     bands = reps.select(F.explode("bands").alias("key"), "doc_id")
 
     hubs = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("hub"))).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "x")

@@ -125,3 +125,14 @@ def test_bands_follow_the_threshold():
     for t in (50, 60, 70, 80, 85, 90, 95):
         r = neardup.rows_of(t)
         assert neardup.SIZE % r == 0 and (1 - (t / 100) ** r) ** (neardup.SIZE // r) <= 1e-4
+
+
+@pytest.mark.parametrize("part", [1, neardup.PART])
+def test_cells_compare_pairs_whatever_their_signatures_say(spark, frame, part):
+    base = [f"w{i}" for i in range(150)]
+    docs = frame([(k, " ".join([*base, *(f"x{k}-{e}" for e in range(3))])) for k in range(4)] + [(4, " ".join(base[:75]))])
+    # signatures that agree in no place, as of a pair whose estimate is far off
+    reps = neardup.signatures(docs).select("doc_id", F.array(F.lit(1)).cast("array<bigint>").alias("bands"), F.expr(f"unhex(repeat(lpad(hex(doc_id), 2, '0'), {neardup.SIZE}))").alias("sig"))
+    found = spark.createDataFrame([], "id long, component long")
+    links = neardup.cells(reps.select(F.explode("bands").alias("key"), "doc_id"), reps, found, neardup.bodies_of(docs, docs.select(F.col("doc_id").alias("id"))), part=part).collect()
+    assert len(links) == 3 and {x for r in links for x in (r.a, r.b)} == {0, 1, 2, 3}
