@@ -61,7 +61,7 @@ def grouped(docs: DataFrame, n_groups: int, doc_id: str = "doc_id", text: str =
     kind = docs.schema[doc_id].dataType.simpleString()
     g = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n_groups)).cast("int")
     rows = docs.select(g.alias("g"), F.col(doc_id).alias("doc_id"), (F.lit(False) if flag is None else flag).alias("flag"), F.col(text).alias("text")).mapInArrow(squeeze, f"g int, doc_id {kind}, flag boolean, body binary")
-    return rows.repartition(max(partitions(docs.sparkSession), min(n_groups, 2000) // 3), "g")
+    return rows.repartition(max(partitions(docs.sparkSession), n_groups // 3), "g")
 
 
 def opened(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
@@ -84,11 +84,18 @@ def sent(kind: int, g: int, buckets: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table({"kind": pa.array([kind] * n, pa.int32()), "b": pa.array([b for b, _ in buckets], pa.int32()), "g": pa.array([g] * n, pa.int32()), "body": pa.array([x for _, x in buckets], pa.binary())})
 
 
-def dealt(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that puts sorted keys by bucket, and where each bucket begins in it."""
-    b = (keys % np.uint64(n_buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
-    return order, np.searchsorted(b[order], np.arange(n_buckets + 1))
+def dealt(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Where each bucket begins in sorted keys; buckets are equal ranges of keys."""
+    return np.searchsorted(keys, np.array([-(-(b << 64) // n_buckets) for b in range(n_buckets)], np.uint64)).tolist() + [len(keys)]
+
+
+def planes(keys: np.ndarray) -> np.ndarray:
+    """Sorted 64-bit keys as the bytes of their differences, byte by byte: the upper ones are zeros and pack to nothing."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.ravel()
+
+
+def keys_of(planes_: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes_.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def replies(table: pa.Table, kind: int) -> dict[int, list[np.ndarray]]:
@@ -96,10 +103,21 @@ def replies(table: pa.Table, kind: int) -> dict[int, list[np.ndarray]]:
     return {b: unpack(x) for k, b, x in zip(table.column("kind").to_pylist(), table.column("b").to_pylist(), table.column("body").to_pylist(), strict=True) if k == kind}
 
 
-def answers(got: dict[int, list[np.ndarray]], order: np.ndarray, first: np.ndarray, which: int = 0) -> np.ndarray:
+def answers(got: dict[int, list[np.ndarray]], cuts: list[int], which: int = 0) -> np.ndarray:
     """What was replied for each sorted key."""
-    parts = [got[b][which] for b in range(len(first) - 1) if first[b] < first[b + 1]]
-    out = np.zeros(len(order), parts[0].dtype if parts else np.uint8)
-    if parts:
-        out[order] = np.concatenate(parts)
-    return out
+    parts = [got[b][which] for b in range(len(cuts) - 1) if cuts[b] < cuts[b + 1]]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+
+def bits(got: dict[int, list[np.ndarray]], cuts: list[int]) -> np.ndarray:
+    """The same for replies of packed bits and their number."""
+    return answers({b: [np.unpackbits(x[0], count=int(x[1][0]))] for b, x in got.items()}, cuts).astype(bool)
+
+
+def bits_reply(table: pa.Table, kind: int, parts: list[np.ndarray]) -> pa.Table:
+    """A row of bits for each row that was sent."""
+    return pa.table({"kind": pa.array([kind] * table.num_rows, pa.int32()), "b": table.column("b"), "g": table.column("g"), "body": pa.array([pack(np.packbits(p), np.array([len(p)], np.int64)) for p in parts], pa.binary())})
+
+
+def split(values: np.ndarray, sizes) -> list[np.ndarray]:
+    return np.split(values, np.cumsum(sizes)[:-1])

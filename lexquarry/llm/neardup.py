@@ -5,7 +5,7 @@ value j + r, r uniform in [0, 1); a place keeps the smallest value it is given.
 place has one below j, so a text of many shingles stops after a few ranks. Signatures of equal sets are equal, and two
 signatures agree in a share of places that estimates the Jaccard similarity with less variance than MinHash.
 
-1. Documents with the same set of shingles (equal 128-bit sums over the set) form a class; one of them stands for it.
+1. Documents with the same set of shingles (equal sizes and 128-bit sums over the set) form a class; one of them stands for it.
 2. Bands of ROWS places are hashed; each band bucket has a hub, the member with the smallest hash of id, which the
    buckets of one group mostly share. Every document is compared with the smallest of its hubs, and then with those of
    its other hubs that are not in its component yet. Links are confirmed on the full sets.
@@ -18,7 +18,9 @@ So a group of n copies costs n links, not n squared. Bands are as long as the th
 places, a pair at similarity 0.85 meets in no band with probability 8e-5; with 24 bands of 5, one at 0.80 with 7e-5.
 
 Defined cases: a set is the distinct runs of `width` words, or the whole text if shorter; texts without words, and null
-ids, are linked with nothing and kept. Rows of one id are one document. Words are lower-cased in A-Z only.
+ids, are linked with nothing and kept. Rows of one id are one document. Words are lower-cased in A-Z only. Shingles are
+told apart by 64-bit hashes, which only matters within a pair of documents. A text is read whole, in memory of about 30
+times its bytes; smaller texts share blocks of 1 MB.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm.tables import written
-from lexquarry.llm.text import LOWER, Hasher, block_of, in_blocks, mix, runs, words_of
+from lexquarry.llm.text import LOWER, block_of, hashed, in_blocks, mix, runs, words_of
 from lexquarry.ship import ship
 
 WIDTH = 5
@@ -57,7 +59,7 @@ def shingles(buf: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.n
     """Hashes of the distinct shingles of each row, and their rows."""
     low = LOWER[buf]
     start, end, first = words_of(low, off)
-    words = Hasher(low, 3).spans(start, end)
+    words = hashed(low, start, end, 3)
     counts = np.diff(first)
     row = np.repeat(np.arange(len(counts)), counts)
     h, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -283,9 +285,10 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     """
     sigs = written(signatures(docs, doc_id, text, width, threshold).drop("sig"), "signatures")
     full = sigs.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    members = full.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "rep")
-    reps = full.join(classes.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi").select("doc_id", "bands")
+    same = ["n", "f1", "f2"]
+    classes = written(full.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
+    members = full.select("doc_id", *same).join(classes, same).select("doc_id", "rep")
+    reps = full.join(classes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi").select("doc_id", "bands")
     reps = written(reps.groupBy("doc_id").agg(F.min("bands").alias("bands")), "representatives")
     bands = reps.select(F.explode("bands").alias("key"), "doc_id")
 

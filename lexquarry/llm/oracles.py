@@ -6,8 +6,6 @@ edits, op9 and op10 are trained. Tests compare those with brute force or held-ou
 
 from __future__ import annotations
 
-from lexquarry.llm.quality import BASE, CURRENT, POLICIES, RULES
-
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -15,9 +13,7 @@ CRC = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(l
 crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc
   FROM documents, crc_table)"""
 
-_BITS = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES)
-
-QUALITY = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+_LEDGER = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 win AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 1, 1))) AS i, w FROM w WHERE len(w) >= 3),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM win) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
@@ -25,16 +21,36 @@ lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w),
 dup AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n FROM lines WHERE regexp_matches(l, '{WORD}') GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(w.w)::BIGINT AS n_words, length(array_to_string(w.w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
-b AS (SELECT *, ({_BITS})::BIGINT AS failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {BASE} <> 0 AS base_failed, failed & {BASE | POLICIES[CURRENT]} = 0 AS kept, failed FROM b"""
+b AS (SELECT *, n_words < 50 AS few, 100 * n_repeat_words > 50 * n_words AS repeated, 10 * n_symbols > 3 * n_words AS symbols, 100 * n_dup_lines > 30 * n_lines AS lines,
+  word_chars < 2 * n_words AS short, word_chars > 20 * n_words AS long, n_words > 1000000 AS many FROM m)"""
+
+QUALITY = f"""{_LEDGER}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines::BIGINT AS n_lines, few OR repeated AS base_failed, NOT (few OR repeated OR symbols OR lines OR short OR long OR many) AS kept,
+  (few::INT + 2 * repeated::INT + 4 * symbols::INT + 8 * lines::INT + 16 * short::INT + 32 * long::INT + 64 * many::INT)::BIGINT AS failed FROM b"""
+
+ABLATIONS = f"""{_LEDGER},
+f AS (SELECT doc_id, unnest([{{'rule': 'few_words', 'f': few}}, {{'rule': 'repeated_words', 'f': repeated}}, {{'rule': 'symbols', 'f': symbols}}, {{'rule': 'repeated_lines', 'f': lines}}, {{'rule': 'short_words', 'f': short}},
+  {{'rule': 'long_words', 'f': long}}, {{'rule': 'many_words', 'f': many}}]) AS x FROM b),
+p(policy, rule) AS (VALUES ('v1', 'few_words'), ('v1', 'repeated_words'), ('v2', 'few_words'), ('v2', 'repeated_words'), ('v2', 'symbols'), ('v2', 'repeated_lines'), ('v3', 'few_words'), ('v3', 'repeated_words'),
+  ('v3', 'symbols'), ('v3', 'repeated_lines'), ('v3', 'short_words'), ('v3', 'long_words'), ('v3', 'many_words')),
+of AS (SELECT policy, doc_id, sum(x.f::INT) AS n FROM f JOIN p ON p.rule = x.rule GROUP BY policy, doc_id),
+k AS (SELECT policy, count(*) FILTER (n = 0) AS n_kept FROM of GROUP BY policy)
+SELECT p.policy, p.rule, count(*) FILTER (x.f)::BIGINT AS n_failed, count(*) FILTER (x.f AND n = 1)::BIGINT AS n_alone, any_value(n_kept)::BIGINT AS n_kept, (any_value(n_kept) + count(*) FILTER (x.f AND n = 1))::BIGINT AS n_kept_without
+FROM f JOIN p ON p.rule = x.rule JOIN of ON of.policy = p.policy AND of.doc_id = f.doc_id JOIN k ON k.policy = p.policy GROUP BY p.policy, p.rule"""
 
+_LEVELS = 12  # 13 words doubled up to 26,624; the tables' texts have at most 20,000
+_DOUBLED = ",\n".join(f"l{k + 1} AS (SELECT doc_id, i, md5(h || n) AS h FROM (SELECT doc_id, i, h, lead(h, {13 << k}) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM l{k}) WHERE n IS NOT NULL)" for k in range(_LEVELS - 1))
+_SHARED = " UNION ALL ".join(f"SELECT doc_id, {13 << k} AS l FROM l{k} WHERE h IN (SELECT h FROM l{k} GROUP BY h HAVING count(DISTINCT doc_id) > 1)" for k in range(_LEVELS))
 SUBSTRINGS = f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
 gone AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM win) WHERE doc_id > first),
 pos AS (SELECT DISTINCT doc_id, i + k AS p FROM gone, range(13) AS r(k)),
 words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM w),
-kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS t, count(*) AS n FROM words LEFT JOIN pos ON pos.doc_id = words.doc_id AND pos.p = words.p WHERE pos.p IS NULL GROUP BY words.doc_id)
-SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS t, count(*) AS n FROM words LEFT JOIN pos ON pos.doc_id = words.doc_id AND pos.p = words.p WHERE pos.p IS NULL GROUP BY words.doc_id),
+l0 AS (SELECT doc_id, i, md5(s) AS h FROM win),
+{_DOUBLED},
+far AS (SELECT doc_id, max(l)::BIGINT AS longest FROM ({_SHARED}) GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, coalesce(longest, 0) AS longest, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id LEFT JOIN far ON far.doc_id = w.doc_id"""
 
 NEAR = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '{WORD}') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
@@ -49,8 +65,7 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component AS component_
 _D = """d{o} AS (SELECT r, CASE WHEN x > 0 AND x <= 1 THEN x ELSE (r - 0.5::DOUBLE) / r END AS d FROM (SELECT r, CASE WHEN nr > 0 AND n1 > 0 AND 6.0::DOUBLE * n6 / n1 < 1
   THEN ((r + 1)::DOUBLE * ns / (r * nr) - 6.0::DOUBLE * n6 / n1) / (1 - 6.0::DOUBLE * n6 / n1) ELSE -1 END AS x FROM (SELECT r, (SELECT count(*) FROM c{o} WHERE c = r) AS nr, (SELECT count(*) FROM c{o} WHERE c = r + 1) AS ns,
   (SELECT count(*) FROM c{o} WHERE c = 1) AS n1, (SELECT count(*) FROM c{o} WHERE c = 6) AS n6 FROM range(1, 6) AS q(r))))"""
-KATZ = f"""WITH {CRC},
-w AS (SELECT doc_id, crc % 10 AS k, list_append(list_transform(regexp_extract_all({LOWER}, '{WORD}'), lambda x: 'w' || x), 'E') AS w FROM documents JOIN crc USING (doc_id)),
+_KATZ = f"""w AS (SELECT doc_id, k, list_append(list_transform(regexp_extract_all({LOWER}, '{WORD}'), lambda x: 'w' || x), 'E') AS w FROM rows),
 t AS (SELECT doc_id, k, w[i] AS v, CASE WHEN i = 1 THEN 'S' ELSE w[i - 1] END AS u FROM (SELECT doc_id, k, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
 c1 AS (SELECT v, count(*) AS c FROM t WHERE k <> 0 GROUP BY v), c2 AS (SELECT u, v, count(*) AS c FROM t WHERE k <> 0 GROUP BY u, v),
 {_D.format(o=1)}, {_D.format(o=2)},
@@ -64,5 +79,8 @@ s AS (SELECT t.doc_id, t.k, p1.c, log10((coalesce(p1.c, 0) + 0.1::DOUBLE) / (n.n
   log10(CASE WHEN two.seen IS NOT NULL THEN two.seen / fit.total ELSE coalesce(alpha, 1) * coalesce(p1.p, (n.gap + extra) / (n.n + extra)) END) AS p
   FROM t LEFT JOIN p1 ON p1.v = t.v LEFT JOIN two ON two.u = t.u AND two.v = t.v LEFT JOIN fit ON fit.u = t.u, n)
 SELECT doc_id, k = 0 AS held_out, count(*)::BIGINT AS n_tokens, count(c)::BIGINT AS n_known, (SELECT n FROM n) AS train_tokens, round(sum(b), 6) AS base_score, round(sum(p), 6) AS score FROM s GROUP BY doc_id, k"""
+KATZ = f"WITH {CRC},\nrows AS (SELECT doc_id, crc % 10 AS k, text FROM documents JOIN crc USING (doc_id)),\n{_KATZ}"
+KATZ_TURNS = f"""WITH rows AS (SELECT doc_id::VARCHAR AS doc_id, 1 AS k, text FROM documents UNION ALL SELECT conv_id || ':' || turn, 0, text FROM conversations),
+{_KATZ.replace("GROUP BY doc_id, k", "WHERE k = 0 GROUP BY doc_id, k")}"""
 
-ORACLES = {"op1_katz": KATZ, "op4_quality": QUALITY, "op6_substring_dedup": SUBSTRINGS, "op8_near_dedup": NEAR}
+ORACLES = {"op1_katz": KATZ, "katz_conversations": KATZ_TURNS, "op4_quality": QUALITY, "quality_ablations": ABLATIONS, "op6_substring_dedup": SUBSTRINGS, "op8_near_dedup": NEAR}

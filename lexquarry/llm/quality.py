@@ -5,7 +5,9 @@ r failed. Policies are versioned bit masks: a document passes a policy if none o
 would keep without one of its rules follows from the bits alone, without another look at the texts.
 
 Defined cases: a null or empty text has no words and all counts are 0; ratios are compared by cross-multiplication, so
-nothing divides by 0. Lines are split at \\n alone. Extra columns are dropped by `ledger`; ids may repeat or be null.
+nothing divides by 0. Lines are split at \\n alone; lines and words are compared byte by byte, never by hash. Extra
+columns are dropped by `ledger`; ids may repeat or be null: a row of the ledger for each row. A text is measured whole,
+in memory of about 45 times its bytes; smaller texts share blocks of 1 MB.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.text import Hasher, block_of, in_blocks, mix, runs, words_of
+from lexquarry.llm.tables import written
+from lexquarry.llm.text import block_of, in_blocks, numbered, words_of
 from lexquarry.ship import ship
 
 SYMBOLS = b"#*$%&|<>"
@@ -46,14 +49,13 @@ POLICIES = {"v1": BASE, "v2": 0b1111, "v3": 0b1111111}
 CURRENT = "v3"
 
 
-def _repeats(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Which hashes occur twice or more within their row."""
-    keys = hashes + mix(row.astype(np.uint64) + np.uint64(1))
-    order = np.argsort(keys)
-    same = np.r_[False, keys[order][1:] == keys[order][:-1], False]
-    out = np.zeros(len(keys), bool)
-    out[order] = same[1:] | same[:-1]
-    return out
+def _repeats(number: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which first words of 3-word windows begin one found twice or more within its row. number: of each word."""
+    first = np.flatnonzero(row[:-2] == row[2:])
+    keys = row[first]
+    for j in range(3):  # row and words so far, numbered anew: equal numbers are equal words
+        _, keys = np.unique(keys * (number.max() + 1) + number[first + j], return_inverse=True)
+    return first[np.bincount(keys)[keys] > 1] if len(keys) else first
 
 
 def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
@@ -63,7 +65,7 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     leading = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS)] = True
-    hasher = Hasher(buf)
+    raw = buf.tobytes()
     out = {"n_words": np.diff(first), "word_chars": np.bincount(row, leading[end] - leading[start], n).astype(np.int64)}
     out["n_symbols"] = np.diff(np.concatenate([[0], np.cumsum(symbol[buf])])[off])
 
@@ -78,18 +80,17 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     starts, lines = starts[order], lines[order]
     ends = ends[np.argsort(np.concatenate([of, np.arange(n)]), kind="stable")]
     filled = np.searchsorted(start, ends) > np.searchsorted(start, starts)
-    keys = hasher.spans(starts[filled], ends[filled]) + mix(lines[filled].astype(np.uint64) + np.uint64(1))
-    _, firsts = np.unique(keys, return_index=True)
     per_row = np.bincount(lines[filled], minlength=n)
-    out["n_lines"] = per_row
-    out["n_dup_lines"] = per_row - np.bincount(lines[filled][firsts], minlength=n)
+    out["n_lines"], out["n_dup_lines"] = per_row, np.zeros(n, np.int64)
+    cuts, a, b = np.concatenate([[0], np.cumsum(per_row)]), starts[filled].tolist(), ends[filled].tolist()
+    for r in np.flatnonzero(per_row > 1):
+        own = range(cuts[r], cuts[r + 1])
+        out["n_dup_lines"][r] = len(own) - len({raw[a[k] : b[k]] for k in own})
 
     # words in 3-word windows found twice or more in the row
-    words = hasher.spans(start, end)
-    covered = np.zeros(len(words), bool)
-    if len(words) >= 3:
-        inside = row[:-2] == row[2:]
-        found = np.flatnonzero(inside)[_repeats(runs(words, 3)[inside], row[:-2][inside])]
+    covered = np.zeros(len(start), bool)
+    if len(start) >= 3:
+        found = _repeats(numbered(buf, start, end)[0], row)
         for j in range(3):
             covered[found + j] = True
     out["n_repeat_words"] = np.bincount(row[covered], minlength=n)
@@ -114,6 +115,11 @@ def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return found.withColumn("failed", bits)
 
 
+def stored(found: DataFrame) -> DataFrame:
+    """The ledger as a table in the shared folder: policies and ablations read it, the texts are never looked at again."""
+    return written(found, "ledger")
+
+
 def passes(policy: str = CURRENT, failed: str = "failed") -> Column:
     return F.col(failed).bitwiseAND(F.lit(POLICIES[policy]).cast("long")) == 0
 

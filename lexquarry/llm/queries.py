@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,13 @@ def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"held_out": remainder(10) == 0, "base_score": F.round("base_score", 6), "score": F.round("score", 6)})
 
 
+def katz_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of the conversations, scored from the stored tables of a model of all documents."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
+    found = katz.scored_with(turns, katz.fit(documents(spark, sf_dir)))
+    return found.withColumns({"held_out": F.lit(True), "base_score": F.round("base_score", 6), "score": F.round("score", 6)})
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed(documents(spark, sf_dir)).drop("kept")
 
@@ -32,9 +41,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.ledger(documents(spark, sf_dir))
+    found = quality.stored(quality.ledger(documents(spark, sf_dir)))
     base = found["failed"].bitwiseAND(F.lit(quality.BASE).cast("long")) != 0
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & quality.passes()).alias("kept"), "failed")
+    return found.select("doc_id", *quality.MEASURES, base.alias("base_failed"), (~base & quality.passes()).alias("kept"), "failed")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, from the stored ledger's bits alone."""
+    found = quality.stored(quality.ledger(documents(spark, sf_dir)))
+    return functools.reduce(DataFrame.unionAll, [quality.ablations(found, p) for p in quality.POLICIES])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +83,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumns({"held_out": remainder(3) == 1, "predicted": (F.col("score") >= toxicity.CUT).cast("int")})
 
 
-QUERIES = {f.__name__: f for f in (op1_katz, op2_suffix_dedup, op3_sharding, op4_quality, op5_mixing, op6_substring_dedup, op7_decontamination, op8_near_dedup, op9_language, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_katz, op2_suffix_dedup, op3_sharding, op4_quality, op5_mixing, op6_substring_dedup, op7_decontamination, op8_near_dedup, op9_language, op10_toxicity, katz_conversations, quality_ablations)}
 
 __all__ = ["ORACLES", "QUERIES"]

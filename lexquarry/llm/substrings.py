@@ -3,12 +3,18 @@
 A window of `width` words can only repeat where shorter windows inside it do. The first level takes windows of half the
 length, and of these only the ones with the smallest hash in some full window (equal full windows pick the same one);
 only full windows whose pick occurs in two documents are extended to twice that length, up to `width`, and compared
-there. Each level is one exchange of hashes (see exchange.py).
-
-A window goes where the same words also start in a document with a smaller id. Windows are told apart by 64-bit
-hashes. Defined cases: null and empty texts have no words; a null id counts as larger than every id; rows with the same
-id don't remove each other's words; texts shorter than a window stay whole. Extra columns are ignored. A group holds
-about GROUP_BYTES of text, or one document.
+there. From then on, windows that start in two documents, and those alone, are extended to twice their length: the one
+from word i repeats at length 2L only if those from i and i + L repeat at length L. Levels follow until no candidate
+survives; the last at which a document has a survivor is its `longest`.
+
+Each level is one exchange of hashes (see exchange.py). The texts take part up to `width`; later levels read and write
+tables of the survivors alone, so their work shrinks with them.
+
+A window goes where the same words also start in a document with a smaller id. Words have two independent hashes of 64
+bits, and windows of 7 words and more are told apart by both: 128 bits. Defined cases: null and empty texts have no
+words; a null id counts as larger than every id; rows with the same id (or none) are one document and don't remove each
+other's words; texts shorter than a window stay whole. Extra columns are ignored. A group holds about GROUP_BYTES of text,
+or one document; a text stays in one group, in memory of about 60 times its bytes.
 """
 
 from __future__ import annotations
@@ -21,36 +27,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexquarry.llm import exchange as X
-from lexquarry.llm.tables import text_bytes
-from lexquarry.llm.text import Hasher, first_min, runs, words_of
+from lexquarry.llm.tables import text_bytes, written
+from lexquarry.llm.text import first_min, hashed, joined, runs, words_of
 
 WIDTH = 13
-NULL_ID = np.iinfo(np.int64).max
 _LOW = np.uint64(0xFFFFFFFF)
+_PLACE = 40
+"""Bits of a word's place in its text."""
+PICKS, FULL = -2, -1
+"""Kinds of replies up to `width`; later the kind is the length. Survivors have the negative length, in tables of their own."""
 
 
-def _picks(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Full windows (their first word), the hash each picks, and the row of each."""
+def _picks(words: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Full windows (their first word), and the hash each picks."""
     half = (width + 1) // 2
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     n = len(words) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     short = runs(words, half)
     # the upper half of the hash decides, ties by place
     key = (short & ~_LOW) | np.arange(len(short), dtype=np.uint64)
     pick = (first_min(key, width - half + 1)[:n] & _LOW).astype(np.int64)
     at = np.flatnonzero(row[:n] == row[width - 1 :])
-    return at, short[pick[at]], row[at]
-
-
-def _spans_rows(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, the place of each key among them, and each one's first and last row."""
-    own, at = np.unique(keys, return_inverse=True)
-    low, high = np.full(len(own), NULL_ID), np.full(len(own), -1)
-    np.minimum.at(low, at, row)
-    np.maximum.at(high, at, row)
-    return own, at, low, high
+    return at, short[pick[at]]
+
+
+class Keys:
+    """The distinct keys of some windows in order: where each window's key is, and the documents it starts in."""
+
+    def __init__(self, keys: list[np.ndarray], number: np.ndarray, n_buckets: int):
+        """keys: one or two hashes of each window; number: of its document, in order of ids."""
+        order = np.lexsort((number, *reversed(keys)))
+        head = np.ones(len(order), bool)
+        if len(order):
+            head[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+        heads, sorted_ = np.flatnonzero(head), number[order]
+        self.keys = [k[order][heads] for k in keys]
+        self.place = np.zeros(len(order), np.int64)
+        self.place[order] = np.cumsum(head) - 1
+        self.least = sorted_[heads]
+        self.many = self.least != sorted_[np.r_[heads[1:], len(order)][: len(heads)] - 1]
+        self.cuts = X.dealt(self.keys[0], n_buckets)
+
+    def sent(self, kind: int, g: int, ids: list | None = None) -> pa.Table:
+        """ids: of the documents by number, for a bucket that asks which came first."""
+        out = []
+        null = np.array([i is None for i in ids or []], np.uint8)
+        known = np.array([0 if i is None else i for i in ids or []], np.int64)
+        for b, (i, j) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
+            if i < j:
+                first = [X.planes(self.keys[0][i:j]), self.many[i:j].astype(np.uint8)]
+                rest = [k[i:j] for k in self.keys[1:]]
+                out.append((b, X.pack(*first, *rest, *([known[self.least[i:j]], null[self.least[i:j]]] if ids is not None else []))))
+        return X.sent(kind, g, out)
+
+
+def _numbers(ids: list) -> tuple[np.ndarray, list]:
+    """A number for each row's document, in order of ids (null last), and the ids by number. ids are in order."""
+    new = [k == 0 or a != ids[k - 1] for k, a in enumerate(ids)]
+    return np.cumsum(new, dtype=np.int64) - 1 if ids else np.zeros(0, np.int64), list(compress(ids, new))
 
 
 class Level:
@@ -59,72 +94,138 @@ class Level:
     def __init__(self, table: pa.Table, width: int, n_buckets: int):
         self.ids, self.buf, self.off = X.opened(table)
         self.start, self.end, self.first = words_of(self.buf, self.off)
-        self.words = Hasher(self.buf).spans(self.start, self.end)
-        self.at, picked, self.row = _picks(self.words, self.first, width)
-        self.keys, self.place, low, high = _spans_rows(picked, self.row)
-        # rows of one id are one document
-        number = np.cumsum([0] + [a != b for a, b in zip(self.ids[1:], self.ids[:-1], strict=True)]) if self.ids else np.zeros(0, np.int64)
-        self.many = (number[low] != number[high]) if len(low) else np.zeros(0, bool)
-        self.order, self.cuts = X.dealt(self.keys, n_buckets)
-        self.number = np.array([NULL_ID if i is None else i for i in self.ids], np.int64)
+        both = hashed(self.buf, self.start, self.end, halves=2)
+        self.words = [np.ascontiguousarray(both[:, k]) for k in (0, 1)]
+        self.number, self.known = _numbers(self.ids)
+        self.row = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+        self.at, picked = _picks(self.words[0], self.row, width)
+        self.keys = Keys([picked & ~np.uint64(0xFF)], self.number[self.row[self.at]], n_buckets)
 
     def extend(self, repeated: np.ndarray, width: int, n_buckets: int) -> None:
         """Keeps the full windows whose pick is repeated, and hashes all their words."""
-        keep = repeated[self.place].astype(bool) if len(self.place) else np.zeros(0, bool)
-        self.at, self.row = self.at[keep], self.row[keep]
-        full = runs(self.words, width)[self.at] if len(self.at) else np.zeros(0, np.uint64)
-        self.keys, self.place, low, _ = _spans_rows(full, self.row)
-        self.least = self.number[low] if len(low) else np.zeros(0, np.int64)
-        self.order, self.cuts = X.dealt(self.keys, n_buckets)
+        if len(self.at):
+            self.at = self.at[repeated[self.keys.place]]
+        self.full = [runs(w, width)[self.at] if len(self.at) else np.zeros(0, np.uint64) for w in self.words]
+        self.keys = Keys(self.full, self.number[self.row[self.at]], n_buckets)
+
+
+def _g(table: pa.Table) -> int:
+    return table.column("g")[0].as_py()
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """A bucket's reply: which keys occur in two groups, or in two documents of one."""
+    parts = [X.unpack(x) for x in table.column("body").to_pylist()]
+    keys, many = (np.concatenate(x) for x in ([X.keys_of(p[0]) for p in parts], [p[1] for p in parts]))
+    order = np.argsort(keys)
+    same = np.r_[False, keys[order][1:] == keys[order][:-1], False]
+    twice = many.astype(bool)
+    twice[order] |= same[1:] | same[:-1]
+    return X.bits_reply(table, table.column("kind")[0].as_py(), X.split(twice, [len(p[1]) for p in parts]))
+
+
+def _earlier(table: pa.Table) -> pa.Table:
+    """Which keys start in a document before the group's own first, and which start in two documents: two bits a key."""
+    parts = [X.unpack(x) for x in table.column("body").to_pylist()]
+    key = np.concatenate([X.keys_of(p[0]) for p in parts])
+    many, other, ids, null = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4))
+    order = np.lexsort((ids, null, other, key))
+    k, o, i, u = key[order], other[order], ids[order], null[order]
+    heads = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])])
+    n = np.diff(np.r_[heads, len(k)])
+    after = (i != np.repeat(i[heads], n)) | (u != np.repeat(u[heads], n))
+    two = np.repeat(np.logical_or.reduceat(after | (many[order] > 0), heads), n)
+    out = np.zeros((len(k), 2), bool)
+    out[order, 0], out[order, 1] = after, two
+    return X.bits_reply(table, table.column("kind")[0].as_py(), [p.ravel() for p in X.split(out, [len(p[1]) for p in parts])])
+
+
+def _two_bits(right: pa.Table, kind: int, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
+    got = X.replies(right, kind)
+    both = X.answers({b: [np.unpackbits(x[0], count=int(x[1][0])).reshape(-1, 2)] for b, x in got.items()}, keys.cuts).astype(bool).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _survivors(g: int, length: int, row: np.ndarray, place: np.ndarray, number: np.ndarray, hashes: list[np.ndarray], known: list) -> pa.Table:
+    """The rows with survivors, and the survivors themselves with the ids by number, for the next level."""
+    if not len(row):
+        return X.sent(0, g, [])
+    return pa.concat_tables([X.sent(length, g, [(-1, X.pack(np.unique(row).astype(np.uint32)))]), X.sent(-length, g, [(-1, X.pack(row.astype(np.uint32), place.astype(np.uint64), number.astype(np.uint32), *hashes, np.array([0 if i is None else i for i in known], np.int64), np.array([i is None for i in known], np.uint8)))])])
+
+
+def _doubled(table: pa.Table, length: int, n_buckets: int):
+    """Windows of twice the length whose halves both survive: row, place, number and hashes; their keys, and ids by number."""
+    row, place, number, *hashes, ids, null = X.unpack(table.column("body")[0].as_py())
+    key = row.astype(np.uint64) << np.uint64(_PLACE) | place
+    at = np.minimum(np.searchsorted(key, key + np.uint64(length)), len(key) - 1)
+    go = np.flatnonzero(key[at] == key + np.uint64(length))
+    both = [joined(h[go], h[at[go]]) for h in hashes]
+    return row[go], place[go], number[go], both, Keys(both, number[go].astype(np.int64), n_buckets), [None if n else i for i, n in zip(ids.tolist(), null, strict=True)]
+
+
+def _doubling(length: int, n_buckets: int):
+    """What groups send of their windows of twice the length, and what they keep of them."""
+
+    def send(table: pa.Table) -> pa.Table:
+        *_, keys, known = _doubled(table, length, n_buckets)
+        return keys.sent(2 * length, _g(table), known)
+
+    def survive(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, place, number, hashes, keys, known = _doubled(left, length, n_buckets)
+        stay = _two_bits(right, 2 * length, keys)[1][keys.place] if len(row) else np.zeros(0, bool)
+        return _survivors(_g(left), 2 * length, row[stay], place[stay], number[stay], [h[stay] for h in hashes], known)
+
+    return send, survive
+
+
+def longest(survivors: DataFrame, length: int, n_buckets: int) -> DataFrame:
+    """Doubles until no candidate survives. Rows g, kind, body: for each length, the rows of a group with a survivor."""
+    out, state = survivors.where("kind > 0"), survivors.where("kind < 0")
+    while state.limit(1).count():
+        send, survive = _doubling(length, n_buckets)
+        asked = state.groupBy("g").applyInArrow(send, X.SENT).groupBy("b").applyInArrow(_earlier, X.SENT)
+        new = written(state.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(survive, X.SENT), "substrings-level", ["kind"]).select("kind", "b", "g", "body")
+        out, state, length = out.unionAll(new.where("kind > 0")), new.where("kind < 0"), 2 * length
+    return out
 
 
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, n_groups: int | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words kept, joined by one space) and kept_sha256. Ids are integers."""
+    """doc_id, n_words, n_removed, longest, kept (the words kept, joined by one space) and kept_sha256. Ids are integers.
+
+    longest: width doubled as often as the document has a window of that length that also starts in another; 0 if none.
+    """
     _, size = text_bytes(docs, text)
     n_groups = n_groups or X.groups_for(size)
     n_buckets = max(1, min(n_groups, 2 * -(-size // (32 << 20)) + 15))
     groups = X.grouped(docs, n_groups, doc_id, text)
 
     def first(table: pa.Table) -> pa.Table:
-        level = Level(table, width, n_buckets)
-        short = level.keys[level.order] >> np.uint64(24)  # 40 bits and the bucket: a false alarm costs an extension
-        many = level.many[level.order].astype(np.uint8)
-        g = table.column("g")[0].as_py()
-        return X.sent(0, g, [(b, X.pack((short[i:j] & _LOW).astype(np.uint32), (short[i:j] >> np.uint64(32)).astype(np.uint8), np.packbits(many[i:j]))) for b, (i, j) in enumerate(zip(level.cuts[:-1], level.cuts[1:], strict=True)) if i < j])
-
-    def repeated(table: pa.Table) -> pa.Table:
-        parts = [X.unpack(x) for x in table.column("body").to_pylist()]
-        sizes = [len(p[0]) for p in parts]
-        keys = np.concatenate([p[0].astype(np.uint64) | p[1].astype(np.uint64) << np.uint64(32) for p in parts])
-        twice = np.concatenate([np.unpackbits(p[2], count=len(p[0])) for p in parts]).astype(bool)
-        order = np.argsort(keys)
-        same = np.r_[False, keys[order][1:] == keys[order][:-1], False]
-        twice[order] |= same[1:] | same[:-1]
-        return _reply(table, 0, np.split(twice, np.cumsum(sizes)[:-1]))
+        return Level(table, width, n_buckets).keys.sent(PICKS, _g(table))
 
-    def second(left: pa.Table, right: pa.Table) -> pa.Table:
+    def extended(left: pa.Table, right: pa.Table) -> Level:
         level = Level(left, width, n_buckets)
-        level.extend(_bits(X.replies(right, 0), level), width, n_buckets)
-        keys, least, cuts = level.keys[level.order], level.least[level.order], level.cuts
-        return X.sent(1, left.column("g")[0].as_py(), [(b, X.pack(keys[i:j], least[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j])
-
-    def earlier(table: pa.Table) -> pa.Table:
-        parts = [X.unpack(x) for x in table.column("body").to_pylist()]
-        keys, least = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        order = np.argsort(keys)
-        heads = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
-        low = np.minimum.reduceat(least[order], heads)
-        other = np.zeros(len(keys), bool)
-        other[order] = least[order] > np.repeat(low, np.diff(np.r_[heads, len(keys)]))
-        return _reply(table, 1, np.split(other, np.cumsum([len(p[0]) for p in parts])[:-1]))
+        level.extend(X.bits(X.replies(right, PICKS), level.keys.cuts), width, n_buckets)
+        return level
+
+    def second(left: pa.Table, right: pa.Table) -> pa.Table:
+        level = extended(left, right)
+        return level.keys.sent(FULL, _g(left), level.known)
+
+    def survive(left: pa.Table, right: pa.Table) -> pa.Table:
+        level = extended(left, right)
+        if not len(level.at):
+            return X.sent(0, -1, [])
+        stay = _two_bits(right, FULL, level.keys)[1][level.keys.place]
+        at = level.at[stay]
+        row = level.row[at]
+        return _survivors(_g(left), width, row, at - level.first[row], level.number[row], [h[stay] for h in level.full], level.known)
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
-        level = Level(left, width, n_buckets)
-        level.extend(_bits(X.replies(right, 0), level), width, n_buckets)
-        goes = np.zeros(len(level.words) + 1, np.int64)
-        if len(level.keys):
-            elsewhere = _bits(X.replies(right, 1), level).astype(bool)
-            gone = level.at[elsewhere[level.place] | (level.number[level.row] > level.least[level.place])]
+        level = extended(left, right)
+        goes = np.zeros(len(level.start) + 1, np.int64)
+        if len(level.at):
+            keys, number = level.keys, level.number[level.row[level.at]]
+            gone = level.at[_two_bits(right, FULL, keys)[0][keys.place] | (number > keys.least[keys.place])]
             np.add.at(goes, gone, 1)
             np.add.at(goes, gone + width, -1)
         keep = np.cumsum(goes)[:-1] == 0
@@ -133,21 +234,19 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
             i, j = level.first[r], level.first[r + 1]
             own = raw[level.off[r] : level.off[r + 1]].split()
             kept.append(b" ".join(own if keep[i:j].all() else compress(own, keep[i:j])))
+        reach = np.zeros(len(level.ids), np.int64)
+        for kind, body in zip(right.column("kind").to_pylist(), right.column("body").to_pylist(), strict=True):
+            if kind > 0:
+                rows = X.unpack(body)[0]
+                reach[rows] = np.maximum(reach[rows], kind)
         n = np.diff(level.first)
         n_kept = np.diff(np.concatenate([[0], np.cumsum(keep)])[level.first])
-        return pa.table({"doc_id": pa.array(level.ids, left.schema.field("doc_id").type), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(n - n_kept, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())})
-
-    one = groups.groupBy("g").applyInArrow(first, X.SENT).groupBy("b").applyInArrow(repeated, X.SENT)
-    two = groups.groupBy("g").cogroup(one.groupBy("g")).applyInArrow(second, X.SENT).groupBy("b").applyInArrow(earlier, X.SENT)
-    kind = docs.schema[doc_id].dataType.simpleString()
-    out = f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string"
-    return groups.groupBy("g").cogroup(one.unionAll(two).groupBy("g")).applyInArrow(last, out)
-
-
-def _reply(table: pa.Table, kind: int, parts: list[np.ndarray]) -> pa.Table:
-    n = table.num_rows
-    return pa.table({"kind": pa.array([kind] * n, pa.int32()), "b": table.column("b"), "g": table.column("g"), "body": pa.array([X.pack(np.packbits(p), np.array([len(p)], np.int64)) for p in parts], pa.binary())})
-
-
-def _bits(got: dict[int, list[np.ndarray]], level) -> np.ndarray:
-    return X.answers({b: [np.unpackbits(x[0], count=int(x[1][0]))] for b, x in got.items()}, level.order, level.cuts)
+        return pa.table({"doc_id": pa.array(level.ids, left.schema.field("doc_id").type), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(n - n_kept, pa.int64()), "longest": pa.array(reach, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())})
+
+    one = groups.groupBy("g").applyInArrow(first, X.SENT).groupBy("b").applyInArrow(_shared, X.SENT)
+    two = groups.groupBy("g").cogroup(one.groupBy("g")).applyInArrow(second, X.SENT).groupBy("b").applyInArrow(_earlier, X.SENT)
+    told = written(one.unionAll(two), "substrings-replies")
+    survivors = written(groups.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(survive, X.SENT), "substrings-level", ["kind"]).select("kind", "b", "g", "body")
+    reach = longest(survivors, width, n_buckets)
+    out = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_words long, n_removed long, longest long, kept string, kept_sha256 string"
+    return groups.groupBy("g").cogroup(told.unionAll(reach).groupBy("g")).applyInArrow(last, out)

@@ -3,8 +3,9 @@
 Suffixes are cut at `length` bytes: two that agree that far mark a repeat. They are dealt to suffix buckets by content:
 each suffix is filed under the ANCHOR-byte string with the smallest hash inside it, so that equal suffixes meet in one
 bucket, and neighbours in the text, which mostly share their anchor, travel as one stretch. A first exchange sends a
-fingerprint per stretch. Stretches under an anchor seen once are dropped; stretches that occur whole elsewhere are
-settled; only one copy of each different stretch under a repeated anchor is sent as bytes.
+128-bit keyed BLAKE2b digest per stretch, so that equal stretches are sorted once: stretches under an anchor seen once are
+dropped, and one copy of each different stretch under a repeated anchor is sent as bytes. Every suffix of a stretch that
+occurs twice repeats, by definition; which of the others do, the sort says.
 
 Buckets are then sorted one after another, in blocks of bounded size (`sort_block`): first by v bytes, then long ties by
 a difference cover. The cover D holds, for any two places i and j, an offset d < v with (i + d) mod v and (j + d) mod v
@@ -12,11 +13,14 @@ in D; the suffixes at places of D (about 2 / sqrt(v) of all) are ranked beforeha
 compare by the ranks at i + d and j + d. Ties are split by a level-wise three-way quicksort over all groups at once, so
 the longest common prefix never costs more than those ranks, and memory stays in proportion to the block.
 
-An anchor with more than HOT different stretches would fill a task: the suffixes under it are spread over all buckets by
-their own hash instead and compared by 64-bit fingerprints there, the exact way for what is too large to sort.
+An anchor with more than HOT different stretches would fill a task: it is split by anchors of the full `length`, which are
+the suffixes themselves. Suffixes with the same anchor are then equal, so a bucket has nothing left to sort under each and
+counts them; anchors are dealt by, and told apart by, two polynomials modulo 2**61 - 1 at random bases (`text.Exact`), by
+which two given strings meet with probability 4e-32.
 
 Defined cases: null is empty; texts shorter than `length` stay whole; matches never cross rows; equal rows (same id or
-not) count as occurrences of each other. Ids may be null, repeated, or of any type that Arrow can sort.
+not) count as occurrences of each other. Ids may be null, repeated, or of any type that Arrow can sort. A text stays in one
+group, in memory of about 60 times its bytes.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from lexquarry.llm import exchange as X
 from lexquarry.llm.tables import text_bytes
-from lexquarry.llm.text import Hasher, first_min, mix, ragged
+from lexquarry.llm.text import Exact, Places, first_min, keyed, mix, ragged
 
 LENGTH = 400
 ANCHOR = 100
@@ -155,7 +159,7 @@ class Stretches:
 
     def __init__(self, table: pa.Table, length: int, anchor: int, n_buckets: int):
         self.ids, self.buf, self.off = X.opened(table)
-        hasher = self.hasher = Hasher(self.buf, 2)
+        hasher = Places(self.buf, 2)
         n = len(self.buf)
         empty = np.zeros(0, np.int64)
         self.start = self.stop = self.anchor = empty
@@ -175,20 +179,21 @@ class Stretches:
             self.stop = at[np.searchsorted(at, start, "right")]
             self.anchor = pick[start].astype(np.int64)
         under = hasher.spans(self.anchor, self.anchor + anchor)
-        whole = hasher.spans(self.start, self.stop + length - 1) + mix((self.anchor - self.start).astype(np.uint64))
+        raw = self.buf.data
+        lead = (self.anchor - self.start).tolist()
+        whole = keyed([b"%d:" % k + bytes(raw[a:b]) for k, a, b in zip(lead, self.start.tolist(), (self.stop + length - 1).tolist(), strict=True)], 2)
         bucket = under % np.uint64(n_buckets)
         # by bucket, anchor, content; of equal ones the first speaks for all
-        self.sorted = np.lexsort((whole, under, bucket))
+        self.sorted = np.lexsort((whole[:, 1], whole[:, 0], under, bucket))
         u, w = under[self.sorted], whole[self.sorted]
-        head = np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])][: len(u)]
+        head = np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1]).any(1)][: len(u)]
         self.own = np.flatnonzero(head)
-        self.under, self.whole = u[self.own], w[self.own]
+        self.under, self.whole = u[self.own], np.ascontiguousarray(w[self.own].T)
         self.many = np.diff(np.r_[self.own, len(u)]) > 1
         self.first = self.sorted[self.own]
         self.entry = np.zeros(len(u), np.int64)
         self.entry[self.sorted] = np.cumsum(head) - 1
-        self.cuts = np.searchsorted(bucket[self.first], np.arange(n_buckets + 1))
-        self.order = np.arange(len(self.own))
+        self.cuts = np.searchsorted(bucket[self.first], np.arange(n_buckets + 1)).tolist()
 
     def windows(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entry and first byte of every suffix in the stretches that speak for these entries."""
@@ -211,17 +216,17 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
     def first(table: pa.Table) -> pa.Table:
         s = of(table)
-        return X.sent(0, g_of(table), [(b, X.pack(s.under[i:j], s.whole[i:j], s.many[i:j].astype(np.uint8))) for b, (i, j) in enumerate(zip(s.cuts[:-1], s.cuts[1:], strict=True)) if i < j])
+        return X.sent(0, g_of(table), [(b, X.pack(s.under[i:j], s.many[i:j].astype(np.uint8), *(w[i:j] for w in s.whole))) for b, (i, j) in enumerate(zip(s.cuts[:-1], s.cuts[1:], strict=True)) if i < j])
 
     def decide(table: pa.Table) -> pa.Table:
         # groups in order, so that a rerun picks the same copy to send
         rows = sorted(zip(table.column("g").to_pylist(), table.column("b").to_pylist(), table.column("body").to_pylist(), strict=True))
         parts = [X.unpack(r[2]) for r in rows]
-        under, whole, many = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        order = np.lexsort((whole, under))
-        u, w = under[order], whole[order]
+        under, many, w, x = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        order = np.lexsort((x, w, under))
+        u, w, x = under[order], w[order], x[order]
         anchors = np.r_[True, u[1:] != u[:-1]]
-        head = anchors | np.r_[True, w[1:] != w[:-1]]
+        head = anchors | np.r_[True, (w[1:] != w[:-1]) | (x[1:] != x[:-1])]
         heads = np.flatnonzero(head)
         count = np.diff(np.r_[heads, len(u)])
         again = (count > 1) | (np.maximum.reduceat(many[order], heads) > 0)
@@ -237,7 +242,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
         s, g = of(left), g_of(left)
-        state = X.answers(X.replies(right, 0), s.order, s.cuts)
+        state = X.answers(X.replies(right, 0), s.cuts)
         raw, z, out = s.buf.tobytes(), zstandard.ZstdCompressor(level=1), []
         for b, (i, j) in enumerate(zip(s.cuts[:-1], s.cuts[1:], strict=True)):
             e = np.flatnonzero(state[i:j] & SEND) + i
@@ -246,10 +251,10 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
                 data = z.compress(b"".join(raw[x : x + k + length - 1] for x, k in zip(at, n, strict=True)))
                 out.append((b, X.pack(s.under[e], n, (s.anchor - s.start)[s.first[e]], np.frombuffer(data, np.uint8))))
         tables = [X.sent(1, g, out)]
-        keys, _, _, place, cuts, order = _spread(s, state, length, n_buckets)
-        if len(keys):
-            keys, many = keys[order], (np.bincount(place) > 1)[order].astype(np.uint8)
-            tables.append(X.sent(2, g, [(b, X.pack(keys[i:j], many[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]))
+        keys, _, _, place, cuts = _spread(s, state, length, n_buckets)
+        if len(place):
+            many = (np.bincount(place) > 1).astype(np.uint8)
+            tables.append(X.sent(2, g, [(b, X.pack(keys[0][i:j], keys[1][i:j], many[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]))
         return pa.concat_tables(tables)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -259,8 +264,8 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
         s = of(left)
         n = len(s.buf)
         gone = np.zeros(n + 1, np.int64)
-        if len(s.order):
-            state = X.answers(X.replies(right, 0), s.order, s.cuts)
+        if len(s.own):
+            state = X.answers(X.replies(right, 0), s.cuts)
             settled = (state[s.entry] & SETTLED) > 0
             np.add.at(gone, s.start[settled], 1)
             np.add.at(gone, s.stop[settled] + length - 1, -1)
@@ -273,10 +278,9 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
                     which, at = s.windows(e)
                     asked = (state[e] & ASK) > 0
                     hits.append(at[got[b] & asked[which]])
-            keys, where, asked, place, cuts, order = _spread(s, state, length, n_buckets)
-            if len(keys):
-                twice = X.answers({b: [np.unpackbits(x[0], count=int(x[1][0]))] for b, x in X.replies(right, 2).items()}, order, cuts).astype(bool)
-                hits.append(where[twice[place] & asked])
+            _, where, asked, place, cuts = _spread(s, state, length, n_buckets)
+            if len(place):
+                hits.append(where[X.bits(X.replies(right, 2), cuts)[place] & asked])
             if hits:
                 hits = np.concatenate(hits)
                 np.add.at(gone, hits, 1)
@@ -300,12 +304,19 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
 
 def _spread(s: Stretches, state: np.ndarray, length: int, n_buckets: int):
-    """Hashes of the suffixes under hot anchors: distinct ones, each suffix's place, whether it asks, and their dealing."""
+    """Suffixes under hot anchors: their distinct keys in order, each suffix's first byte, whether it asks, its key, and the keys' dealing."""
     e = np.flatnonzero(state & SPREAD) if len(state) else np.zeros(0, np.int64)
+    if not len(e):
+        return None, e, e, e, None
     of, at = s.windows(e)
-    keys, place = np.unique(s.hasher.spans(at, at + length), return_inverse=True)
-    order, cuts = X.dealt(keys, n_buckets)
-    return keys, at, (state[e][of] & ASK) > 0 if len(e) else np.zeros(0, bool), place, cuts, order
+    keys = Exact(s.buf).spans(at, at + length)
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    keys = keys[order]
+    head = np.r_[True, (keys[1:] != keys[:-1]).any(1)]
+    place = np.zeros(len(order), np.int64)
+    place[order] = np.cumsum(head) - 1
+    own = np.ascontiguousarray(keys[head].T)
+    return own, at, (state[e][of] & ASK) > 0, place, X.dealt(own[0], n_buckets)
 
 
 def _sorted(table: pa.Table, length: int) -> pa.Table:
@@ -336,19 +347,15 @@ def _sorted(table: pa.Table, length: int) -> pa.Table:
         rank = sort_block(buf, stop[of], starts, length)
         out[first[own][which] + k] = np.bincount(rank)[rank] > 1
         a = z_
-    cut = np.split(out, np.cumsum([int(p[1].sum()) for p in parts])[:-1])
-    return _bits_reply(table, 1, cut)
+    return X.bits_reply(table, 1, X.split(out, [int(p[1].sum()) for p in parts]))
 
 
 def _counted(table: pa.Table, length: int) -> pa.Table:
     parts = [X.unpack(x) for x in table.column("body").to_pylist()]
-    keys, many = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    order = np.argsort(keys)
-    same = np.r_[False, keys[order][1:] == keys[order][:-1], False]
+    k, x, many = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((x, k))
+    k, x = k[order], x[order]
+    same = np.r_[False, (k[1:] == k[:-1]) & (x[1:] == x[:-1]), False]
     out = many.astype(bool)
     out[order] |= same[1:] | same[:-1]
-    return _bits_reply(table, 2, np.split(out, np.cumsum([len(p[0]) for p in parts])[:-1]))
-
-
-def _bits_reply(table: pa.Table, kind: int, parts: list[np.ndarray]) -> pa.Table:
-    return pa.table({"kind": pa.array([kind] * table.num_rows, pa.int32()), "b": table.column("b"), "g": table.column("g"), "body": pa.array([X.pack(np.packbits(p), np.array([len(p)], np.int64)) for p in parts], pa.binary())})
+    return X.bits_reply(table, 2, X.split(out, [len(p[0]) for p in parts]))

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of its own only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,14 +27,33 @@ def shared(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    The job's shuffle files go as soon as the table stands, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    had = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        if had is None:
+            spark.conf.unset(CLEAN)
+        else:
+            spark.conf.set(CLEAN, had)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes a written table that nothing needs any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0].split("/kind=")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and bytes of text."""
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()

@@ -1,4 +1,4 @@
-"""Vectorised work on Arrow text columns: slicing into bounded blocks, words, and 64-bit hashes.
+"""Vectorised work on Arrow text columns: slicing into bounded blocks, words, and hashes.
 
 A block is a pair (buf, off): the UTF-8 bytes of some rows, concatenated, and the n + 1 row offsets. Null texts count as
 empty. Words are runs of bytes outside SEPARATORS; since these are ASCII, words never cut a UTF-8 character.
@@ -7,6 +7,7 @@ empty. Words are runs of bytes outside SEPARATORS; since these are ASCII, words
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 U = np.uint64
+LONG = 64
+_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+_KEY = bytes.fromhex("8f1d6c0b52e94a37c6d5f0a91b7e2348")
 _MULT = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
@@ -91,8 +95,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Hasher:
-    """Hashes of any spans of a block, from prefix sums of a polynomial modulo 2**64."""
+def keyed(strings: list[bytes], salt: int = 0) -> np.ndarray:
+    """Two 64-bit hashes of each string: the halves of a keyed BLAKE2b, so that no pattern in the text makes them meet."""
+    key = salt.to_bytes(8, "little") + _KEY
+    out = b"".join(hashlib.blake2b(s, digest_size=16, key=key).digest() for s in strings)
+    return np.frombuffer(out, np.uint64).reshape(-1, 2)
+
+
+def gathered(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The spans as an Arrow array of strings of bytes."""
+    size = end - start
+    of, k = ragged(size)
+    off = np.concatenate([[0], np.cumsum(size)])
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf[start[of] + k]))])
+
+
+def numbered(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A number for each span, the same for equal bytes alone, and the different spans in the order of their numbers."""
+    if not len(start):
+        return np.zeros(0, np.int64), []
+    found = gathered(buf, start, end).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+
+
+def hashed(buf: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0, halves: int = 1) -> np.ndarray:
+    """`halves` 64-bit hashes of each span: eight bytes at a time, mixed after each step; spans over LONG bytes by `keyed`."""
+    size = end - start
+    eights = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), 0, (1,))
+    out = [mix(size.astype(np.uint64) * U(_MULT) + U(_SEEDS[k]) + U(salt)) for k in range(halves)]
+    todo, at, every = np.flatnonzero((size > 0) & (size <= LONG)), 0, len(size)
+    while len(todo):
+        whole = len(todo) == every  # most words are short: spare the indexing of the first step
+        rest = size - at if whole else size[todo] - at
+        x = eights[start + at] if whole else eights[start[todo] + at]
+        x &= U(0xFFFFFFFFFFFFFFFF) >> (U(8) * (U(8) - np.minimum(rest, 8).astype(np.uint64)))
+        for h in out:
+            if whole:
+                h[:] = mix(h * U(_MULT) + x)
+            else:
+                h[todo] = mix(h[todo] * U(_MULT) + x)
+        todo, at = todo[rest > 8], at + 8
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        raw = buf.data
+        of_long = keyed([raw[a:b] for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)], salt)
+        for k, h in enumerate(out):
+            h[long] = of_long[:, k]
+    return np.stack(out, 1) if halves > 1 else out[0]
+
+
+class Places:
+    """Hashes of spans of a block from prefix sums of a polynomial modulo 2**64: to pick places and to deal them, never
+    to tell texts apart, as patterns of two strings can be made to meet."""
 
     def __init__(self, buf: np.ndarray, salt: int = 0):
         self.up, self.down = powers(len(buf))
@@ -113,16 +167,70 @@ class Hasher:
         return mix((self.pre[end] - self.pre[start]) * self.down[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
+PRIME = (1 << 61) - 1
+
+
+def times(a: np.ndarray, b) -> np.ndarray:
+    """a * b modulo 2**61 - 1, both below it."""
+    low, p = U((1 << 31) - 1), U(PRIME)
+    b = np.asarray(b, np.uint64)
+    ah, al, bh, bl = a >> U(31), a & low, b >> U(31), b & low
+    mid = ah * bl + al * bh
+    x = ((ah * bh) << U(1)) + (mid >> U(30)) + ((mid & U((1 << 30) - 1)) << U(31)) + al * bl
+    x = (x & p) + (x >> U(61))
+    return np.where(x >= p, x - p, x)
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.ones(max(n, 1), np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = times(out[:more], pow(base, have, PRIME))
+        have += more
+    return out[:n]
+
+
+class Exact:
+    """Two hashes of spans of equal length, each a polynomial modulo 2**61 - 1 at a fixed random base: two different
+    strings of m bytes meet in one with probability m / 2**61, whatever their pattern."""
+
+    BASES = tuple(int.from_bytes(hashlib.blake2b(bytes([k]), digest_size=8, key=_KEY).digest(), "little") % (PRIME - 1000) + 500 for k in range(2))
+
+    def __init__(self, buf: np.ndarray):
+        self.parts = []
+        for base in self.BASES:
+            terms = times(buf.astype(np.uint64) + U(1), _powers_of(base, len(buf)))
+            low, high = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64) % U(PRIME)]) for x in (terms & U((1 << 31) - 1), terms >> U(31)))
+            pre = low + times(high, 1 << 31)
+            self.parts.append((np.where(pre >= U(PRIME), pre - U(PRIME), pre), _powers_of(pow(base, -1, PRIME), len(buf) + 1)))
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = []
+        for pre, down in self.parts:
+            x = pre[end] + U(PRIME) - pre[start]
+            out.append(mix(times(np.where(x >= U(PRIME), x - U(PRIME), x), down[start])))
+        return np.stack(out, 1)
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashed neighbours."""
+    return mix(a * U(_MULT) + b + U(0xD6E8FEB86659FD93))
+
+
 def runs(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive numbers of h; len(h) - k + 1 results."""
+    """Hash of each k consecutive hashes; len(h) - k + 1 results. Built from runs of 1, 2, 4, ..., each mixed again."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out *= U(_MULT)
-        out += h[j : j + n]
-    return mix(out)
+    out, done, part, size = None, 0, h, 1
+    while True:
+        if k & size:
+            out = mix(part) if out is None else joined(out[: len(part) - done], part[done:])
+            done += size
+        if size * 2 > k:
+            return out[:n]
+        part, size = joined(part[: len(part) - size], part[size:]), size * 2
 
 
 def first_min(key: np.ndarray, width: int) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.text import LOWER, Hasher, block_of, in_blocks
+from lexquarry.llm.text import LOWER, block_of, hashed, in_blocks
 from lexquarry.ship import ship
 
 SAMPLE = 1000
@@ -61,17 +61,16 @@ def sentences(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first[1:] &= ~word[:-1] | edge[1:n]
     last[:-1] &= ~word[1:] | edge[1:n]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hasher = Hasher(low, 4)
     row = np.searchsorted(off, start, "right") - 1
     stop = np.concatenate([[0], np.cumsum(_STOP[buf])])[start] + row * (n + 1)
     new = np.r_[True, stop[1:] != stop[:-1]][: len(stop)]
     of = np.cumsum(new) - 1
     heads = np.flatnonzero(new)
     tails = np.r_[heads[1:], len(start)][: len(heads)] - 1
-    h, at = [hasher.spans(start, end)], [of]
+    h, at = [hashed(low, start, end, 4)], [of]
     for k in PREFIXES:
         long = np.flatnonzero(end - start > k)
-        h.append(hasher.spans(start[long], start[long] + k) + np.uint64(k))
+        h.append(hashed(low, start[long], start[long] + k, 4) + np.uint64(k))
         at.append(of[long])
     return np.concatenate(h), np.concatenate(at), row[heads], start[heads], end[tails]
 

@@ -84,6 +84,27 @@ def test_matches_brute_force(frame, corpus, order, n_groups):
             assert r.score == pytest.approx(model.score(t)), i
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_stored_tables_score_as_training_does(frame, corpus, order):
+    docs = frame(corpus)
+    known = F.coalesce(F.col("doc_id") % 4 != 0, F.lit(False))
+    model = katz.fit(docs.where(known), order=order, n_groups=3)
+    want = {r.doc_id: r for r in katz.scored(docs, known, order=order, n_groups=5).collect()}
+    found = {r.doc_id: r for r in katz.scored_with(docs, model, n_groups=2).collect()}
+    assert len(found) == len(want)
+    for i, r in found.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (want[i].n_tokens, want[i].n_known, want[i].train_tokens)
+        assert r.score == pytest.approx(want[i].score) and r.base_score == pytest.approx(want[i].base_score)
+    kinds = {r.kind for r in model.table.select("kind").distinct().collect()}
+    assert kinds == {katz.TABLE + o for o in range(1, order + 1)} | {katz.ALPHA + o for o in range(2, order + 1)}
+
+
+def test_stored_model_of_nothing(frame):
+    model = katz.fit(frame([]))
+    assert [(r.n_tokens, r.n_known, r.score) for r in katz.scored_with(frame(["a b"]), model).collect()] == [(3, 0, 0.0)]
+    assert katz.scored_with(frame([]), model).collect() == []
+
+
 def test_each_context_sums_to_one(corpus):
     model = Brute(corpus, 3)
     words = [g[0] for g in model.count[1]] + ["<never seen>"]
