@@ -7,12 +7,15 @@ that agree within k are one candidate, and Myers' bit-parallel edit distance dec
 
 The benchmark is read in blocks of at most BLOCK characters, each one automaton sent to the executors and one pass over
 the documents; documents are never shuffled. Defined cases: null and empty items match nothing; items shorter than
-LEAST characters match only a document that is the item; null and empty documents match nothing; repeated rows each
-give their matches; item ids that repeat give a match each.
+SHORT characters, for which an edit could make another word, are found without edits and as whole words; null and empty
+documents match nothing; repeated rows each give their matches; item ids that repeat give a match each. A text is searched
+whole, in memory of about 10 times its bytes.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +27,7 @@ from lexquarry.ship import ship
 
 BUDGET = 0.05
 """Edits per character of the item: pieces of about 20 characters."""
-LEAST = 24
+SHORT = 24
 BLOCK = 4_000_000
 
 
@@ -32,9 +35,13 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def edits(item: str, budget: float = BUDGET) -> int:
+    return int(len(item) * budget) if len(item) >= SHORT else 0
+
+
 def pieces(item: str, budget: float = BUDGET) -> list[tuple[int, str]]:
     """k + 1 pieces and where they begin."""
-    n = int(len(item) * budget) + 1
+    n = edits(item, budget) + 1
     cut = [len(item) * i // n for i in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
@@ -76,14 +83,10 @@ class Matcher:
         self.texts = [t for _, t in items]
         self.peq: dict[int, dict[str, int]] = {}
         self.budget = budget
-        self.whole: dict[str, list[int]] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for n, t in enumerate(self.texts):
-            if 0 < len(t) < LEAST:
-                self.whole.setdefault(t, []).append(n)
-            elif t:
-                for at, piece in pieces(t, budget):
-                    found.setdefault(piece, []).append((n, at))
+            for at, piece in pieces(t, budget) if t else ():
+                found.setdefault(piece, []).append((n, at))
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -94,7 +97,7 @@ class Matcher:
     def find(self, text: str) -> list[tuple[object, int, int]]:
         """(item id, distance, end in the normalised text) of each item in it."""
         text = normal(text)
-        out = [(self.ids[n], 0, len(text)) for n in self.whole.get(text, [])]
+        out = []
         begins: dict[int, set[int]] = {}
         if self.any:
             for end, (size, where) in self.automaton.iter(text):
@@ -102,7 +105,11 @@ class Matcher:
                     begins.setdefault(n, set()).add(end - size + 1 - at)
         for n, starts in begins.items():
             item = self.texts[n]
-            m, k = len(item), int(len(item) * self.budget)
+            m, k = len(item), edits(item, self.budget)
+            if m < SHORT:
+                ends = [a + m for a in sorted(starts) if _alone(text, a, a + m)]
+                out += [(self.ids[n], 0, ends[0])] if ends else []
+                continue
             if n not in self.peq:
                 self.peq[n] = masks(item)
             best = None
@@ -120,6 +127,11 @@ class Matcher:
         return out
 
 
+def _alone(text: str, a: int, b: int) -> bool:
+    """Whether no letter or digit goes on before or after."""
+    return not (a and text[a - 1].isalnum() and text[a].isalnum()) and not (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())
+
+
 def _together(starts: list[int], k: int) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s in starts:
@@ -130,7 +142,8 @@ def _together(starts: list[int], k: int) -> list[tuple[int, int]]:
     return out
 
 
-_matchers: dict[int, Matcher] = {}
+_matchers: dict[str, Matcher] = {}
+"""The last matcher made in this worker, by the name of its block."""
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str):
@@ -158,8 +171,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     for block in _blocks(benchmark, item_id, item_text):
         sent = sc.broadcast(block)
 
-        def look(batches, sent=sent):
-            key = sent.id if hasattr(sent, "id") else id(sent)
+        def look(batches, sent=sent, key=uuid.uuid4().hex):
             matcher = _matchers.get(key)
             if matcher is None:
                 _matchers.clear()

@@ -10,12 +10,18 @@ languages) once; documents are then scored with one lookup per trigram, at any d
 taken as sqrt(dim * sum of squared counts): bundled random vectors are orthogonal up to a relative 1/sqrt(dim), and the
 norm is the same for all languages, so it never changes which one is closest.
 
+The tables are made by Spark, a language each, and stored. A document is compared with BLOCK languages at a time, each
+block a broadcast of at most BLOCK * LETTERS**3 numbers (64 MB) and one more pass over the documents in the same stage.
+
 Defined cases: a null text or one without a letter gives `und` with score 0; null labels teach nothing; equal cosines
-go to the first language by code point; with nothing learned every text is `und`. Extra columns are kept by `identify`.
+go to the first language by code point; with nothing learned every text is `und`. Extra columns are kept by `identify`;
+one named as an added column is replaced. A text is read whole, in memory of about 45 times its bytes.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +35,7 @@ from lexquarry.ship import ship
 LETTERS = 64
 """Vectors for letters: 0 is any run of other characters, 1 to 26 are a to z, further letters share the rest."""
 DIM = 2048
-MAX_LANGUAGES = 512
-"""More languages than this are an error: prototypes and the projection table are held by the driver."""
+BLOCK = 64
 SHARPNESS = 25.0
 UNKNOWN = "und"
 
@@ -119,32 +124,33 @@ def prototype(n: np.ndarray, letters: np.ndarray) -> np.ndarray:
     return sum(((first[a] * second) * (n[a] @ letters)).sum(0, dtype=np.float64) for a in range(LETTERS))
 
 
-def projection(counts: dict[str, np.ndarray], dim: int = DIM, seed: int = 9) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and the product of each trigram's vector with each prototype scaled to length 1."""
-    letters, names = letter_vectors(dim, seed), sorted(counts)
+@dataclass(frozen=True)
+class Model:
+    """lang, profile: a row per language, stored; and the languages in order."""
+
+    profiles: DataFrame
+    names: list[str]
+
+
+def projected(n: np.ndarray, dim: int = DIM, seed: int = 9) -> np.ndarray:
+    """The product of each trigram's vector with the prototype of these counts, scaled to length 1."""
+    letters = letter_vectors(dim, seed)
     first, second = np.roll(letters, 2, 1), np.roll(letters, 1, 1)
-    table = np.zeros((len(names), LETTERS, LETTERS, LETTERS), np.float32)
-    for k, name in enumerate(names):
-        p = prototype(counts[name], letters)
-        p = (p / max(np.linalg.norm(p), 1e-12)).astype(np.float32)
-        for a in range(LETTERS):
-            table[k, a] = (first[a] * second * p) @ letters.T
-    return names, table.reshape(len(names), LETTERS**3)
-
-
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM, seed: int = 9) -> tuple[list[str], np.ndarray]:
-    """Prototypes from all labelled rows. The driver gets at most MAX_LANGUAGES * LETTERS**3 counts."""
-    found = written(gram_counts(docs, text, lang), "grams")
-    if len(found.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts: dict[str, np.ndarray] = {}
-    got = found.toArrow()
-    names = got.column("lang").to_numpy(zero_copy_only=False)
-    grams, n = got.column("gram").to_numpy(), got.column("n").to_numpy()
-    for name in set(names):
-        counts[name] = np.zeros(LETTERS**3, np.int64)
-        counts[name][grams[names == name]] = n[names == name]
-    return projection(counts, dim, seed)
+    p = prototype(n, letters)
+    p = (p / max(np.linalg.norm(p), 1e-12)).astype(np.float32)
+    return np.stack([(first[a] * second * p) @ letters.T for a in range(LETTERS)]).reshape(LETTERS**3).astype(np.float32)
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM, seed: int = 9) -> Model:
+    """Prototypes from all labelled rows. The driver gets the languages' names."""
+
+    def profile(table: pa.Table) -> pa.Table:
+        n = np.zeros(LETTERS**3, np.int64)
+        n[table.column("gram").to_numpy()] = table.column("n").to_numpy()
+        return pa.table({"lang": table.column("lang").slice(0, 1), "profile": pa.array([projected(n, dim, seed).tobytes()], pa.binary())})
+
+    profiles = written(gram_counts(docs, text, lang).groupBy("lang").applyInArrow(profile, "lang string, profile binary"), "language-profiles")
+    return Model(profiles, sorted(r.lang for r in profiles.select("lang").collect()))
 
 
 def cosines(buf: np.ndarray, off: np.ndarray, table: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,25 +165,38 @@ def cosines(buf: np.ndarray, off: np.ndarray, table: np.ndarray, dim: int) -> tu
     return dots / np.sqrt(dim * np.maximum(square, 1))[:, None], lettered
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", dim: int = DIM) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text", dim: int = DIM, block: int = BLOCK) -> DataFrame:
     """docs with lang_pred, score (the softmax share of the closest language) and cosine added."""
     ship(docs.sparkSession)
-    names, table = model
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    given = [c for c in docs.columns if c not in ("lang_pred", "score", "cosine")]
-    schema = T.StructType([docs.schema[c] for c in given]).add("lang_pred", "string").add("score", "double").add("cosine", "double")
-
-    def predict(batches):
-        for batch in in_blocks(batches, text):
-            cos, lettered = cosines(*block_of(batch.column(given.index(text))), shared.value, dim)
-            if names:
+    sc = docs.sparkSession.sparkContext
+    added = {"lang_pred": "string", "score": "double", "cosine": "double"}
+    given = [c for c in docs.columns if c not in added]
+    schema = T.StructType([docs.schema[c] for c in given])
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
+    # until the end, score is the sum of exp(SHARPNESS * cosine) relative to the closest language so far
+    found = docs.select(*given, F.lit(None).cast("string").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cosine"))
+
+    def against(names: list[str], shared):
+        def compare(batches):
+            for batch in in_blocks(batches, text):
+                n = len(given)
+                cos, lettered = cosines(*block_of(batch.column(given.index(text))), shared.value, dim)
+                had, total, top = batch.column(n).to_pylist(), batch.column(n + 1).to_numpy(), batch.column(n + 2).to_numpy()
                 best = cos.argmax(1)
-                top = cos[np.arange(len(best)), best]
-                share = 1 / np.exp(SHARPNESS * (cos - top[:, None])).sum(1)
-                picked = [names[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
-            else:
-                top = share = np.zeros(batch.num_rows)
-                picked = [UNKNOWN] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(picked, pa.string()), pa.array(np.where(lettered, share, 0.0)), pa.array(np.where(lettered, top, 0.0))], [*given, "lang_pred", "score", "cosine"])
-
-    return docs.select(given).mapInArrow(predict, schema)
+                now = cos[np.arange(len(best)), best]
+                new = np.array([h is None for h in had], bool) | (now > top)
+                high = np.where(new, now, top)
+                total = np.where([h is None for h in had], 0.0, total * np.exp(SHARPNESS * (top - high))) + np.exp(SHARPNESS * (cos - high[:, None])).sum(1)
+                picked = [(names[b] if w else h) if ok else None for b, w, h, ok in zip(best, new, had, lettered, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(picked, pa.string()), pa.array(total), pa.array(high)], schema=batch.schema)
+
+        return compare
+
+    for k in range(0, len(model.names), block):
+        names = model.names[k : k + block]
+        profiles = {r.lang: bytes(r.profile) for r in model.profiles.where(F.col("lang").isin(names)).collect()}
+        shared = sc.broadcast(np.stack([np.frombuffer(profiles[n], np.float32) for n in names]))
+        found = found.mapInArrow(against(names, shared), schema)
+    known = F.col("lang_pred").isNotNull()
+    return found.select(*given, F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.when(known, 1 / F.col("score")).otherwise(0.0).alias("score"), F.when(known, F.col("cosine")).otherwise(0.0).alias("cosine"))

@@ -18,29 +18,37 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexquarry.llm.tables import orderable
+
 ROWS_PER_PARTITION = 100_000
-MAX_CELLS = 50_000_000
-"""Of the communication matrix, which the driver holds."""
+MAX_CELLS = 2_000_000
+"""Of the communication matrix, which the driver holds; beyond, partitions hold more rows instead."""
+MANY = 10**9
+"""numpy's samplers take populations under this number."""
+DRAWN = 1_000_000
+
+
+def drawn(left: np.ndarray, n: int, rng: np.random.Generator, many: int = MANY, at_once: int = DRAWN) -> np.ndarray:
+    """How many of n rows go to each shard, given the places left in each: exact at any size.
+
+    Beyond `many` places, distinct places themselves are drawn, `at_once` at a time, and counted by shard.
+    """
+    left, out = left.copy(), np.zeros(len(left), np.int64)
+    while n:
+        if left.sum() < many:
+            return out + rng.multivariate_hypergeometric(left, n, method="marginals")
+        k = min(n, at_once)
+        places = rng.choice(int(left.sum()), k, replace=False, shuffle=False)
+        take = np.bincount(np.searchsorted(np.cumsum(left), places, "right"), minlength=len(left))
+        out, left, n = out + take, left - take, n - k
+    return out
 
 
-def matrix(rows: np.ndarray, shards: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def matrix(rows: np.ndarray, shards: np.ndarray, rng: np.random.Generator, many: int = MANY, at_once: int = DRAWN) -> np.ndarray:
     """How many of each partition's rows go to each shard. Row sums and column sums are exact."""
     left, out = shards.astype(np.int64).copy(), np.zeros((len(rows), len(shards)), np.int64)
     for p, n in enumerate(rows):
-        rest, want = int(left.sum()), int(n)
-        for s, size in enumerate(left):
-            if not want:
-                break
-            # numpy's sampler takes numbers under 1e9; beyond, the normal limit, held to what is possible
-            other = rest - int(size)
-            if max(int(size), other) < 10**9:
-                k = int(rng.hypergeometric(int(size), other, want)) if size else 0
-            else:
-                share = size / rest
-                sd = (want * share * (1 - share) * (rest - want) / max(rest - 1, 1)) ** 0.5
-                k = round(rng.normal(want * share, sd))
-            k = min(max(k, want - other, 0), want, int(size))
-            out[p, s], want, rest = k, want - k, other
+        out[p] = drawn(left, int(n), rng, many, at_once)
         left -= out[p]
     return out
 
@@ -48,18 +56,17 @@ def matrix(rows: np.ndarray, shards: np.ndarray, rng: np.random.Generator) -> np
 def shard(docs: DataFrame, n_shards: int = 8, keys: list[str] | None = None, seed: int = 3, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
     """docs with `shard` (sizes at most one row apart) and `slot` (gapless from 0 in each shard).
 
-    keys: the columns whose hash orders rows; all of them tell rows apart, and by default all are used.
+    keys: the columns whose hash orders rows; all of them tell rows apart, and by default all but maps are used.
     """
     spark = docs.sparkSession
     given = [c for c in docs.columns if c not in ("shard", "slot")]
-    keys = keys or given
-    drawn = lambda k: F.xxhash64(F.lit(f"{seed}:{k}"), *keys)
+    keys = keys or [c for c in given if orderable(docs.schema[c].dataType)]
+    of_row = lambda k: F.xxhash64(F.lit(f"{seed}:{k}"), *keys)
     n = docs.count()
     parts = max(1, -(-n // rows_per_partition), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 1000)))
-    if parts * n_shards > MAX_CELLS:
-        raise ValueError("raise rows_per_partition: the communication matrix is too large")
+    parts = min(parts, max(1, MAX_CELLS // n_shards))
     # the rows travel as one column, so that no name of theirs can clash
-    base = docs.select(F.struct(*given).alias("row"), F.pmod(drawn("part"), F.lit(parts)).cast("int").alias("_p"), drawn("first").alias("_a"), drawn("second").alias("_b"))
+    base = docs.select(F.struct(*given).alias("row"), F.pmod(of_row("part"), F.lit(parts)).cast("int").alias("_p"), of_row("first").alias("_a"), of_row("second").alias("_b"))
 
     counts = np.zeros(parts, np.int64)
     for p, c in base.groupBy("_p").count().collect():
@@ -68,7 +75,6 @@ def shard(docs: DataFrame, n_shards: int = 8, keys: list[str] | None = None, see
     sent = matrix(counts, sizes, np.random.default_rng(seed))
     upto = np.cumsum(sent, 1)
     plan = spark.createDataFrame([(p, [int(x) for x in upto[p]]) for p in range(parts)], "_p int, _upto array<bigint>")
-    # at most MAX_CELLS numbers, so the driver's bound is the broadcast's
     cut = F.broadcast(plan) if parts * n_shards <= 1_000_000 else plan
 
     ties = [F.col("row")[k] for k in keys]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -33,6 +35,8 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     """
     spark = df.sparkSession
     path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    if Scratch.now is not None:
+        Scratch.now.paths.append(path)
     writer = df.write.option("compression", "zstd")
     had = spark.conf.get(CLEAN, None)
     spark.conf.set(CLEAN, "true")
@@ -43,15 +47,49 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
             spark.conf.unset(CLEAN)
         else:
             spark.conf.set(CLEAN, had)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _folders[table] = path
+    return table
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes a written table that nothing needs any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0].split("/kind=")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def forget(table: DataFrame, part: str = "") -> None:
+    """Deletes a written table, or one partition of it, that nothing reads any more."""
+    sc = table.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{_folders[table]}/{part}" if part else _folders[table])
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def orderable(kind: T.DataType) -> bool:
+    """Whether rows can be hashed and ordered by a column of this type."""
+    if isinstance(kind, T.StructType):
+        return all(orderable(f.dataType) for f in kind)
+    return orderable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
+class Scratch:
+    """Deletes the tables that were written inside, except the last, which holds the result."""
+
+    now: Scratch | None = None
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self.outer, Scratch.now = Scratch.now, self
+        return self
+
+    def __exit__(self, *failed) -> None:
+        Scratch.now = self.outer
+        self.drop(self.paths[:-1])
+
+    def drop(self, paths: list[str]) -> None:
+        sc = self.spark.sparkContext
+        for p in paths:
+            path = sc._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:

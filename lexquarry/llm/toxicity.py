@@ -3,15 +3,17 @@
 A document is a bag of sentences. A sentence's score is a logistic model of its distinct features, which are its words
 and their beginnings of PREFIXES bytes (offensive stems take many endings); the document's is their
 noisy-or, 1 - prod(1 - s): one offending sentence is enough. Labels exist for documents alone; the gradient of the
-document's likelihood shares the blame among its sentences, so that the trained model also says which one offends.
+document's likelihood shares the blame among its sentences, so that the trained model also says which ones offend.
 
 Sentences end at . ! ? and line ends; words are runs of letters and digits, lower-cased in A-Z. The model is fitted on
-at most SAMPLE labelled documents of each class, each of at most SAMPLE_BYTES, picked by hash of id, each class weighted
-by the root of its size; its features are those of at least LEAST_DOCS sampled documents that occur in more or fewer
+at most SAMPLE labelled documents of each class, picked by hash of id until they have SAMPLE_BYTES together, each class
+weighted by the root of its size; its features are those of at least LEAST_DOCS sampled documents that occur in more or fewer
 documents of one class by SIGNIFICANT standard errors. Everything else reads whole texts of all rows.
 
 Defined cases: null and empty texts have no sentence and score 0; without labels of both classes no score exceeds 1e-9;
-documents with several labels count as toxic if any label says so. Extra columns are dropped by `score`.
+documents with several labels count as toxic if any label says so, and of several texts of one id the first in order
+teaches. Extra columns are dropped by `score`. A text is read
+whole, in memory of about 60 times its bytes; smaller texts share blocks of 1 MB.
 """
 
 from __future__ import annotations
@@ -20,20 +22,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.llm.text import LOWER, block_of, hashed, in_blocks
 from lexquarry.ship import ship
 
 SAMPLE = 1000
-SAMPLE_BYTES = 1 << 16
+SAMPLE_BYTES = 32 << 20
 LEAST_DOCS = 5
 SIGNIFICANT = 4.0
 STEPS = 200
 PREFIXES = (3, 4, 5)
 RIDGE = 2e-5
 CUT = 0.7
+OFFENDING = 0.5
+"""Least score of a sentence that is listed."""
 
 _WORD = np.zeros(256, bool)
 _WORD[list(b"abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
@@ -105,8 +109,8 @@ def fit_bags(word: np.ndarray, sentence: np.ndarray, row: np.ndarray, y: np.ndar
     return p[:-1], float(p[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """labels: doc_id and 0 or 1. The driver gets at most 2 * sample documents' word hashes."""
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """labels: doc_id and 0 or 1. The driver gets the word hashes of at most `sample` documents of each class, which before the last of them have less than sample_bytes."""
     ship(docs.sparkSession)
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
     y = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("y"))
@@ -114,7 +118,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if len(share) < 2:
         return none
     picked = y.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionAll(y.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    # at most 2 * sample ids are broadcast, and as many texts ordered in the windows
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    upto = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    texts = texts.withColumn("size", F.octet_length("text").cast("long")).withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0))).where(F.col("before") < sample_bytes)
 
     def bags(batches):
         for batch in in_blocks(batches):
@@ -124,8 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             base = np.searchsorted(row, np.arange(batch.num_rows))
             yield pa.record_batch({"y": batch.column(0), "words": pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), "of": pa.array([(of[a:b] - s).astype(np.int32).tobytes() for a, b, s in zip(cut[:-1], cut[1:], base, strict=True)], pa.binary())})
 
-    # at most 2 * sample ids are broadcast
-    got = texts.join(F.broadcast(picked), "doc_id").select("y", "text").mapInArrow(bags, "y int, words binary, of binary").toArrow()
+    got = texts.select("y", "text").mapInArrow(bags, "y int, words binary, of binary").toArrow()
     y_ = got.column("y").to_numpy()
     if len(set(y_.tolist())) < 2:
         return none
@@ -157,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score, n_sentences, and the worst sentence: its score and its first and last byte (null if none)."""
+    """doc_id, score, n_sentences, the worst sentence with its score, first and last byte (null if none), and `offending`: all
+    sentences that score OFFENDING or more, in order, as structs of begin, end and score."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -182,7 +189,12 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             _, off = block_of(batch.column(1))
             s[row[worst]] = 1 / (1 + np.exp(-z[worst]))
             a[row[worst]], b[row[worst]] = begin[worst] - off[row[worst]], end[worst] - off[row[worst]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(np.bincount(row, minlength=n), pa.int64()), pa.array(s, mask=none), pa.array(a, mask=none), pa.array(b, mask=none)], ["doc_id", "score", "n_sentences", "worst_score", "worst_begin", "worst_end"])
+            each = 1 / (1 + np.exp(-z))
+            bad = np.flatnonzero(each >= OFFENDING)
+            bad = bad[np.argsort(row[bad], kind="stable")]
+            listed = pa.StructArray.from_arrays([pa.array(begin[bad] - off[row[bad]], pa.int64()), pa.array(end[bad] - off[row[bad]], pa.int64()), pa.array(each[bad])], ["begin", "end", "score"])
+            offending = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[bad], np.arange(n + 1)), pa.int32()), listed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(np.bincount(row, minlength=n), pa.int64()), pa.array(s, mask=none), pa.array(a, mask=none), pa.array(b, mask=none), offending], ["doc_id", "score", "n_sentences", "worst_score", "worst_begin", "worst_end", "offending"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(rate, f"doc_id {kind}, score double, n_sentences long, worst_score double, worst_begin long, worst_end long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(rate, f"doc_id {kind}, score double, n_sentences long, worst_score double, worst_begin long, worst_end long, offending array<struct<begin:bigint,end:bigint,score:double>>")

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -40,7 +41,7 @@ def noisy(text, n, rng):
 def test_matches_brute_force(spark, frame):
     rng = random.Random(3)
     filler = "some other words that are not in any item at all "
-    texts = [None, "", "tiny one", "Tiny   ONE", "a tiny one inside"]
+    texts = [None, "", "tiny one", "Tiny   ONE", "a tiny one inside", "a tiny ones", "untiny one", "tiny one, (tiny one)", "tiny onetiny one tiny one"]
     for i in (1, 2):
         m = ITEMS[i]
         for n in range(0, 9):
@@ -53,13 +54,21 @@ def test_matches_brute_force(spark, frame):
         want = set()
         for i, item in ITEMS.items():
             n, text = D.normal(item), D.normal(t)
-            if 0 < len(n) < D.LEAST:
-                want |= {(i, 0)} if n == text else set()
+            if 0 < len(n) < D.SHORT:
+                want |= {(i, 0)} if re.search(rf"(?<!\w){n}(?!\w)", text) else set()
             elif n and text and (d := edits(n, text)) <= int(len(n) * D.BUDGET):
                 want.add((i, d))
         assert got[k] == want, (k, t)
 
 
+@pytest.mark.parametrize("size", [19, 20, 23, 24, 25, 40])
+def test_both_sides_of_short(spark, frame, size):
+    item = "abcdefghij klmnopqrst uvwxyz ABCDEFGHIJ KLMN"[:size].strip()
+    texts = [f"say {item} twice {item}", f"say {item}", item[:5] + "#" + item[5:], "nothing"]
+    found = [{(x.item_id, x.distance) for x in r["items"]} for r in D.matched(frame(texts), spark.createDataFrame([(1, item)], "item_id long, text string")).orderBy("doc_id").collect()]
+    assert found == [{(1, 0)}, {(1, 0)}, {(1, 1)} if len(item) >= D.SHORT else set(), set()]
+
+
 @pytest.mark.parametrize("block", [10, 120])
 def test_benchmark_in_blocks(spark, frame, monkeypatch, block):
     docs = frame([ITEMS[1], ITEMS[2], "nothing"])

@@ -54,6 +54,41 @@ def test_rates_are_an_exponential_tilt(frame):
     assert tilted
 
 
+def test_a_source_that_misses_its_target_is_an_error(spark):
+    counts = spark.createDataFrame([("a", n, 10) for n in range(1, 60)], "source string, size long, n long")
+    size = {"a": 10 * sum(range(1, 60))}
+    lam, scale = mixing.balance(counts, {"a": 0.8 * size["a"]}, size)["a"]
+    assert sum(10 * n * min(2, np.exp(lam * n / scale)) for n in range(1, 60)) == pytest.approx(0.8 * size["a"])
+    with pytest.raises(RuntimeError, match="'a'"):
+        mixing.balance(counts, {"a": 0.8 * size["a"]}, size, steps=2)
+
+
+def test_query_matches_brute_force(spark):
+    """Sizes, targets, the tilt by its own bisection, and systematic rounding of a source's taken words."""
+    from lexquarry.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r for r in queries.documents(spark, folder).collect()}
+    rows = queries.op5_mixing(spark, folder).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    own = {}
+    for r in rows:
+        assert r.size == words(texts[r.doc_id].text) and r.taken == r.copies * r.size and 0 <= r.copies <= 2
+        own.setdefault(texts[r.doc_id].source, []).append(r)
+    want = mixing.targets({s: sum(r.size for r in of) for s, of in own.items()})
+    for s, of in own.items():
+        sizes = np.array([r.size for r in of], float)
+        low, high = -5000.0, 5000.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (sizes * np.minimum(2, np.exp(np.minimum(mid * sizes / sizes.mean(), 50)))).sum() < want[s] else (low, mid)
+        rate = np.minimum(2, np.exp(np.minimum(low * sizes / sizes.mean(), 50)))
+        assert all(r.target == pytest.approx(want[s]) for r in of) and {r.source_size for r in of} == {sizes.sum()}
+        assert [r.rate for r in of] == pytest.approx(rate.tolist(), abs=1e-5)
+        assert abs(sum(r.taken for r in of) - want[s]) <= sizes.max()
+        assert all(abs(r.copies - r.rate) < 1 + 1e-6 for r in of)
+
+
 def test_hot_source_of_copies_and_reruns(frame):
     docs = frame([(i, "the same five words here") for i in range(900)] + [(1000 + i, f"w{i} x y") for i in range(60)])
     docs = docs.withColumn("source", F.when(F.col("doc_id") < 900, "hot").when(F.col("doc_id") % 2 == 0, F.lit(None)).otherwise("other"))

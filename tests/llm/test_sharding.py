@@ -24,6 +24,43 @@ def test_matrix_follows_the_hypergeometric_law():
     assert chi_square_ok(seen[:5], want[:5])
 
 
+@pytest.mark.parametrize("many", [5, 10, 10**9])
+def test_draws_beyond_numpys_range_follow_the_same_law(many):
+    """Places drawn themselves, in parts, until few are left."""
+    from math import comb
+
+    rng = np.random.default_rng(2)
+    seen = np.bincount([sharding.drawn(np.array([5, 8, 7]), 9, rng, many, 4)[0] for _ in range(4000)], minlength=6)
+    want = np.array([comb(5, k) * comb(15, 9 - k) / comb(20, 9) for k in range(6)]) * 4000
+    assert chi_square_ok(seen, want)
+
+
+def test_margins_of_a_huge_table():
+    rows, shards = np.full(30, 100_000_000), np.full(8, 375_000_000)
+    m = sharding.matrix(rows[:2], shards, np.random.default_rng(1), at_once=100_000_000 // 50)
+    assert (m.sum(1) == 100_000_000).all() and abs(m / 12_500_000 - 1).max() < 1e-3
+
+
+def test_more_cells_than_the_driver_holds(frame, monkeypatch):
+    monkeypatch.setattr(sharding, "MAX_CELLS", 8)
+    rows = sharding.shard(frame([f"text {i}" for i in range(300)]), 4, ["doc_id"], rows_per_partition=10).collect()
+    assert sorted(sum(r.shard == s for r in rows) for s in range(4)) == [75] * 4
+
+
+def test_query_matches_its_contract(spark):
+    import zlib
+
+    from lexquarry.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode() for r in queries.documents(spark, folder).collect()}
+    rows = queries.op3_sharding(spark, folder).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts) and {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None}
+    assert all(r.size == len(texts[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id]) for r in rows)
+    per = [sorted(r.slot for r in rows if r.shard == s) for s in range(8)]
+    assert all(p == list(range(len(p))) for p in per) and max(map(len, per)) - min(map(len, per)) <= 1
+
+
 @pytest.mark.parametrize(("n", "shards"), [(0, 8), (3, 8), (1000, 8), (1001, 7)])
 def test_sizes_and_slots_are_exact(frame, n, shards):
     rows = sharding.shard(frame([f"text {i % 50}" for i in range(n)]), shards, ["doc_id", "text"], rows_per_partition=60).collect()

@@ -33,10 +33,55 @@ def test_finds_toxic_documents_and_their_sentences(spark, frame, marked):
     for i, t, y in held:
         if y and got[i].score >= T.CUT:
             assert any(w in t.encode()[got[i].worst_begin : got[i].worst_end].decode() for w in ("nasty", "awful", "vile"))
+    for i, t, y in held:
+        spans = [t.encode()[s.begin : s.end].decode() for s in got[i].offending]
+        assert all(any(w in x for w in ("nasty", "awful", "vile")) for x in spans) or not y
+        assert [s.score >= T.OFFENDING for s in got[i].offending] == [True] * len(spans)
     again = T.fit(docs.repartition(7), labels)
     assert (again.words == model.words).all() and np.allclose(again.weights, model.weights)
 
 
+def test_every_offending_sentence_is_listed(spark, frame, marked):
+    docs = frame([(i, t) for i, t, _ in marked])
+    model = T.fit(docs, spark.createDataFrame([(i, y) for i, _, y in marked], "doc_id long, toxic int"))
+    r, = T.score(frame(["word1 nasty word2. word3 word4. word5 vile! word6\nawful word7"]), model).collect()
+    assert [(s.begin, s.end) for s in r.offending] == [(0, 17), (32, 42), (50, 61)] and r.n_sentences == 5
+
+
+def test_scores_match_brute_force(spark, frame, marked):
+    """The noisy-or of a logistic model of each sentence's features, in plain Python."""
+    import math
+    import re
+
+    from lexquarry.llm.text import hashed
+
+    docs = frame([(i, t) for i, t, _ in marked])
+    model = T.fit(docs, spark.createDataFrame([(i, y) for i, _, y in marked], "doc_id long, toxic int"))
+    weight = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+
+    def feature(w, k=0):
+        b = np.frombuffer(w, np.uint8)
+        return (int(hashed(b, np.array([0]), np.array([len(b)]), 4)[0]) + k) % 2**64
+
+    for r, (_, t, _) in zip(T.score(docs, model).orderBy("doc_id").limit(150).collect(), marked, strict=False):
+        clean = 1.0
+        for s in re.split(rb"[.!?\n]", t.encode().lower()):
+            found = re.findall(rb"[a-z0-9\x80-\xff]+", s)
+            if found:
+                z = model.bias + sum(weight.get(f, 0) for f in {feature(w) for w in found} | {feature(w[:k], k) for w in found for k in T.PREFIXES if len(w) > k})
+                clean *= 1 - 1 / (1 + math.exp(-z))
+        assert r.score == pytest.approx(1 - clean, abs=1e-9)
+
+
+def test_long_texts_teach_within_the_bound(spark, frame):
+    long = "quiet words here. " * 8000
+    docs = frame([(i, (long if i % 5 == 0 else "") + ("nasty thing. " if i < 20 else "plain thing. ")) for i in range(40)])
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, toxic int")
+    whole = T.fit(docs, labels)
+    assert len(whole.words) and all(r.score > 0.5 for r in T.score(docs, whole).where("doc_id < 20").collect())
+    assert len(T.fit(docs, labels, sample_bytes=1).words) == 0
+
+
 def test_score_is_the_noisy_or_of_sentences():
     h, of, row, begin, end = T.sentences(*block_of(pa.array(["One two. Three! four", "", None, "five\nsix", "..."])))
     assert row.tolist() == [0, 0, 0, 3, 3] and begin.tolist()[:3] == [0, 9, 16] and end.tolist()[:3] == [7, 14, 20]
