@@ -15,6 +15,7 @@ IMAGE_WORDS = r"(?iU)\b(hình|hinh|ảnh|anh|figure|sơ đồ|so do|biểu đồ
 MORE_ROWS = ("... (cắt bớt, còn ", " dòng)")
 CUT_NOTE = "\n... (cắt bớt theo giới hạn ký tự)"
 
+# Fixed value: how the line below a Markdown table's header looks.
 SEPARATOR = r"(?U)^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$"
 
 
@@ -81,6 +82,28 @@ def html_to_text(html: Column) -> Column:
     return collapse(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?i)<\s*br\s*/?>", "\n"), r"<[^>]+>", " "))
 
 
+def cells(html: Column) -> Column:
+    """Rows of cells of an HTML table, each without its tags; tables inside cells are read as their rows."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=</tr>|<tr\b|</table>|\z)"), 1)
+    return F.filter(F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)(?=</t[hd]>|<t[hd]\b|\z)"), 1), lambda c: F.replace(plain(c), F.lit("|"), F.lit("\\|")))), lambda r: F.size(r) > 0)
+
+
+def plain(html: Column) -> Column:
+    """Text of HTML with the five named entities and the hard space read."""
+    out = html_to_text(html)
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return strip(out)
+
+
+def html_to_markdown(html: Column) -> Column:
+    """A Markdown table of an HTML one, short rows filled up; the text without its tags where it holds no table."""
+    found = cells(html)
+    width = F.array_max(F.transform(found, F.size))
+    even = F.transform(found, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+    return F.when(F.size(found) > 0, grid(even)).otherwise(html_to_text(html))
+
+
 def grid(cells: Column) -> Column:
     """Markdown of an array of rows of cells; the first row is the header."""
     clean = lambda c: F.replace(strip(F.coalesce(c, F.lit(""))), F.lit("\n"), F.lit(" "))

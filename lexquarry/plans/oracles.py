@@ -32,6 +32,7 @@ DENSE = """pairs AS (SELECT item_id AS query_id, e.vec_id AS id,
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rn FROM pairs) WHERE rn <= 20),
 sims AS (SELECT *, CASE WHEN mx <= mn + 1e-12 THEN 1.0 ELSE 1.0 - (distance - mn) / (mx - mn) END AS similarity
   FROM (SELECT *, min(distance) OVER (PARTITION BY query_id) AS mn, max(distance) OVER (PARTITION BY query_id) AS mx FROM near))"""
+_NEIGHBOURS = DENSE.replace("SELECT item_id AS query_id,", "SELECT q.vec_id AS query_id,").replace("FROM benchmark JOIN embeddings q ON q.vec_id = item_id CROSS JOIN embeddings e)", "FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 20 = 0)")
 FUSED = f"""{OKAPI}, {DENSE},
 joined AS (SELECT coalesce(n.query_id, l.query_id) AS query_id, coalesce(n.id, l.id) AS id, bm25, round(distance, 6) AS distance,
     coalesce(1.0::DOUBLE / (60 + n.rn), 0) + coalesce(1.0::DOUBLE / (60 + l.rn), 0) AS score_rrf
@@ -133,20 +134,14 @@ _MM = lambda c: f"CASE WHEN max({c}) OVER w <= min({c}) OVER w + 1e-12 THEN 1.0
 ORACLES = {
     "hybrid_search": f"WITH {FUSED} SELECT query_id, rank::INT AS rank, id, bm25, distance, round(score_rrf, 6) AS score_rrf FROM fused WHERE rank <= 12",
     "bm25_okapi_topk": f"WITH {OKAPI} SELECT query_id, id, rn::INT AS rn, bm25 FROM lex",
-    "bm25_fts_topk": f"""WITH {BM25}, asked AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens("regexp_extract(lower(text), '^\\S+\\s+\\S+')")}) AS term FROM benchmark),
+    "bm25_fts_topk": f"""WITH {BM25}, asked AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens("text")}) AS term FROM benchmark),
       need AS (SELECT query_id, count(*) AS need FROM asked GROUP BY query_id),
       scored AS (SELECT query_id, id, count(*) AS has, round(-sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END
         * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 8) AS rank FROM asked JOIN df USING (term) JOIN post USING (term) JOIN dls USING (id), st GROUP BY query_id, id)
       SELECT query_id, id, rn::INT AS rn, rank AS fts_rank, -rank AS score_lex
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, id) AS rn FROM scored JOIN need USING (query_id) WHERE has = need) WHERE rn <= 50""",
-    "bm25_fts_whole_topk": f"""WITH {BM25}, asked AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens("text")}) AS term FROM benchmark),
-      need AS (SELECT query_id, count(*) AS need FROM asked GROUP BY query_id),
-      scored AS (SELECT query_id, id, count(*) AS has, round(-sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END
-        * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 8) AS rank FROM asked JOIN df USING (term) JOIN post USING (term) JOIN dls USING (id), st GROUP BY query_id, id)
-      SELECT query_id, id, rn::INT AS rn, rank AS fts_rank, -rank AS score_lex
-      FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, id) AS rn FROM scored JOIN need USING (query_id) WHERE has = need) WHERE rn <= 50""",
-    "knn_l2_topk": f"WITH {DENSE} SELECT query_id, id, rn::INT AS rn, round(distance, 6) AS distance FROM near",
-    "distance_similarity": f"WITH {DENSE} SELECT query_id, id, round(similarity, 6) AS similarity FROM sims",
+    "knn_l2_topk": f"WITH {_NEIGHBOURS} SELECT query_id, id, rn::INT AS rn, round(distance, 6) AS distance FROM near",
+    "distance_similarity": f"WITH {_NEIGHBOURS} SELECT query_id, id, round(similarity, 6) AS similarity FROM sims",
     "rrf_fuse": f"WITH {FUSED} SELECT query_id, rank::INT AS rank, id, round(score_rrf, 6) AS score_rrf FROM fused",
     "hybrid_weighted": f"""WITH {OKAPI}, {DENSE}, l AS (SELECT query_id, id, rn, {_MM("bm25")} AS score_lex FROM lex WINDOW w AS (PARTITION BY query_id)),
       j AS (SELECT coalesce(l.query_id, s.query_id) AS query_id, coalesce(l.id, s.id) AS id, 0.45 * coalesce(score_lex, 0) + 0.55 * coalesce(similarity, 0) + coalesce(1.0::DOUBLE / (60 + l.rn), 0) + coalesce(1.0::DOUBLE / (60 + s.rn), 0) AS h
@@ -203,7 +198,7 @@ ORACLES = {
         round(score_prior_scope, 5) AS score_prior_scope, round(score_prior_money, 5) AS score_prior_money, round(score_rerank, 5) AS score_rerank
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_rerank DESC, rank) AS fr FROM f3) WHERE fr <= 8""",
     "redundancy": f"WITH {POOL} SELECT query_id, rank::INT AS rank, id, CASE WHEN row_number() OVER (PARTITION BY query_id, {SCOPE}, khoan, diem ORDER BY rank) > 1 THEN 0.85 ELSE 1.0 END::DOUBLE AS penalised FROM pool",
-    "recency_prior": """WITH s AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 6 < 4 THEN epoch(date_trunc('day', o_orderdate))::BIGINT WHEN o_orderkey % 6 = 4 THEN floor(epoch(o_orderdate))::BIGINT END AS seconds FROM orders)
+    "recency_prior": """WITH s AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 6 < 4 THEN epoch(date_trunc('day', o_orderdate))::BIGINT WHEN o_orderkey % 6 = 5 THEN floor(epoch(o_orderdate))::BIGINT END AS seconds FROM orders)
       SELECT o_orderkey, seconds, round(CASE WHEN seconds IS NULL THEN 0.0 WHEN max(seconds) OVER w <= min(seconds) OVER w THEN 1.0 ELSE (seconds - min(seconds) OVER w)::DOUBLE / (max(seconds) OVER w - min(seconds) OVER w) END, 6) AS recency FROM s WINDOW w AS (PARTITION BY o_custkey)""",
     "money_prior": "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 2 = 0 AND l_linenumber = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS money FROM lineitem",
     "citation_labels": f"""WITH {SECTIONED}, x AS (SELECT *, CASE WHEN doc_id % 3 > 0 THEN 'VB' || doc_id END AS w, {_BITS} AS b FROM rows_)

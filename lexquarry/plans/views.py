@@ -55,10 +55,25 @@ def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries of searches by vector alone: every vector whose number is divisible by 20."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
+def fingerprint(table: DataFrame) -> str:
+    """Changes when a table's files do: their paths, lengths and times."""
+    spark = table.sparkSession
+    jvm, conf, said = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for folder in sorted({f.rsplit("/", 1)[0] for f in table.inputFiles()}):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        said += [f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in path.getFileSystem(conf).listStatus(path)]
+    return "\n".join(sorted(said))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
 

@@ -30,6 +30,27 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def flat(elements: DataFrame) -> DataFrame:
+    """Elements as flat rows, with what readers expect under metadata there too; nulls are left out of the file."""
+    meta = F.struct("page_number", "slide_number", "text_as_html", F.col("source_sha1").alias("file_sha1"), F.col("source_name").alias("file_name"), F.col("source_path").alias("file_path"))
+    # a page on top would hide the slide in metadata, so it stands there alone
+    return elements.select("ord", "element_id", F.col("element_type").alias("type"), "text", "source_sha1", "source_name", "source_path", "source_ext", "doc_id", meta.alias("metadata"))
+
+
+def known(spark: SparkSession, path: str) -> DataFrame | None:
+    """source_sha1 of the sources that the files hold; None where there are none yet."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        return None
+    return elements(read(spark, path)).select("source_sha1").distinct()
+
+
+def ordered(spark: SparkSession, path: str) -> DataFrame:
+    """row and ord: the order within a source is the file's own number where it has one, else that of its line."""
+    rows = parsed(spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())).where("row IS NOT NULL")
+    return rows.select("row", F.coalesce(at(F.col("row"), "$.ord", "long"), F.col("_line")).alias("ord"))
+
+
 def at(row: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(row, path, kind)
 

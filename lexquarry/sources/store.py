@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.operators.incremental import upserted
 
-VERSION = "version"
+VERSION, CLAIM = "version", "_claim"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder for tables of this application: in the one that driver and executors share, or a local one for a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = _local.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="lexquarry-")
+        _local[spark.sparkContext.applicationId] = folder
+    return f"{folder.rstrip('/')}/lexquarry-{spark.sparkContext.applicationId}"
+
+
+_local: dict[str, str | None] = {}
 
 
 class Store:
@@ -30,16 +47,30 @@ class Store:
         have = self.versions()
         return self.spark.read.parquet(f"{self.folder}/{VERSION}={have[-1]}") if have else None
 
+    def claimed(self) -> int:
+        """The next number that no other writer has: claims are files that only one can create."""
+        number = (self.versions() or [0])[-1] + 1
+        while not self._fs.createNewFile(self._path(f"{self.folder}/{CLAIM}-{number}")):
+            number += 1
+        return number
+
     def write(self, table: DataFrame, partition_by: list[str] | None = None) -> int:
         """A new version, visible once its job has committed."""
-        number = (self.versions() or [0])[-1] + 1
+        number = self.claimed()
         writer = table.write
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.folder}/{VERSION}={number}")
         return number
 
     def upsert(self, rows: DataFrame, key: str = "id", partition_by: list[str] | None = None) -> int:
         base = self.read()
-        return self.write(rows if base is None else upserted(base, rows, key), partition_by)
+        if base is None:
+            return self.write(rows, partition_by)
+        # read twice, for its keys and for its rows: what is costly to make is made once
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self.write(upserted(base, rows, key), partition_by)
+        finally:
+            rows.unpersist()
 
     def get(self, ids: DataFrame, key: str = "id") -> DataFrame:
         """Rows with these keys."""

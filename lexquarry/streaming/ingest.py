@@ -23,7 +23,7 @@ def elements_of(batch: DataFrame, extractor: files.Extractor) -> DataFrame:
 
 def ingest(spark: SparkSession, folder: str, chunks: Store, checkpoint: str, extractor: files.Extractor | None = None, settings: Settings = Settings()) -> StreamingQuery:
     """Runs over all files that came since the last run, and stops. Chunks are upserted by id, so a repeated batch changes nothing."""
-    extractor = extractor or files.PlainText()
+    extractor = extractor or files.OFFLINE
 
     def step(batch: DataFrame, number: int) -> None:
         elements = elements_of(batch, extractor)

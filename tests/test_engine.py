@@ -1,4 +1,7 @@
+import http.server
 import json
+import threading
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +28,100 @@ def folder(tmp_path):
     return tmp_path
 
 
+def office(path, parts):
+    with zipfile.ZipFile(path, "w") as z:
+        for name, xml in parts.items():
+            z.writestr(name, xml)
+
+
+P = "<a:p><a:r><a:t>{}</a:t></a:r></a:p>"
+CELL = "<a:tc><a:txBody>" + P + "</a:txBody></a:tc>"
+SLIDE = '<p:sld xmlns:a="a" xmlns:p="p"><p:cSld><p:spTree>{}</p:spTree></p:cSld></p:sld>'
+
+
+def deck(path, n=1):
+    title = '<p:sp><p:nvSpPr><p:nvPr><p:ph type="title"/></p:nvPr></p:nvSpPr><p:txBody>' + P.format("Điều {} Tiêu đề") + "</p:txBody></p:sp>"
+    body = "<p:sp><p:txBody>" + P.format("PCCC dòng một") + P.format("dòng hai") + "</p:txBody></p:sp>"
+    table = "<p:graphicFrame><a:tbl>" + "".join("<a:tr>" + CELL.format(f"{r}0") + CELL.format(f"{r}1") + "</a:tr>" for r in "xy") + "</a:tbl></p:graphicFrame>"
+    office(path, {f"ppt/slides/slide{k}.xml": SLIDE.format(title.format(k) + body + table + "<p:pic/>") for k in range(1, n + 1)})
+
+
+def letter(path):
+    para = lambda t, style="": f'<w:p>{f"""<w:pPr><w:pStyle w:val="{style}"/></w:pPr>""" if style else ""}<w:r><w:t>{t}</w:t></w:r></w:p>'
+    table = "<w:tbl>" + "".join(f"<w:tr><w:tc>{para(a)}</w:tc><w:tc>{para(b)}</w:tc></w:tr>" for a, b in (("k", "v"), ("1", "2"))) + "</w:tbl>"
+    office(path, {"word/document.xml": f'<w:document xmlns:w="w"><w:body>{para("Điều 1 Phạm vi", "Heading1")}{para("Phòng cháy")}{table}{para("")}</w:body></w:document>'})
+
+
+def test_office_files(spark, tmp_path):
+    deck(tmp_path / "a.pptx", 12)
+    letter(tmp_path / "b.docx")
+    rows = files.extracted(files.scan(spark, str(tmp_path)), files.OFFLINE, most=5).collect()
+    slides = sorted((r for r in rows if r.source_ext == ".pptx"), key=lambda r: r.ord)
+    assert [r.slide_number for r in slides] == [k for k in range(1, 13) for _ in range(4)] == [r.page_number for r in slides]
+    assert [(r.element_type, r.text) for r in slides[-4:]] == [("Title", "Điều 12 Tiêu đề"), ("NarrativeText", "PCCC dòng một\ndòng hai"), ("Table", "[BẢNG]\n| x0 | x1 |\n| --- | --- |\n| y0 | y1 |"), ("Image", files.PICTURE)]
+    text = sorted((r for r in rows if r.source_ext == ".docx"), key=lambda r: r.ord)
+    assert [(r.element_type, r.text) for r in text] == [("Title", "Điều 1 Phạm vi"), ("NarrativeText", "Phòng cháy"), ("Table", "| k | v |\n| --- | --- |\n| 1 | 2 |")]
+    assert text[2].text_as_html == "<table><tr><td>k</td><td>v</td></tr><tr><td>1</td><td>2</td></tr></table>"
+
+
+@pytest.mark.parametrize(("name", "content"), [("a.pdf", b"%PDF-1.7 ..."), ("b.docx", b"plain text"), ("c.ppt", b"\xd0\xcf")])
+def test_files_that_nothing_reads_are_refused(spark, tmp_path, name, content):
+    (tmp_path / name).write_bytes(content)
+    with pytest.raises(Exception, match="Unreadable"):
+        files.extracted(files.scan(spark, str(tmp_path)), files.OFFLINE).count()
+
+
+@pytest.fixture()
+def service():
+    """An extraction service that answers as told, and what it was asked."""
+    asked, answers = [], []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            asked.append((dict(self.headers), self.rfile.read(int(self.headers["Content-Length"]))))
+            status, body = answers.pop(0) if answers else (200, b"[]")
+            self.send_response(status)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/general", asked, answers
+    server.shutdown()
+
+
+def test_remote_extraction(spark, tmp_path, service):
+    url, asked, answers = service
+    said = json.dumps([{"element_id": "e", "type": "Title", "text": "Điều 1", "metadata": {"page_number": 2, "text_as_html": "<b>"}}, {"text": "x"}]).encode()
+    answers += [(503, b"busy"), (429, b"slow down"), (200, said)]
+    waits = []
+    remote = files.Remote(url, "secret", sleep=waits.append)
+    assert [(e["element_id"], e["element_type"], e["page_number"], e["text_as_html"]) for e in remote.extract(b"%PDF", ".pdf", 0, -1)] == [("e", "Title", 2, "<b>"), ("1", "", None, None)]
+    assert waits == [2, 4] and len(asked) == 3 and asked[2][0]["api-key"] == "secret"
+    assert b'name="strategy"\r\n\r\nhi_res' in asked[2][1] and b"Content-Type: application/pdf" in asked[2][1] and b"%PDF" in asked[2][1]
+    answers += [(400, b"bad file")]
+    with pytest.raises(files.Unreadable, match="HTTP 400"):
+        remote.ask(b"x", ".docx")
+    answers += [(500, b"no")] * 4
+    with pytest.raises(OSError, match="4 attempts"):
+        remote.ask(b"x", ".docx")
+    assert waits[2:] == [2, 4, 8]
+    with pytest.raises(OSError):
+        files.Remote("http://127.0.0.1:9/none", "k", attempts=2, sleep=waits.append).ask(b"x", ".doc")
+    with pytest.raises(ValueError, match="key"):
+        files.Remote(url, "")
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4")
+    answers += [(200, said)]
+    rows = files.extracted(files.scan(spark, str(tmp_path)), files.with_remote(files.Remote(url, "k"))).collect()
+    assert [(r.element_type, r.page_number) for r in rows] == [("Title", 2), ("", None)]
+
+
 def test_files_to_elements(spark, folder):
     found = files.scan(spark, str(folder / "in"))
     assert {(r.source_name, r.source_ext) for r in found.collect()} == {("luat.pdf", ".pdf"), ("copy.PDF", ".pdf"), ("slides.pptx", ".pptx")}
@@ -40,7 +137,9 @@ def test_files_to_elements(spark, folder):
 def test_file_columns(spark):
     df = spark.createDataFrame([("/a/b.PDF", 130), ("/a/c.docx", 0), ("/x", 10**10)], "p string, n long")
     rows = df.select(files.mime(F.col("p")).alias("m"), files.strategy(F.col("p")).alias("s"), files.upload_timeout(F.col("n")).alias("t")).collect()
-    assert [r.m for r in rows][::2] == ["application/pdf", "application/octet-stream"] and [r.s for r in rows] == ["hi_res", "auto", "auto"] and [r.t for r in rows] == [120.0, 120.0, 1800.0]
+    assert [r.m for r in rows][::2] == ["application/pdf", "application/octet-stream"] and [r.s for r in rows] == ["hi_res", "auto", "auto"] and [r.t for r in rows] == [120.0, 300.0, 1800.0]
+    some = spark.createDataFrame([(100 * 2**20,)], "n long").select(files.upload_timeout(F.col("n")).alias("t")).first().t
+    assert some == 400 * 3 + 45 == files.Remote("http://x", "k").timeout(100 * 2**20)
     cut = spark.createDataFrame([(130,), (60,), (0,)], "n int").select(files.slices(F.col("n")).alias("s")).collect()
     assert [[tuple(x) for x in r.s] for r in cut] == [[(0, 60), (60, 120), (120, 130)], [(0, 60)], [(0, -1)]]
 
@@ -141,7 +240,7 @@ def test_prompts_number_excerpts_by_their_source(spark):
 
 def test_stream_equals_batch_and_repeats_nothing(spark, folder):
     store = Store(spark, str(folder / "chunks"))
-    run = lambda: ingest.ingest(spark, str(folder / "in"), store, str(folder / "ckpt")).awaitTermination()
+    run = lambda: ingest.ingest(spark, str(folder / "in"), store, str(folder / "ckpt"), files.PlainText()).awaitTermination()
     run()
     first = {r.chunk_id for r in store.read().collect()}
     found = files.new_files(files.scan(spark, str(folder / "in")), spark.createDataFrame([], "source_sha1 string"))
@@ -156,12 +255,103 @@ def test_stream_equals_batch_and_repeats_nothing(spark, folder):
 
 
 def test_command_line(spark, folder, capsys):
-    assert cli.main(["ingest", str(folder / "in"), str(folder / "c")], spark) == 0
-    assert capsys.readouterr().out.startswith("2 new sources")
-    assert cli.main(["ingest", str(folder / "in"), str(folder / "c")], spark) == 0
-    assert capsys.readouterr().out.startswith("0 new sources")
-    assert cli.main(["ask", str(folder / "c"), "PCCC: chủ cơ sở có trách nhiệm gì?"], spark) == 0
-    assert "[1]" in capsys.readouterr().out
+    at = lambda name: str(folder / name)
+    run = lambda *args: (cli.main(list(args), spark), capsys.readouterr().out)
+    assert run("ingest", at("in"), at("c"), "--extractor", "text")[1].startswith("2 new sources")
+    assert run("ingest", at("in"), at("c"), "--extractor", "text")[1].startswith("0 new sources")
+    assert "[1]" in run("ask", at("c"), "PCCC: chủ cơ sở có trách nhiệm gì?")[1]
+    # step by step: the same chunks
+    assert run("elements", at("in"), at("e"), "--extractor", "text")[1].startswith("2 new files")
+    assert run("elements", at("in"), at("e"), "--extractor", "text")[1].startswith("0 new files")
+    assert run("chunk", at("e"), at("c2"))[1].startswith("2 new sources")
+    whole, stepped = ({(r.chunk_id, r.text, r.page_start, r.citation) for r in Store(spark, at(c)).read().collect()} for c in ("c", "c2"))
+    assert whole == stepped
+    assert run("index", at("c2"), at("i"))[1] == f"{len(whole)} chunks\n"
+    found = run("search", at("i"), "mức phạt", "--final-k", "2")[1]
+    assert found.startswith(" 1. ") and " 2. " in found and " 3. " not in found and "hybrid=" in found
+    assert "[1]" in run("ask", at("c2"), "Mức phạt PCCC?", "--index", at("i"), "--dense-k", "3", "--final-k", "2")[1]
+    assert answering.REFUSAL in run("ask", at("c2"), "Bảng phòng cháy?", "--index", at("i"), "--only")[1]
+    assert run("chunk", at("e"), at("c3"), "--no-header", "--no-clauses", "--no-points", "--tables", "append", "--chunk-tokens", "40", "--overlap-tokens", "0")[1].startswith("2 new sources")
+    with pytest.raises(SystemExit):
+        cli.main(["ingest", at("in"), at("c4"), "--extractor", "remote"], spark)
+
+
+def test_every_chunk_is_indexed(spark, tmp_path):
+    law = "Điều 1. Một\n\nthân một\n\nĐiều 2. Hai\n\nthân hai\n\nĐiều 1. Ba\n\nthân ba"
+    (tmp_path / "law.docx").write_text(law)
+    elements = files.extracted(files.scan(spark, str(tmp_path)), files.PlainText())
+    texts = lambda settings, name: [r.text for r in pipeline.index(pipeline.chunk(elements, settings=settings), str(tmp_path / name)).chunks.where("doc_type = 'child'").collect()]
+    assert sorted(w for t in texts(pipeline.Settings(), "new") for w in ("thân một", "thân hai", "thân ba") if w in t) == ["thân ba", "thân hai", "thân một"]
+    assert len(texts(pipeline.Settings(compat=True), "old")) == 2
+
+
+def test_index_grows_by_what_is_new(spark, tmp_path):
+    chunk = lambda rows: spark.createDataFrame([(f"c{i}", t, "s", "d", 0, i, "cite", m == "image", m == "table") for i, t, m in rows], "chunk_id string, text string, source_sha1 string, doc_id string, section int, seq int, citation string, has_image boolean, has_table_html boolean")
+    asked = []
+
+    class Counting(providers.HashEmbedder):
+        def embed(self, texts):
+            (tmp_path / "log").open("a").writelines(f"{t}\n" for t in texts)
+            return super().embed(texts)
+
+    at = str(tmp_path / "i")
+    pipeline.index(chunk([(1, "a b", "text"), (2, "b c", "table"), (3, "old words", "image")]), at, Counting())
+    now = pipeline.index(chunk([(2, "b c", "table"), (3, "new words", "image"), (4, "d", "text")]), at, Counting())
+    assert sorted((tmp_path / "log").read_text().split("\n")[:-1]) == ["a b", "b c", "d", "new words", "old words"] and not asked
+    assert {(r.id, r.modality) for r in now.vectors.collect()} == {("c1", "text"), ("c2", "table"), ("c3", "image"), ("c4", "text")}
+    assert "modality=table" in "".join(now.vectors.inputFiles())
+    assert {(r.term, r.id) for r in now.postings.collect()} == {("a", "c1"), ("b", "c1"), ("b", "c2"), ("c", "c2"), ("new", "c3"), ("words", "c3"), ("d", "c4")}
+    assert {r.term: r.df for r in now.terms.collect()}["b"] == 2 and now.statistics.first().n == 4
+
+
+def test_preferred_modality(spark, tmp_path):
+    rows = [("t", "phòng cháy một"), ("b", "[BẢNG]\nphòng cháy hai"), ("h", "[HÌNH] phòng cháy ba"), ("c", "phòng cháy [BẢNG] bốn")]
+    made = spark.createDataFrame([(i, t, "s", "d", 0, k, "cite") for k, (i, t) in enumerate(rows)], "chunk_id string, text string, source_sha1 string, doc_id string, section int, seq int, citation string")
+    at = pipeline.index(made, str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, "bảng phòng cháy"), (2, "hình phòng cháy"), (3, "phòng cháy")], "query_id long, query string")
+    vectors = providers.embedded(asked, providers.HashEmbedder(), "query_id", "query").withColumnRenamed("embedding", "vector")
+    pool = lambda **how: {q: {r.id for r in rows} for q in (1, 2, 3) for rows in [[r for r in pipeline.retrieve(asked, vectors, at, pipeline.Settings(**how)).collect() if r.query_id == q]]}
+    every = {"t", "b", "h", "c"}
+    assert pool() == {1: every, 2: every, 3: every}
+    assert pool(only=True) == {1: {"b", "c"}, 2: {"h"}, 3: every}  # the tag anywhere for dense hits, the modality for lexical ones
+    assert pool(only=True, prefer="image") == {1: {"h"}, 2: {"h"}, 3: {"h"}} and pool(only=True, prefer=None) == {1: every, 2: every, 3: every}
+    assert pool(hybrid=False) == {1: every, 2: every, 3: every}
+
+
+def test_scorer_model_is_loaded_once_per_worker(spark, tmp_path):
+    class Length:
+        def score(self, pairs):
+            return [len(q) + len(t) / 1000 for q, t in pairs]
+
+    def load(log=str(tmp_path / "loads")):
+        with open(log, "a") as f:
+            f.write("x")
+        return Length()
+
+    scorer = providers.model_scorer(load, most=3)
+    rows = spark.createDataFrame([(f"q{i}", "t" * i) for i in range(50)], "q string, t string").coalesce(1)
+    got = rows.select("q", "t", scorer(F.col("q"), F.col("t")).alias("s")).collect()
+    assert all(r.s == len(r.q) + len(r.t) / 1000 for r in got) and (tmp_path / "loads").read_text() == "x"
+
+
+def test_embedder_reads_whole_words():
+    e = providers.HashEmbedder()
+    assert e.embed(["phòngcháychữacháy1"]) != e.embed(["phòngcháychữacháy2"]) and e.embed(["x"]) == e.embed(["x"])
+
+
+def test_writers_take_different_versions(spark, tmp_path):
+    a, b = (Store(spark, str(tmp_path / "t")) for _ in range(2))
+    assert [a.claimed(), b.claimed(), a.write(spark.range(1)), b.write(spark.range(2))] == [1, 2, 3, 4] and a.read().count() == 2
+
+
+def test_stored_index_follows_the_files(spark, tmp_path):
+    write = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "fox")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = lambda: {r.id for r in catalog.bm25_okapi_topk(spark, str(tmp_path)).collect()}
+    write(["a fox", "b", "c"])
+    assert found() == {0}
+    write(["a", "b", "the fox", "d"])
+    assert found() == {2}
 
 
 def test_entry_and_registry(spark):
@@ -182,5 +372,5 @@ def test_whole_items_are_searched(spark):
     docs = words(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id")
     items = words(spark.read.parquet(f"{folder}/benchmark.parquet"), "item_id")
     want = {(q, i) for q, t in items.items() for i, d in docs.items() if t and t <= d}
-    found = {(r.query_id, r.id) for r in __spark_entry__.queries()["bm25_fts_whole_topk"](spark, folder).collect()}
+    found = {(r.query_id, r.id) for r in __spark_entry__.queries()["bm25_fts_topk"](spark, folder).collect()}
     assert found and found == want

@@ -142,7 +142,7 @@ def test_chunks_and_parents(spark):
     child = [r for r in made if r.doc_type == "child"]
     assert sorted(r.modality for r in child) == ["image", "table", "text", "text"] and len({r.chunk_id for r in made}) == len(made)
     table = next(r for r in child if r.modality == "table")
-    assert table.text == "[BẢNG]\n| a | b |" and table.page_start == 2 and table.citation == "d — Điều 1 | trang 2"
+    assert table.text == "[BẢNG]\n| a | b |" and table.page_start == 2 and table.citation == "d — Điều 1 | trang 1"  # of the section
     parent = {r.chunk_id: r for r in made if r.doc_type == "parent"}
     assert set(parent) == {r.parent_id for r in child} and {p.parent_level for p in parent.values()} == {"dieu", "khoan"}
     clause = next(p for p in parent.values() if p.parent_level == "khoan")
@@ -227,10 +227,45 @@ def test_rerank_features(spark):
     assert [r.id for r in ranking.rerank(spark.createDataFrame(rows, POOL), asked, final=1).collect()] == ["a"]
 
 
-@pytest.mark.parametrize(("said", "want"), [("2024-1-2", 1704153600), ("2024/01/02", 1704153600), ("2/1/2024", 1704153600), ("02-01-2024", 1704153600), ("1704153600", 1704153600), ("1704153600000", 1704153600), ("soon", None), (None, None)])
+@pytest.mark.parametrize(("said", "want"), [("2024-1-2", 1704153600), ("2024/01/02", 1704153600), ("2/1/2024", 1704153600), ("02-01-2024", 1704153600), ("1704153600", None), ("20240102", None), ("soon", None), (None, None)])
 def test_dates(spark, said, want):
     assert spark.createDataFrame([(said,)], "x string").select(ranking.parsed_date(F.col("x")).alias("y")).first().y == want
 
 
+@pytest.mark.parametrize(("kind", "said", "want"), [("long", 1704153600, 1704153600), ("long", 1704153600000, 1704153600), ("double", 1704153600.9, 1704153600), ("long", 0, None), ("long", None, None)])
+def test_numbers_are_seconds_or_milliseconds(spark, kind, said, want):
+    rows = spark.createDataFrame([(said,)], f"updated_at {kind}")
+    assert rows.select(ranking.first_date(rows).alias("y")).first().y == want
+
+
+def test_equal_headings_keep_all_chunks(spark):
+    """Three bodies, the first and third under one heading: every text has an id of its own, and the parent holds both."""
+    rows = [("s", "d", i, "Text", t, 1) for i, t in enumerate(["Điều 1. một", "thân một", "Điều 2. hai", "thân hai", "Điều 1. ba", "thân ba"])]
+    ready = sections.sections(sections.sectioned(spark.createDataFrame(rows, ELEMENTS)), compat=False)
+    made = chunks.chunked(ready).collect()
+    child = [r for r in made if r.doc_type == "child"]
+    assert len({r.chunk_id for r in child}) == len(child) == 3 and len({r.chunk_id for r in made}) == len(made)
+    assert {w for r in child for w in ("thân một", "thân hai", "thân ba") if w in r.text} == {"thân một", "thân hai", "thân ba"}
+    parent = next(r for r in made if r.doc_type == "parent" and r.parent_key == "DIEU_1")
+    assert "thân một" in parent.text and "thân ba" in parent.text
+    assert len({r.chunk_id for r in chunks.chunked(ready, compat=True).where("doc_type = 'child'").collect()}) == 2
+
+
+def test_table_modes_header_and_length(spark):
+    html = "<table><tr><th>Tên</th><th>a|b</th></tr><tr><td>x<br/>y</td></tr><tr><td>1 &lt; 2</td><td>&amp;</td><td>z</td></tr></table>"
+    schema = ELEMENTS + ", text_as_html string"
+    rows = spark.createDataFrame([("s", "d", 0, "Title", "Điều 1 Tên", 1, None), ("s", "d", 1, "Text", "Thân.", 1, None), ("s", "d", 2, "Table", "raw", 2, html), ("s", "d", 3, "Table", "[BẢNG] plain", 3, None)], schema)
+    ready = sections.sections(sections.sectioned(rows))
+    md = "| Tên | a\\|b |  |\n| --- | --- | --- |\n| x y |  |  |\n| 1 < 2 | & | z |"
+    of = lambda kind, **how: [r.text for r in chunks.chunked(ready, **how).where(f"doc_type = 'child' AND modality = '{kind}'").orderBy("seq").collect()]
+    assert [t.count("|") for t in of("table")] == [md.count("|") + 1, 0] and of("table")[1] == "[BẢNG]\nplain"
+    assert of("table")[0].startswith("[BẢNG]\n| Tên | a") and of("table")[0].endswith("| 1 < 2 | & | z |")
+    assert of("table", tables="metadata") == [] == of("table", tables="append")
+    assert "raw" not in of("text", tables="append")[0] and "1 < 2" in of("text", tables="append")[0] and "1 < 2" not in of("text", tables="metadata")[0]
+    assert of("table", table_chars=10)[0] == "[BẢNG]\n| Tên | a\\ ..." and of("text")[0].startswith("Điều 1") and of("text", header=False) == ["Thân."]
+    with pytest.raises(ValueError, match="separate"):
+        chunks.chunked(ready, tables="none")
+
+
 def test_distinct_in_order(spark):
     assert spark.createDataFrame([(["b", "", "a", None, "b"],)], "x array<string>").select(text.distinct_in_order(F.col("x")).alias("y")).first().y == ["b", "a"]
