@@ -84,8 +84,10 @@ def html_to_text(html: Column) -> Column:
 
 def cells(html: Column) -> Column:
     """Rows of cells of an HTML table, each without its tags; tables inside cells are read as their rows."""
-    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=</tr>|<tr\b|</table>|\z)"), 1)
-    return F.filter(F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)(?=</t[hd]>|<t[hd]\b|\z)"), 1), lambda c: F.replace(plain(c), F.lit("|"), F.lit("\\|")))), lambda r: F.size(r) > 0)
+    after = lambda c, tag: F.slice(F.split(c, f"(?i)<{tag}(?=[\\s>])[^>]*>"), 2, 10**9)
+    until = lambda c, tag: F.split(c, f"(?i)</{tag}\\s*>", 2)[0]
+    row = lambda r: F.transform(after(until(until(r, "tr"), "table"), "t[hd]"), lambda c: F.replace(plain(until(c, "t[hd]")), F.lit("|"), F.lit("\\|")))
+    return F.filter(F.transform(after(html, "tr"), row), lambda r: F.size(r) > 0)
 
 
 def plain(html: Column) -> Column:
@@ -96,12 +98,16 @@ def plain(html: Column) -> Column:
     return strip(out)
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def html_to_markdown(html: Column) -> Column:
     """A Markdown table of an HTML one, short rows filled up; the text without its tags where it holds no table."""
-    found = cells(html)
-    width = F.array_max(F.transform(found, F.size))
-    even = F.transform(found, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    return F.when(F.size(found) > 0, grid(even)).otherwise(html_to_text(html))
+    even = lambda rows, width: F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+    made = lambda rows: F.when(F.size(rows) > 0, once(even(rows, F.array_max(F.transform(rows, F.size))), grid))
+    return F.coalesce(once(cells(html), made), html_to_text(html))
 
 
 def grid(cells: Column) -> Column:

@@ -1,8 +1,10 @@
-"""The registered queries in DuckDB's SQL, written independently of the operators."""
+"""The registered queries in DuckDB's SQL. Word lists, patterns of the guard, prompts and the shapes of test views are shared
+with the operators; what is computed from them is written out here."""
 
 from __future__ import annotations
 
 from lexquarry.functions import guarding
+from lexquarry.operators import answering
 from lexquarry.plans import views as V
 
 
@@ -64,7 +66,7 @@ c3 AS (SELECT *, filled AND has_heading AND (is_title OR dieu IS NOT NULL OR kho
     NOT is_title AND dieu IS NOT NULL AND filled AS forget FROM c2),
 c4 AS (SELECT *, sum(flush::INT) OVER {_UPTO} AS section, sum(forget::INT) OVER {_UPTO} AS g_all, sum((dieu IS NOT NULL)::INT) OVER {_UPTO} AS g_article,
     sum((dieu IS NOT NULL OR khoan IS NOT NULL)::INT) OVER {_UPTO} AS g_clause, sum(is_title::INT) OVER {_UPTO} AS titles FROM c3),
-rows_ AS (SELECT doc_id, i, source_sha1, t, text, page_number, is_title, flush, CAST(section AS INT) AS section, titles,
+rows_ AS (SELECT doc_id, i, source_sha1, element_type, t, text, page_number, is_title, flush, CAST(section AS INT) AS section, titles,
     last_value(chuong IGNORE NULLS) OVER {_SINCE.format("g_all")} AS chuong, muc, last_value(dieu IGNORE NULLS) OVER {_UPTO} AS dieu,
     last_value(khoan IGNORE NULLS) OVER {_SINCE.format("g_article")} AS khoan, last_value(diem IGNORE NULLS) OVER {_SINCE.format("g_clause")} AS diem, phu_luc FROM c4)"""
 _KEY = "CASE WHEN dieu IS NULL THEN 'DOC' WHEN khoan IS NULL THEN 'DIEU_' || dieu ELSE 'DIEU_' || dieu || '.KHOAN_' || khoan END"
@@ -131,6 +133,77 @@ _BR = _strip("regexp_replace(regexp_replace(regexp_replace(html, '(?i)<\\s*br\\s
 _SENTENCES = f"list_filter(list_transform(string_split_regex(regexp_replace({_strip('text')}, '([.!?…])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+'), lambda s: {_strip('s')}), lambda s: s <> '')"
 _MM = lambda c: f"CASE WHEN max({c}) OVER w <= min({c}) OVER w + 1e-12 THEN 1.0 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) END"
 
+_KEYED = f"coalesce(nullif(concat_ws('.', 'CHUONG_' || chuong, 'DIEU_' || dieu, 'KHOAN_' || khoan, 'DIEM_' || diem), ''), nullif(regexp_replace({_strip('title')}, '\\s+', '_', 'g')[1:60], ''), 'SECTION')"
+_OPENS = "regexp_matches({}, '(?i)^\\s*Điều\\s+\\d+(?:\\s*[,.—–-]\\s*|:?\\s+)')"
+_PAGES = "CASE WHEN coalesce({a}, {b}) IS NULL THEN '' WHEN coalesce({a}, {b}) <> coalesce({b}, {a}) THEN ' | trang ' || coalesce({a}, {b}) || '–' || coalesce({b}, {a}) ELSE ' | trang ' || coalesce({a}, {b}) END"
+
+
+def _packed(most: int, overlap: int) -> str:
+    """packed(key, j, chunk) from sentences(key, k, s): one sentence of every text at a time, in a recursion."""
+    size, t = 2 * most, "greatest(1, length(p.text) // 2)"
+    seed = f"CASE WHEN {overlap} > 0 AND last IS NOT NULL AND greatest(1, length(last) // 2) > {overlap} THEN right(last, {2 * overlap}) END"
+    return f"""cut AS (SELECT key, k, s, CASE WHEN greatest(1, length(s) // 2) <= {most} THEN 0 ELSE ceil((length(s) - {size} - 1) / {size}.0)::INT END AS c, greatest(1, length(s) // 2) > {most} AS forced FROM sentences),
+each_ AS (SELECT key, k, forced, j, CASE WHEN j < c THEN s[j * {size} + 1:(j + 1) * {size}] ELSE s[j * {size} + 1:] END AS text FROM (SELECT *, unnest(range(c + 1)) AS j FROM cut)),
+pieces AS (SELECT key, forced, text, row_number() OVER (PARTITION BY key ORDER BY k, j) AS i FROM each_ WHERE regexp_matches(text, '\\S')),
+ends_ AS (SELECT key, max(i) AS n FROM pieces GROUP BY key),
+fold(key, i, now, n, last, out) AS (
+  SELECT key, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, NULL::VARCHAR, []::VARCHAR[] FROM ends_
+  UNION ALL
+  SELECT key, i, CASE WHEN forced THEN NULL WHEN NOT over_ THEN coalesce(now || ' ', '') || text WHEN seed IS NOT NULL AND greatest(1, length(seed) // 2) + t <= {most} THEN seed || ' ' || text ELSE text END,
+    CASE WHEN forced THEN 0 WHEN NOT over_ THEN n + t WHEN seed IS NOT NULL AND greatest(1, length(seed) // 2) + t <= {most} THEN greatest(1, length(seed) // 2) + t ELSE t END,
+    coalesce(emitted[-1], last), emitted
+  FROM (SELECT *, CASE WHEN forced AND over_ THEN list_concat(flushed, [text]) WHEN forced THEN [coalesce(now || ' ', '') || text] WHEN NOT over_ THEN []
+      WHEN seed IS NOT NULL AND greatest(1, length(seed) // 2) + t > {most} THEN list_concat(flushed, [seed]) ELSE flushed END AS emitted
+    FROM (SELECT *, {seed} AS seed FROM (SELECT f.key, p.i, f.now, f.n, {t} AS t, p.text, p.forced, f.n + {t} > {most} AS over_, CASE WHEN f.now IS NULL THEN []::VARCHAR[] ELSE [f.now] END AS flushed,
+      CASE WHEN f.now IS NULL THEN f.last ELSE f.now END AS last FROM fold f JOIN pieces p ON p.key = f.key AND p.i = f.i + 1)))),
+emitted_ AS (SELECT key, i, unnest(range(len(out))) AS o, unnest(out) AS chunk FROM fold UNION ALL SELECT f.key, f.i + 1, 0, now FROM fold f JOIN ends_ e ON e.key = f.key AND f.i = e.n WHERE now IS NOT NULL),
+stripped_ AS (SELECT key, i, o, {_strip("chunk")} AS chunk FROM emitted_),
+packed AS (SELECT key, (row_number() OVER (PARTITION BY key ORDER BY i, o) - 1)::INT AS j, chunk FROM stripped_ WHERE chunk <> '')"""
+
+
+def _sentences(c: str) -> str:
+    return _SENTENCES.replace("'text'", c).replace("(text,", f"({c},")
+
+
+_RERANKED = f"""WITH {POOL}, top30 AS (SELECT *, CASE id % 5 WHEN 0 THEN epoch(make_timestamp(2000 + id % 20, 1, id % 28 + 1, 0, 0, 0)) WHEN 1 THEN epoch(make_timestamp(2000 + id % 20, 3, id % 28 + 1, 0, 0, 0)) END AS day FROM pool WHERE rank <= 30),
+      f AS (SELECT *, CASE WHEN min(distance) OVER w IS NULL THEN 0.0 WHEN max(distance) OVER w <= min(distance) OVER w + 1e-12 THEN 1.0 WHEN distance IS NULL THEN 0.0 ELSE 1.0 - (distance - min(distance) OVER w) / (max(distance) OVER w - min(distance) OVER w) END AS score_vec,
+        0.0::DOUBLE AS score_prior_modality, CASE WHEN day IS NULL THEN 0.0 WHEN max(day) OVER w <= min(day) OVER w THEN 1.0 ELSE (day - min(day) OVER w)::DOUBLE / (max(day) OVER w - min(day) OVER w) END AS score_prior_recency,
+        least(1.0, count(*) OVER (PARTITION BY query_id, van_ban) / 5.0::DOUBLE) AS score_prior_cohesion, coalesce(bm25, 0.0) AS b0, count(*) OVER (PARTITION BY query_id, {SCOPE}) AS ns, 0.0::DOUBLE AS score_prior_money FROM top30 WINDOW w AS (PARTITION BY query_id)),
+      f2 AS (SELECT *, {_MM("b0")} AS score_prior_lexical, ns::DOUBLE / max(ns) OVER w AS score_prior_scope FROM f WINDOW w AS (PARTITION BY query_id)),
+      f3 AS (SELECT *, (0.64 + 0.18 * {_MM("score_vec")} + 0.08 + 0.07 * {_MM("score_prior_recency")} + 0.03 * {_MM("score_prior_cohesion")} + 0.06 * {_MM("score_prior_lexical")} + 0.06 * {_MM("score_prior_scope")} + 0.04)
+        * CASE WHEN row_number() OVER (PARTITION BY query_id, {SCOPE}, khoan, diem ORDER BY rank) > 1 THEN 0.85 ELSE 1 END AS score_rerank FROM f2 WINDOW w AS (PARTITION BY query_id))"""
+
+
+CHUNKS = f"""WITH RECURSIVE {SECTIONS},
+caps AS (SELECT doc_id, i, [lag(c, 2) OVER w, lag(c, 1) OVER w, lead(c, 1) OVER w, lead(c, 2) OVER w] AS l FROM (SELECT *, {_strip("regexp_replace(text, '\\s+', ' ', 'g')")} AS c FROM elements) WINDOW w AS ({_ORDER})),
+shown AS (SELECT doc_id, i, {_strip("array_to_string(list_slice(list_filter(l, lambda t: t IS NOT NULL AND t <> '' AND (length(t) <= 240 OR regexp_matches(t, '(?i)(^|[^\\pL\\pN_])(hình|figure|ảnh|HÌNH|ẢNH)($|[^\\pL\\pN_])'))), 1, 2), ' ')")} AS caption FROM caps),
+items AS (SELECT r.doc_id, r.section, r.element_type, r.text, r.t, r.page_number, r.place, CASE WHEN caption <> '' THEN caption ELSE r.t END AS caption FROM numbered r LEFT JOIN shown s ON s.doc_id = r.doc_id AND s.i = r.i WHERE NOT r.is_title),
+bodies AS (SELECT doc_id, section, string_agg(text, chr(10) ORDER BY place) FILTER (element_type NOT IN ('Table', 'Image')) AS b, min(page_number) FILTER (element_type NOT IN ('Table', 'Image') AND page_number <> 0) AS q1,
+    max(page_number) FILTER (element_type NOT IN ('Table', 'Image') AND page_number <> 0) AS q2 FROM items GROUP BY ALL),
+said AS (SELECT k.*, q1, q2, {_strip("coalesce(b, '')")} AS body, {_BITS} AS bits FROM kept k JOIN bodies USING (doc_id, section)),
+headed AS (SELECT *, {_KEYED} AS key, {_LEVEL} AS parent_level, {_KEY} AS parent_key, CASE WHEN contains(bits, ', ') THEN regexp_replace(bits, ', ', ' — ') ELSE bits END AS h FROM said),
+ready AS (SELECT *, {_HEADER} AS header, sha1(concat_ws('|', source_sha1, parent_level, parent_key))[1:16] AS parent_id,
+    concat(doc_id, coalesce(' — ' || nullif(concat_ws(', ', 'Chương ' || chuong, bits), ''), '')) AS named FROM headed),
+ready2 AS (SELECT *, CASE WHEN body = '' THEN '' WHEN header = '' OR (dieu IS NOT NULL AND {_OPENS.format("body")}) THEN body ELSE {_strip("header || chr(10) || body")} END AS full_ FROM ready),
+parts AS (SELECT doc_id, section, 'TXT' AS kind, 0 AS k, full_ AS payload, NULL AS page FROM ready2 WHERE full_ <> ''
+  UNION ALL SELECT doc_id, section, 'TBL', row_number() OVER (PARTITION BY doc_id, section ORDER BY place) - 1, '[BẢNG]' || chr(10) || coalesce(nullif({_strip("replace(text, '[BẢNG]', '')")}, ''), t), page_number FROM items WHERE element_type = 'Table'
+  UNION ALL SELECT doc_id, section, 'IMG', row_number() OVER (PARTITION BY doc_id, section ORDER BY place) - 1, '[HÌNH] ' || caption, page_number FROM items WHERE element_type = 'Image' AND caption <> ''),
+keyed AS (SELECT *, doc_id || '|' || section || '|' || kind || '|' || k AS key FROM parts),
+sentences AS (SELECT key, unnest(range(len(x))) AS k, unnest(x) AS s FROM (SELECT key, {_sentences("payload")} AS x FROM keyed WHERE kind = 'TXT' OR greatest(1, length(payload) // 2) > 520)),
+{_packed(520, 80)},
+cut_ AS (SELECT y.*, p.j, p.chunk FROM keyed y JOIN packed p ON p.key = y.key UNION ALL SELECT y.*, 0, payload FROM keyed y WHERE kind <> 'TXT' AND greatest(1, length(payload) // 2) <= 520),
+child AS (SELECT r.doc_id, sha1(concat_ws('|', source_sha1, r.key || '#' || c.section, kind, CASE WHEN kind = 'TXT' THEN j::VARCHAR ELSE k || '|' || j END))[1:16] AS chunk_id, 'child' AS doc_type,
+    CASE kind WHEN 'TXT' THEN 'text' WHEN 'TBL' THEN 'table' ELSE 'image' END AS modality, r.key AS section_key, named || {_PAGES.format(a="q1", b="q2")} AS citation, parent_id,
+    length({_strip(f"CASE WHEN kind = 'TBL' AND header <> '' AND NOT (dieu IS NOT NULL AND {_OPENS.format('header')}) THEN header || chr(10) ELSE '' END || chunk")})::INT AS n_chars
+  FROM cut_ c JOIN ready2 r ON r.doc_id = c.doc_id AND r.section = c.section),
+per AS (SELECT doc_id, section, string_agg(payload, chr(10) || chr(10) ORDER BY k) FILTER (kind = 'TBL') AS tables_, '[HÌNH] ' || string_agg(payload[8:], ' ' ORDER BY k) FILTER (kind = 'IMG') AS images_,
+    min(page) FILTER (page <> 0) AS g1, max(page) FILTER (page <> 0) AS g2 FROM parts GROUP BY ALL),
+up AS (SELECT r.doc_id, r.parent_id, any_value(parent_key) AS parent_key, any_value(dieu) AS dieu, arg_min(CASE WHEN parent_level = 'khoan' THEN khoan END, r.section) AS khoan,
+    {_strip("string_agg(concat_ws(chr(10) || chr(10), nullif(full_, ''), tables_, images_), chr(10) || chr(10) ORDER BY r.section)")} AS text, min(least(coalesce(q1, g1), coalesce(g1, q1))) AS a, max(greatest(coalesce(q2, g2), coalesce(g2, q2))) AS z
+  FROM ready2 r JOIN per USING (doc_id, section) GROUP BY r.doc_id, r.parent_id)
+SELECT * FROM child UNION ALL SELECT doc_id, parent_id, 'parent', 'text', parent_key, concat(doc_id, coalesce(' — ' || nullif(concat_ws(', ', 'Điều ' || dieu, 'Khoản ' || khoan), ''), '')) || {_PAGES.format(a="a", b="z")}, NULL,
+  CASE WHEN greatest(1, length(text) // 2) > 8000 THEN 16000 ELSE length(text) END::INT FROM up"""
+
 ORACLES = {
     "hybrid_search": f"WITH {FUSED} SELECT query_id, rank::INT AS rank, id, bm25, distance, round(score_rrf, 6) AS score_rrf FROM fused WHERE rank <= 12",
     "bm25_okapi_topk": f"WITH {OKAPI} SELECT query_id, id, rn::INT AS rn, bm25 FROM lex",
@@ -161,6 +234,9 @@ ORACLES = {
         {_LEVEL} AS parent_level, {_KEY} AS parent_key, sha1(concat_ws('|', source_sha1, {_LEVEL}, {_KEY}))[1:16] AS parent_id, n_items::INT AS n_items FROM headed""",
     "parent_aggregate": f"""WITH {SECTIONED}, p AS (SELECT *, sha1(concat_ws('|', source_sha1, {_LEVEL}, {_KEY}))[1:16] AS parent_id FROM rows_)
       SELECT doc_id, parent_id, min(page_number) AS page_start, max(page_number) AS page_end, count(*) AS n_items, sum(length(text))::BIGINT AS n_chars FROM p GROUP BY doc_id, parent_id""",
+    "pack_chunks": f"""WITH RECURSIVE sentences AS (SELECT doc_id AS key, unnest(range(len(x))) AS k, unnest(x) AS s FROM (SELECT doc_id, {_SENTENCES} AS x FROM documents)), {_packed(120, 20)}
+      SELECT key AS doc_id, j, chunk AS text FROM packed""",
+    "document_chunks": CHUNKS,
     "nearby_caption": f"""WITH {V.ELEMENTS}, e AS (SELECT *, {_strip("regexp_replace(text, '\\s+', ' ', 'g')")} AS c FROM elements),
       n AS (SELECT doc_id, i, [lag(c, 2) OVER w, lag(c, 1) OVER w, lead(c, 1) OVER w, lead(c, 2) OVER w] AS l FROM e WINDOW w AS ({_ORDER}))
       SELECT doc_id, i::INT AS i, array_to_string(list_slice(list_filter(l, lambda t: t IS NOT NULL AND t <> '' AND (length(t) <= 240 OR regexp_matches(t, '(?i)(^|[^\\pL\\pN_])(hình|figure|ảnh|HÌNH|ẢNH)($|[^\\pL\\pN_])'))), 1, 2), ' ') AS caption FROM n""",
@@ -187,16 +263,13 @@ ORACLES = {
       placed AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY o, id) AS x FROM fresh)
       SELECT query_id, rank::INT AS rank, id, false AS extra FROM pool UNION ALL
       SELECT query_id, (x + (SELECT max(rank) FROM pool p WHERE p.query_id = placed.query_id))::INT, id, true FROM placed WHERE x <= 36""",
-    "rerank_features": f"""WITH {POOL}, top30 AS (SELECT *, CASE id % 5 WHEN 0 THEN epoch(make_timestamp(2000 + id % 20, 1, id % 28 + 1, 0, 0, 0)) WHEN 1 THEN epoch(make_timestamp(2000 + id % 20, 3, id % 28 + 1, 0, 0, 0)) END AS day FROM pool WHERE rank <= 30),
-      f AS (SELECT *, CASE WHEN min(distance) OVER w IS NULL THEN 0.0 WHEN max(distance) OVER w <= min(distance) OVER w + 1e-12 THEN 1.0 WHEN distance IS NULL THEN 0.0 ELSE 1.0 - (distance - min(distance) OVER w) / (max(distance) OVER w - min(distance) OVER w) END AS score_vec,
-        0.0::DOUBLE AS score_prior_modality, CASE WHEN day IS NULL THEN 0.0 WHEN max(day) OVER w <= min(day) OVER w THEN 1.0 ELSE (day - min(day) OVER w)::DOUBLE / (max(day) OVER w - min(day) OVER w) END AS score_prior_recency,
-        least(1.0, count(*) OVER (PARTITION BY query_id, van_ban) / 5.0::DOUBLE) AS score_prior_cohesion, coalesce(bm25, 0.0) AS b0, count(*) OVER (PARTITION BY query_id, {SCOPE}) AS ns, 0.0::DOUBLE AS score_prior_money FROM top30 WINDOW w AS (PARTITION BY query_id)),
-      f2 AS (SELECT *, {_MM("b0")} AS score_prior_lexical, ns::DOUBLE / max(ns) OVER w AS score_prior_scope FROM f WINDOW w AS (PARTITION BY query_id)),
-      f3 AS (SELECT *, (0.64 + 0.18 * {_MM("score_vec")} + 0.08 + 0.07 * {_MM("score_prior_recency")} + 0.03 * {_MM("score_prior_cohesion")} + 0.06 * {_MM("score_prior_lexical")} + 0.06 * {_MM("score_prior_scope")} + 0.04)
-        * CASE WHEN row_number() OVER (PARTITION BY query_id, {SCOPE}, khoan, diem ORDER BY rank) > 1 THEN 0.85 ELSE 1 END AS score_rerank FROM f2 WINDOW w AS (PARTITION BY query_id))
+    "rerank_features": f"""{_RERANKED}
       SELECT query_id, id, round(score_vec, 5) AS score_vec, round(score_prior_modality, 5) AS score_prior_modality, round(score_prior_recency, 5) AS score_prior_recency, round(score_prior_cohesion, 5) AS score_prior_cohesion, round(score_prior_lexical, 5) AS score_prior_lexical,
         round(score_prior_scope, 5) AS score_prior_scope, round(score_prior_money, 5) AS score_prior_money, round(score_rerank, 5) AS score_rerank
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_rerank DESC, rank) AS fr FROM f3) WHERE fr <= 8""",
+    "answer_prompts": f"""{_RERANKED}, best AS (SELECT f.query_id, d.text, concat_ws(' — ', nullif(van_ban, ''), nullif(concat_ws(', ', 'Điều ' || dieu, 'Khoản ' || khoan, 'Điểm ' || diem), '')) AS label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_rerank DESC, rank) AS fr FROM f3) f JOIN documents d ON d.doc_id = f.id WHERE fr <= 8)
+      SELECT query_id, is_table, count(DISTINCT nullif(label, ''))::INT AS n_sources, (any_value(n) + sum(length(coalesce(b.text, '')) + length(label) + length('[1] SOURCE: ' || chr(10) || 'EXCERPT:' || chr(10))) + 2 * (count(*) - 1))::INT AS n_chars
+      FROM best b JOIN (SELECT item_id, regexp_matches(text, '(?i)(^|[^\\pL\\pN_])(bảng|bang|table|biểu)($|[^\\pL\\pN_])') AS is_table, length(text) + {len(answering.QUESTION) + 2 + len(answering.CONTEXT) + 2 + len(answering.TASK)} AS n FROM benchmark) q ON q.item_id = b.query_id GROUP BY query_id, is_table""",
     "redundancy": f"WITH {POOL} SELECT query_id, rank::INT AS rank, id, CASE WHEN row_number() OVER (PARTITION BY query_id, {SCOPE}, khoan, diem ORDER BY rank) > 1 THEN 0.85 ELSE 1.0 END::DOUBLE AS penalised FROM pool",
     "recency_prior": """WITH s AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 6 < 4 THEN epoch(date_trunc('day', o_orderdate))::BIGINT WHEN o_orderkey % 6 = 5 THEN floor(epoch(o_orderdate))::BIGINT END AS seconds FROM orders)
       SELECT o_orderkey, seconds, round(CASE WHEN seconds IS NULL THEN 0.0 WHEN max(seconds) OVER w <= min(seconds) OVER w THEN 1.0 ELSE (seconds - min(seconds) OVER w)::DOUBLE / (max(seconds) OVER w - min(seconds) OVER w) END, 6) AS recency FROM s WINDOW w AS (PARTITION BY o_custkey)""",
@@ -209,4 +282,3 @@ ORACLES = {
         '| name | key |' || chr(10) || '| --- | --- |' || chr(10) || array_to_string(l[1:5], chr(10)) || CASE WHEN len(l) > 5 THEN chr(10) || '... (cắt bớt, còn ' || (len(l) - 5) || ' dòng)' ELSE '' END AS short FROM b""",
     "json_scan": "SELECT count(*) AS n_lines, count(*) FILTER (NOT json_valid(CASE WHEN event_id % 10 = 3 THEN props || '{' ELSE props END)) AS n_bad FROM events WHERE trim(props) <> ''",
 }
-"""Queries without SQL: pack_chunks and document_chunks fold over sentences, answer_prompts is text assembly; tests cover them."""

@@ -357,7 +357,7 @@ def test_stored_index_follows_the_files(spark, tmp_path):
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).columns == ["query_id", "rank", "id", "bm25", "distance", "score_rrf"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert set(catalog.ORACLES) | {"pack_chunks", "document_chunks", "answer_prompts"} == set(catalog.QUERIES)
+    assert set(catalog.ORACLES) == set(catalog.QUERIES)
 
 
 def test_pushdown_reaches_the_scan(spark):
