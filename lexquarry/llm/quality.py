@@ -52,10 +52,15 @@ CURRENT = "v3"
 def _repeats(number: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Which first words of 3-word windows begin one found twice or more within its row. number: of each word."""
     first = np.flatnonzero(row[:-2] == row[2:])
-    keys = row[first]
-    for j in range(3):  # row and words so far, numbered anew: equal numbers are equal words
-        _, keys = np.unique(keys * (number.max() + 1) + number[first + j], return_inverse=True)
-    return first[np.bincount(keys)[keys] > 1] if len(keys) else first
+    n = int(number.max()) + 1
+    keys, fits = row[first], (int(row[-1]) + 1) * n**3 < 2**63
+    for j in range(3):
+        keys = keys * n + number[first + j]
+        if not fits:  # row and words so far, numbered anew: equal numbers are equal words
+            keys = np.unique(keys, return_inverse=True)[1]
+    order = np.argsort(keys)
+    same = np.r_[False, keys[order][1:] == keys[order][:-1], False]
+    return first[np.sort(order[same[1:] | same[:-1]])]
 
 
 def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
@@ -90,7 +95,7 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     # words in 3-word windows found twice or more in the row
     covered = np.zeros(len(start), bool)
     if len(start) >= 3:
-        found = _repeats(numbered(buf, start, end)[0], row)
+        found = _repeats(numbered(buf, start, end), row)
         for j in range(3):
             covered[found + j] = True
     out["n_repeat_words"] = np.bincount(row[covered], minlength=n)

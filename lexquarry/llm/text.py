@@ -105,24 +105,24 @@ def keyed(strings: list[bytes], salt: int = 0) -> np.ndarray:
 def gathered(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     """The spans as an Arrow array of strings of bytes."""
     size = end - start
-    of, k = ragged(size)
-    off = np.concatenate([[0], np.cumsum(size)])
-    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf[start[of] + k]))])
+    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    at = np.repeat(start - off[:-1], size) + np.arange(off[-1])
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(buf[at])])
 
 
-def numbered(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """A number for each span, the same for equal bytes alone, and the different spans in the order of their numbers."""
-    if not len(start):
-        return np.zeros(0, np.int64), []
-    found = gathered(buf, start, end).dictionary_encode()
-    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+def numbered(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number from 0 for each span, the same for equal bytes alone."""
+    return gathered(buf, start, end).dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
 def hashed(buf: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0, halves: int = 1) -> np.ndarray:
     """`halves` 64-bit hashes of each span: eight bytes at a time, mixed after each step; spans over LONG bytes by `keyed`."""
     size = end - start
     eights = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), 0, (1,))
-    out = [mix(size.astype(np.uint64) * U(_MULT) + U(_SEEDS[k]) + U(salt)) for k in range(halves)]
+    both = np.empty((halves, len(size)), np.uint64)
+    out = list(both)
+    for k, h in enumerate(out):
+        h[:] = mix(size.astype(np.uint64) * U(_MULT) + U(_SEEDS[k]) + U(salt))
     todo, at, every = np.flatnonzero((size > 0) & (size <= LONG)), 0, len(size)
     while len(todo):
         whole = len(todo) == every  # most words are short: spare the indexing of the first step
@@ -141,7 +141,7 @@ def hashed(buf: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0, h
         of_long = keyed([raw[a:b] for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)], salt)
         for k, h in enumerate(out):
             h[long] = of_long[:, k]
-    return np.stack(out, 1) if halves > 1 else out[0]
+    return both.T if halves > 1 else both[0]
 
 
 class Places:
