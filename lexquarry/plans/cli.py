@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
+import functools
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from lexquarry.operators import chunks, dense, fusion, lexical, ranking
 from lexquarry.plans import pipeline
 from lexquarry.sources import files, jsonl, providers
 from lexquarry.sources.store import Store
+from lexquarry.sources.vocabularies import JsonVocabulary
 
 MODALITIES = ("table", "image", "text")
 
@@ -29,6 +31,7 @@ def _parser() -> argparse.ArgumentParser:
     cutting = argparse.ArgumentParser(add_help=False)
     cutting.add_argument("--chunk-tokens", type=int, default=chunks.MAX_TOKENS)
     cutting.add_argument("--overlap-tokens", type=int, default=chunks.OVERLAP)
+    cutting.add_argument("--vocabulary", help="a vocabulary file of the tokenizers library, by a path that every worker can open")
     cutting.add_argument("--no-header", action="store_true", help="no article line above a section's text")
     cutting.add_argument("--no-clauses", action="store_true", help="sections don't end at clauses")
     cutting.add_argument("--no-points", action="store_true", help="sections don't end at points")
@@ -79,7 +82,7 @@ def _extractor(args: argparse.Namespace) -> files.Extractor:
 def _settings(args: argparse.Namespace) -> pipeline.Settings:
     return pipeline.Settings(
         chunk_tokens=args.chunk_tokens, overlap_tokens=args.overlap_tokens, header=not args.no_header, by_clause=not args.no_clauses, by_point=not args.no_points,
-        tables=args.tables, table_chars=args.table_chars, caption_window=args.caption_window,
+        vocabulary=functools.partial(JsonVocabulary, args.vocabulary) if args.vocabulary else None, tables=args.tables, table_chars=args.table_chars, caption_window=args.caption_window,
     )
 
 

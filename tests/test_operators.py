@@ -1,3 +1,4 @@
+import functools
 import random
 
 import pytest
@@ -134,6 +135,23 @@ def test_packing_matches_a_loop(spark):
         assert {r.k: r.out for r in rows} == {k: packed(p, most, overlap) for k, p in cases}
 
 
+def test_packing_by_a_vocabulary(spark, tmp_path):
+    """A small word vocabulary made here: tokens are words, and cuts fall between them."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from lexquarry.sources.vocabularies import JsonVocabulary, counted, truncated
+
+    own = Tokenizer(models.WordLevel({"[UNK]": 0, "a": 1, "bb": 2}, unk_token="[UNK]"))
+    own.pre_tokenizer = pre_tokenizers.Whitespace()
+    own.save(str(tmp_path / "v.json"))
+    load = functools.partial(JsonVocabulary, str(tmp_path / "v.json"))
+    parts = ["a bb a", "bb unknownword", "a a a a a a a a", "bb"]
+    assert chunks.packed(parts, 5, 2, load()) == ["a bb a bb unknownword", "a a a a a", "a a a", "bb"]
+    rows = spark.createDataFrame([(1, parts), (2, None)], "k int, parts array<string>")
+    got = rows.select(chunks.pack(F.col("parts"), 5, 2, load).alias("p"), counted(F.array_join("parts", " "), load).alias("n"), truncated(F.array_join("parts", " "), 4, load).alias("t")).collect()
+    assert got[0].p == chunks.packed(parts, 5, 2, load()) and (got[0].n, got[0].t) == (14, "a bb a bb") and got[1].p is None and got[1].t is None
+
+
 def test_chunks_and_parents(spark):
     rows = [
         ("s", "d", 0, "Title", "Điều 1 Tên", 1), ("s", "d", 1, "Text", "Câu một. Câu hai.", 1), ("s", "d", 2, "Table", "| a | b |", 2), ("s", "d", 3, "Image", "ảnh", 3), ("s", "d", 4, "Text", "Khoản 2 nội dung", 4),
