@@ -40,6 +40,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, 8).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def sharding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3's law asks of its shards: rows, and slots without gaps; with the whole table's rows and sizes."""
+    placed = op3_sharding(spark, sf_dir)
+    total = placed.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("all_sizes"))
+    of = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count_distinct("slot").alias("n_slots"))
+    return of.join(F.broadcast(total), how="cross")  # one row
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.stored(quality.ledger(documents(spark, sf_dir)))
     base = found["failed"].bitwiseAND(F.lit(quality.BASE).cast("long")) != 0
@@ -57,8 +65,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
 
 
+def mixing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source of op5's mix: its size and target, whether the words taken miss it by no more than its largest document, and
+    whether no document exceeds twice its size."""
+    mixed = op5_mixing(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    near = F.abs(F.sum("taken") - F.first("target")) <= F.max("size")
+    return mixed.groupBy("source", "source_size").agg(F.round(F.first("target"), 4).alias("target"), near.alias("near"), F.every(F.col("taken") <= 2 * F.col("size")).alias("within"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.removed(documents(spark, sf_dir)).drop("kept")
+    return substrings.removed(documents(spark, sf_dir), texts=False)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +99,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumns({"held_out": remainder(3) == 1, "predicted": (F.col("score") >= toxicity.CUT).cast("int")})
 
 
-QUERIES = {f.__name__: f for f in (op1_katz, op2_suffix_dedup, op3_sharding, op4_quality, op5_mixing, op6_substring_dedup, op7_decontamination, op8_near_dedup, op9_language, op10_toxicity, katz_conversations, quality_ablations)}
+QUERIES = {f.__name__: f for f in (op1_katz, op2_suffix_dedup, op3_sharding, op4_quality, op5_mixing, op6_substring_dedup, op7_decontamination, op8_near_dedup, op9_language, op10_toxicity, katz_conversations, mixing_report, quality_ablations, sharding_report)}
 
 __all__ = ["ORACLES", "QUERIES"]
