@@ -194,15 +194,21 @@ sentences AS (SELECT key, unnest(range(len(x))) AS k, unnest(x) AS s FROM (SELEC
 cut_ AS (SELECT y.*, p.j, p.chunk FROM keyed y JOIN packed p ON p.key = y.key UNION ALL SELECT y.*, 0, payload FROM keyed y WHERE kind <> 'TXT' AND greatest(1, length(payload) // 2) <= 520),
 child AS (SELECT r.doc_id, sha1(concat_ws('|', source_sha1, r.key || '#' || c.section, kind, CASE WHEN kind = 'TXT' THEN j::VARCHAR ELSE k || '|' || j END))[1:16] AS chunk_id, 'child' AS doc_type,
     CASE kind WHEN 'TXT' THEN 'text' WHEN 'TBL' THEN 'table' ELSE 'image' END AS modality, r.key AS section_key, named || {_PAGES.format(a="q1", b="q2")} AS citation, parent_id,
-    length({_strip(f"CASE WHEN kind = 'TBL' AND header <> '' AND NOT (dieu IS NOT NULL AND {_OPENS.format('header')}) THEN header || chr(10) ELSE '' END || chunk")})::INT AS n_chars
+    {_strip(f"CASE WHEN kind = 'TBL' AND header <> '' AND NOT (dieu IS NOT NULL AND {_OPENS.format('header')}) THEN header || chr(10) ELSE '' END || chunk")} AS text
   FROM cut_ c JOIN ready2 r ON r.doc_id = c.doc_id AND r.section = c.section),
 per AS (SELECT doc_id, section, string_agg(payload, chr(10) || chr(10) ORDER BY k) FILTER (kind = 'TBL') AS tables_, '[HÌNH] ' || string_agg(payload[8:], ' ' ORDER BY k) FILTER (kind = 'IMG') AS images_,
     min(page) FILTER (page <> 0) AS g1, max(page) FILTER (page <> 0) AS g2 FROM parts GROUP BY ALL),
 up AS (SELECT r.doc_id, r.parent_id, any_value(parent_key) AS parent_key, any_value(dieu) AS dieu, arg_min(CASE WHEN parent_level = 'khoan' THEN khoan END, r.section) AS khoan,
     {_strip("string_agg(concat_ws(chr(10) || chr(10), nullif(full_, ''), tables_, images_), chr(10) || chr(10) ORDER BY r.section)")} AS text, min(least(coalesce(q1, g1), coalesce(g1, q1))) AS a, max(greatest(coalesce(q2, g2), coalesce(g2, q2))) AS z
-  FROM ready2 r JOIN per USING (doc_id, section) GROUP BY r.doc_id, r.parent_id)
-SELECT * FROM child UNION ALL SELECT doc_id, parent_id, 'parent', 'text', parent_key, concat(doc_id, coalesce(' — ' || nullif(concat_ws(', ', 'Điều ' || dieu, 'Khoản ' || khoan), ''), '')) || {_PAGES.format(a="a", b="z")}, NULL,
-  CASE WHEN greatest(1, length(text) // 2) > 8000 THEN 16000 ELSE length(text) END::INT FROM up"""
+  FROM ready2 r JOIN per USING (doc_id, section) GROUP BY r.doc_id, r.parent_id),
+both_ AS (SELECT * FROM child UNION ALL SELECT doc_id, parent_id, 'parent', 'text', parent_key, concat(doc_id, coalesce(' — ' || nullif(concat_ws(', ', 'Điều ' || dieu, 'Khoản ' || khoan), ''), '')) || {_PAGES.format(a="a", b="z")}, NULL,
+  CASE WHEN greatest(1, length(text) // 2) > 8000 THEN text[1:16000] ELSE text END FROM up)"""
+
+VERDICTS = f"""{GUARD}, g AS (SELECT query_id, coalesce(string_agg(segment, ' ' ORDER BY pos) FILTER (label = 'in_domain'), '') AS kept, count(*) FILTER (label <> 'in_domain')::INT AS n_removed,
+        list('- (' || label || ') ' || {_SHORT} ORDER BY {_PLACE}, pos) FILTER (label <> 'in_domain') AS removed FROM lab GROUP BY query_id),
+      warned AS (SELECT *, CASE WHEN n_removed = 0 THEN '' ELSE '{_q(guarding.WARNING)}' || array_to_string(removed[1:2], chr(10)) || CASE WHEN n_removed > 2 THEN chr(10) || '- ... và ' || (n_removed - 2) || ' phần khác' ELSE '' END END AS user_warning FROM g),
+      v AS (SELECT query_id, CASE WHEN kept = '' THEN 'off_topic' ELSE 'ok' END AS status, kept AS normalized_query, CASE WHEN kept = '' THEN 'no_in_domain_after_filter' ELSE 'ok' END AS reason, n_removed, user_warning,
+        CASE WHEN kept = '' THEN CASE WHEN user_warning <> '' THEN '{_q(guarding.REMOVED_HINT)}|' ELSE '' END || '{_HINTS}' WHEN user_warning <> '' THEN '{_q(guarding.OK_HINT)}' ELSE '' END AS suggestions FROM warned)"""
 
 ORACLES = {
     "hybrid_search": f"WITH {FUSED} SELECT query_id, rank::INT AS rank, id, bm25, distance, round(score_rrf, 6) AS score_rrf FROM fused WHERE rank <= 12",
@@ -236,7 +242,7 @@ ORACLES = {
       SELECT doc_id, parent_id, min(page_number) AS page_start, max(page_number) AS page_end, count(*) AS n_items, sum(length(text))::BIGINT AS n_chars FROM p GROUP BY doc_id, parent_id""",
     "pack_chunks": f"""WITH RECURSIVE sentences AS (SELECT doc_id AS key, unnest(range(len(x))) AS k, unnest(x) AS s FROM (SELECT doc_id, {_SENTENCES} AS x FROM documents)), {_packed(120, 20)}
       SELECT key AS doc_id, j, chunk AS text FROM packed""",
-    "document_chunks": CHUNKS,
+    "document_chunks": f"{CHUNKS} SELECT doc_id, chunk_id, doc_type, modality, section_key, citation, parent_id, length(text)::INT AS n_chars FROM both_",
     "nearby_caption": f"""WITH {V.ELEMENTS}, e AS (SELECT *, {_strip("regexp_replace(text, '\\s+', ' ', 'g')")} AS c FROM elements),
       n AS (SELECT doc_id, i, [lag(c, 2) OVER w, lag(c, 1) OVER w, lead(c, 1) OVER w, lead(c, 2) OVER w] AS l FROM e WINDOW w AS ({_ORDER}))
       SELECT doc_id, i::INT AS i, array_to_string(list_slice(list_filter(l, lambda t: t IS NOT NULL AND t <> '' AND (length(t) <= 240 OR regexp_matches(t, '(?i)(^|[^\\pL\\pN_])(hình|figure|ảnh|HÌNH|ẢNH)($|[^\\pL\\pN_])'))), 1, 2), ' ') AS caption FROM n""",
@@ -248,11 +254,7 @@ ORACLES = {
     "modality": "SELECT doc_id, CASE WHEN doc_id % 7 = 3 OR doc_id % 4 = 0 THEN 'table' WHEN doc_id % 4 IN (1, 2) THEN 'image' ELSE 'text' END AS modality, CASE doc_id % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'image' ELSE 'text' END AS by_text, 'image' AS asked FROM documents",
     "validate_rows": f"WITH {V.ELEMENTS} SELECT CASE WHEN text = '' THEN 'missing text' WHEN i % 9 = 4 THEN 'missing citation' ELSE 'ok' END AS reason, count(*) AS n_rows FROM elements GROUP BY 1",
     "guard_segments": f"WITH {GUARD} SELECT query_id, pos, segment, label FROM lab",
-    "guard_verdicts": f"""WITH {GUARD}, g AS (SELECT query_id, coalesce(string_agg(segment, ' ' ORDER BY pos) FILTER (label = 'in_domain'), '') AS kept, count(*) FILTER (label <> 'in_domain')::INT AS n_removed,
-        list('- (' || label || ') ' || {_SHORT} ORDER BY {_PLACE}, pos) FILTER (label <> 'in_domain') AS removed FROM lab GROUP BY query_id),
-      v AS (SELECT *, CASE WHEN n_removed = 0 THEN '' ELSE '{_q(guarding.WARNING)}' || array_to_string(removed[1:2], chr(10)) || CASE WHEN n_removed > 2 THEN chr(10) || '- ... và ' || (n_removed - 2) || ' phần khác' ELSE '' END END AS user_warning FROM g)
-      SELECT query_id, CASE WHEN kept = '' THEN 'off_topic' ELSE 'ok' END AS status, kept AS normalized_query, CASE WHEN kept = '' THEN 'no_in_domain_after_filter' ELSE 'ok' END AS reason, n_removed, user_warning,
-        CASE WHEN kept = '' THEN CASE WHEN user_warning <> '' THEN '{_q(guarding.REMOVED_HINT)}|' ELSE '' END || '{_HINTS}' WHEN user_warning <> '' THEN '{_q(guarding.OK_HINT)}' ELSE '' END AS suggestions FROM v""",
+    "guard_verdicts": f"WITH {VERDICTS} SELECT query_id, status, normalized_query, reason, n_removed, user_warning, suggestions FROM v",
     "parent_expand": f"""WITH {POOL}, keyed AS (SELECT *, nullif(ancestor_dieu_id, '') AS ka, CASE WHEN nullif(ancestor_dieu_id, '') IS NULL THEN dieu END AS kd FROM pool),
       strong AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY g DESC, place) AS gr
         FROM (SELECT query_id, doc_id, ka, kd, round(sum(coalesce(score_rrf, 0) + coalesce(bm25, 0) * 1e-4), 10) AS g, min(rank) AS place FROM keyed GROUP BY ALL)) WHERE gr <= 3),

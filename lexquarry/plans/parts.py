@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexquarry.functions import legal, tables
-from lexquarry.operators import answering, dense, incremental, lexical, ranking, sections
-from lexquarry.plans import catalog, oracles
+from lexquarry.operators import answering, chunks, dense, incremental, lexical, ranking, sections
+from lexquarry.plans import catalog, oracles, pipeline
 from lexquarry.plans import views as V
-from lexquarry.sources import files, jsonl
+from lexquarry.sources import files, jsonl, providers
 from lexquarry.sources.store import Store, scratch
 
 PATHS = """SELECT s_suppkey, concat('hdfs://host/in/', s_name, '.v', CAST(s_suppkey % 3 AS STRING),
@@ -131,7 +131,55 @@ def metadata_scalars(spark: SparkSession, d: str) -> DataFrame:
     return made.select("doc_id", keys("a").alias("keys_a"), keys("b").alias("keys_b"), F.get_json_object("a", "$.tags").alias("tags_a"), F.length(F.get_json_object("b", "$.tags")).alias("tags_b"), F.get_json_object("b", "$.n").cast("double").alias("n"), F.get_json_object("b", "$.own").alias("own"))
 
 
-QUERIES = {f.__name__: f for f in (file_parameters, page_slices, element_rows, store_lookups, modality_filters, inline_headers, rerank_texts, lexical_zeros, slide_grid, html_tables, table_blocks, metadata_scalars)}
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The elements of all documents, appended to JSON lines in two parts and read again."""
+    none = F.lit(None).cast("string")
+    rows = V.elements(spark, d).select("ord", F.concat_ws("-", "doc_id", "ord").alias("element_id"), "element_type", "text", "page_number", F.lit(None).cast("int").alias("slide_number"), none.alias("text_as_html"),
+                                       "source_sha1", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("source_name"), none.alias("source_path"), F.lit(".pdf").alias("source_ext"), F.col("doc_id").cast("string").alias("doc_id"))
+    path = f"{scratch(spark)}/elements-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        jsonl.append(jsonl.flat(rows.where(F.col("ord") % 2 == part)), path)
+    return jsonl.elements(jsonl.ordered(spark, path), order="ord").select("doc_id", "ord", "element_id", "element_type", "text", "page_number", "source_sha1", "source_name")
+
+
+def extracted_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as text files, of equal ones the first, read to elements in slices of one page."""
+    text = F.replace(F.col("text"), F.lit(". "), F.lit(".\f"))
+    rows = V.table(spark, d, "documents").where("text IS NOT NULL").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.encode(text, "utf-8").alias("content"))
+    found = rows.select("path", F.sha1("content").alias("source_sha1"), "content", *(c.alias(n) for n, c in files.source_columns(F.col("path")).items()))
+    known = found.where("doc_id LIKE '%7'").select("source_sha1")
+    made = files.extracted(files.new_files(found, known), files.PlainText(), most=1)
+    return made.select("doc_id", "ord", "element_type", "text", "page_number", "source_sha1", "source_name", "source_ext")
+
+
+def index_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The index of the chunks of all documents' elements: its size by modality, and its vocabulary."""
+    rows = chunks.chunked(sections.sections(sections.sectioned(sections.nearby_captions(V.elements(spark, d)))))
+    made = pipeline.index(rows, f"{scratch(spark)}/built-{uuid.uuid4().hex}")
+    size = made.chunks.join(made.vectors.select("id", F.size("embedding").alias("dim")), "id").groupBy("modality").agg(F.count(F.lit(1)).alias("n_chunks"), F.min("dim").alias("dim"))
+    words = made.postings.agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens")).join(F.broadcast(made.terms.agg(F.count(F.lit(1)).alias("n_terms"), F.max("df").alias("top_df"))), how="cross")
+    return size.join(F.broadcast(words), how="cross").join(F.broadcast(made.statistics.select("n", F.round("avgdl", 6).alias("avgdl"))), how="cross")  # one row each
+
+
+def embedding_norms(spark: SparkSession, d: str) -> DataFrame:
+    """The offline embedder's vectors of all documents: 64 numbers of length 1, or zeros without words."""
+    made = providers.embedded(V.table(spark, d, "documents"), providers.HashEmbedder(), "doc_id")
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return made.select("doc_id", F.size("embedding").alias("dim"), F.round(F.sqrt(square), 3).alias("norm"))
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's question, guarded and answered from two given documents."""
+    asked = answering.guarded(V.questions(spark, d))
+    none, n = F.lit(None).cast("string"), F.lit(None).cast("int")
+    rank = F.explode(F.array(F.lit(1), F.lit(2)))
+    hits = asked.select("query_id", rank.alias("final_rank")).withColumn("id", (F.col("query_id") * F.lit(7) + F.col("final_rank") * 3) % 200)
+    docs = V.corpus(spark, d).select("id", "text", F.col("source").alias("van_ban"))
+    ranked = hits.join(docs, "id").select("query_id", "final_rank", "text", F.lit("text").alias("modality"), "van_ban", none.alias("dieu"), none.alias("khoan"), none.alias("diem"), n.alias("page_start"), n.alias("page_end"), F.lit("").alias("citation"))
+    return answering.answered(asked, ranked, providers.Extractive()).select("query_id", "answer", F.array_join("sources", "|").alias("sources"), "notice", F.array_join("suggestions", "|").alias("suggestions"))
+
+
+QUERIES = {f.__name__: f for f in (file_parameters, page_slices, element_rows, store_lookups, modality_filters, inline_headers, rerank_texts, lexical_zeros, slide_grid, html_tables, table_blocks, metadata_scalars, jsonl_round_trip, extracted_elements, index_statistics, embedding_norms, answers)}
 
 _EXT = "lower(regexp_extract(path, '(\\.[^./]*)$', 1))"
 _TAGGED = "SELECT doc_id AS id, text, CASE WHEN regexp_matches(text, '^\\s*\\[(BẢNG|BANG)\\]') THEN 'table' WHEN regexp_matches(text, '^\\s*\\[(HÌNH|HINH|FIGURE)\\]') THEN 'image' ELSE 'text' END AS modality FROM (SELECT doc_id, " + V.MODALITIES + " AS text FROM documents)"
@@ -174,4 +222,24 @@ ORACLES = {
     "metadata_scalars": """WITH r AS (SELECT *, '[' || array_to_string(list_transform(range(CASE WHEN doc_id % 5 = 0 THEN 900 ELSE 2 END), lambda i: '"' || source || '"'), ',') || ']' AS tags, concat_ws(',', CASE WHEN doc_id % 3 > 0 THEN 'flag' END, CASE WHEN doc_id % 2 = 0 THEN 'own' END) AS more FROM documents)
       SELECT doc_id, concat_ws(',', 'tags', nullif(more, '')) AS keys_a, concat_ws(',', CASE WHEN doc_id % 7 > 2 AND text IS NOT NULL THEN 'n' END, 'tags', nullif(more, ''), 'schema_version') AS keys_b, tags[1:4000] AS tags_a, length(tags)::INT AS tags_b,
         CASE WHEN doc_id % 7 > 2 THEN length(text) / 2.0 END::DOUBLE AS n, CASE WHEN doc_id % 2 = 0 THEN '{"lang":"' || lang || '"}' END AS own FROM r""",
+    "jsonl_round_trip": f"""WITH {V.ELEMENTS} SELECT doc_id::VARCHAR AS doc_id, i::BIGINT AS ord, doc_id || '-' || i AS element_id, element_type, text, page_number, source_sha1, 'f' || doc_id AS source_name FROM elements""",
+    "extracted_elements": f"""WITH c AS (SELECT doc_id, replace(text, '. ', '.' || chr(12)) AS t FROM documents WHERE text IS NOT NULL), f AS (SELECT *, sha1(t) AS sha, min('/in/' || doc_id || '.pdf') OVER (PARTITION BY sha1(t)) AS first FROM c),
+      n AS (SELECT * FROM f WHERE first = '/in/' || doc_id || '.pdf' AND sha NOT IN (SELECT sha FROM f WHERE doc_id % 10 = 7)),
+      p AS (SELECT doc_id, sha, unnest(range(len(x))) AS page, unnest(x) AS y FROM (SELECT *, string_split(t, chr(12)) AS x FROM n)),
+      e AS (SELECT doc_id, sha, page, unnest(range(len(x))) AS k, unnest(x) AS z FROM (SELECT *, string_split(y, chr(10) || chr(10)) AS x FROM p)),
+      s AS (SELECT doc_id, sha, page, k, {oracles._strip("z")} AS text FROM e)
+      SELECT doc_id::VARCHAR AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, k) - 1 AS ord, CASE WHEN upper(text) = text AND lower(text) <> text THEN 'Title' ELSE 'NarrativeText' END AS element_type, text, (page + 1)::INT AS page_number,
+        sha AS source_sha1, doc_id || '.pdf' AS source_name, '.pdf' AS source_ext FROM s WHERE text <> ''""",
+    "index_statistics": f"""{oracles.CHUNKS},
+      ok AS (SELECT chunk_id, text, modality FROM both_ WHERE text <> '' AND citation <> ''),
+      w AS (SELECT chunk_id, unnest({oracles._tokens("text")}) AS term FROM ok), p AS (SELECT chunk_id, term, count(*) AS tf FROM w GROUP BY ALL), v AS (SELECT term, count(*) AS df FROM p GROUP BY term)
+      SELECT CASE WHEN regexp_matches(text, '^\\s*\\[(BẢNG|BANG)\\]') THEN 'table' WHEN modality = 'image' OR regexp_matches(text, '^\\s*\\[(HÌNH|HINH|FIGURE)\\]') THEN 'image' ELSE 'text' END AS modality, count(*) AS n_chunks, 64 AS dim, (SELECT count(*) FROM p) AS n_postings, (SELECT sum(tf) FROM p)::BIGINT AS n_tokens, (SELECT count(*) FROM v) AS n_terms,
+        (SELECT max(df) FROM v) AS top_df, (SELECT count(*) FROM ok) AS n, round((SELECT avg(len({oracles._tokens("text")})) FROM ok), 6) AS avgdl FROM ok GROUP BY 1""",
+    "embedding_norms": "SELECT doc_id, 64 AS dim, CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents",
+    "answers": f"""WITH {oracles.VERDICTS},
+      hit AS (SELECT query_id, doc_id, text, source, k FROM v, (VALUES (1), (2)) AS r(k) JOIN documents ON doc_id = (query_id * 7 + k * 3) % 200),
+      s AS (SELECT query_id, arg_min(text, k) AS best, CASE WHEN arg_min(source, k) = arg_max(source, k) THEN any_value(source) ELSE string_agg(source, '|' ORDER BY k) END AS sources FROM hit GROUP BY query_id),
+      a AS (SELECT v.*, sources, coalesce(nullif({oracles._strip("string_split(best, chr(10) || chr(10))[1]")}, ''), '{answering.REFUSAL}') AS said FROM v LEFT JOIN s USING (query_id))
+      SELECT query_id, CASE WHEN status <> 'ok' THEN replace(suggestions, '|', chr(10)) WHEN user_warning <> '' THEN '> ' || replace(user_warning, chr(10), chr(10) || '> ') || chr(10) || chr(10) || said ELSE said END AS answer,
+        CASE WHEN status = 'ok' THEN coalesce(sources, '') ELSE '' END AS sources, user_warning AS notice, suggestions FROM a""",
 }
