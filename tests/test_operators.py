@@ -165,6 +165,7 @@ def test_chunks_and_parents(spark):
     assert set(parent) == {r.parent_id for r in child} and {p.parent_level for p in parent.values()} == {"dieu", "khoan"}
     clause = next(p for p in parent.values() if p.parent_level == "khoan")
     assert clause.super_parent_id in parent and clause.ancestor_dieu_id == clause.super_parent_id
+    assert clause.legal_hierarchy == '{"dieu":"1","khoan":"2"}' and table.legal_hierarchy == '{"dieu":"1"}'
 
 
 def test_incremental(spark):
