@@ -9,7 +9,8 @@ hash) and offset by prefix sums over those counts.
 All draws depend on rows and seed alone, so lost tasks are recomputed alike. Defined cases: an empty table gives an
 empty result; null ids and texts are hashed like other values; rows equal in all of `keys` share a logical partition, but
 each has draws of its own by its number among them, so copies are dealt as any two rows are. They may change places with
-each other; if they differ outside `keys`, reruns may show it. Columns named as the added ones are replaced. A shard may be empty.
+each other; if they differ outside `keys`, reruns may show it. Columns named as the added ones are replaced. A shard may be empty. Rows travel twice
+and whole, so a very long text costs its own size in two exchanges.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def shard(docs: DataFrame, n_shards: int = 8, keys: list[str] | None = None, see
     parts = max(1, -(-n // rows_per_partition), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 1000)))
     parts = min(parts, max(1, MAX_CELLS // n_shards))
     # the rows travel as one column, so that no name of theirs can clash
-    base = docs.select(F.struct(*given).alias("row"), F.pmod(of_row("part"), F.lit(parts)).cast("int").alias("_p"), of_row("first").alias("_a"), of_row("second").alias("_b"))
+    base = docs.select(F.struct(*given).alias("row"), F.pmod(of_row("part"), F.lit(parts)).cast("int").alias("_p"), of_row("first").alias("_a"), of_row("second").alias("_b"), of_row("tie").alias("_t"))
 
     counts = np.zeros(parts, np.int64)
     for p, c in base.groupBy("_p").count().collect():
@@ -77,8 +78,8 @@ def shard(docs: DataFrame, n_shards: int = 8, keys: list[str] | None = None, see
     plan = spark.createDataFrame([(p, [int(x) for x in upto[p]]) for p in range(parts)], "_p int, _upto array<bigint>")
     cut = F.broadcast(plan) if parts * n_shards <= 1_000_000 else plan
 
-    ties = [F.col("row")[k] for k in keys]
-    order = Window.partitionBy("_p").orderBy("_a", *ties)
+    # a second hash in place of the columns, which would travel twice
+    order = Window.partitionBy("_p").orderBy("_a", "_t")
     # equal rows are next to each other here; all but the first of them draw again. One exchange serves both orders
     copy = F.row_number().over(order) - F.rank().over(Window.partitionBy("_p").orderBy("_a"))
     again = lambda k: F.when(F.col("_c") > 0, F.xxhash64(F.lit(f"{seed}:{k}:copy"), k, "_c")).otherwise(F.col(k))
@@ -89,7 +90,7 @@ def shard(docs: DataFrame, n_shards: int = 8, keys: list[str] | None = None, see
     ranges = max(1, -(-n // (n_shards * rows_per_partition)), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // n_shards) if n > 1000 else 1)
     # the second hash, cut to equal ranges in its own order
     dealt = dealt.withColumn("_q", F.floor((F.shiftrightunsigned(F.col("_b"), 33) * F.lit(ranges)) / F.lit(2.0**31)).cast("int"))
-    within = Window.partitionBy("shard", "_q").orderBy(F.shiftrightunsigned(F.col("_b"), 33), "_b", *ties)
+    within = Window.partitionBy("shard", "_q").orderBy(F.shiftrightunsigned(F.col("_b"), 33), "_b", "_t", "_c")
     placed = dealt.withColumn("_s", F.row_number().over(within) - 1)
     before = Window.partitionBy("shard").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("shard", "_q").count().withColumn("_o", F.coalesce(F.sum("count").over(before), F.lit(0))).select("shard", "_q", "_o")
