@@ -20,7 +20,7 @@ places, a pair at similarity 0.85 meets in no band with probability 8e-5; with 2
 Defined cases: a set is the distinct runs of `width` words, or the whole text if shorter; texts without words, and null
 ids, are linked with nothing and kept. Rows of one id are one document. Words are lower-cased in A-Z only. Shingles are
 told apart by 64-bit hashes, which only matters within a pair of documents. A text is read whole, in memory of about 30
-times its bytes; smaller texts share blocks of 1 MB.
+times its bytes; smaller texts share blocks of 512 KB.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm.tables import written
-from lexquarry.llm.text import LOWER, block_of, hashed, in_blocks, mix, runs, words_of
+from lexquarry.llm.text import LOWER, block_of, hashed, in_blocks, mix, released, runs, words_of
 from lexquarry.ship import ship
 
 WIDTH = 5
@@ -44,7 +44,7 @@ SIZE = 120
 MISS = 1e-4
 """At most so likely, a pair at the threshold shares no band."""
 CELL = 1000
-PART = 8 << 20
+PART = 2 << 20
 """Bytes of text whose sets a cell holds at once, on either side of its pairs; a single text may be larger."""
 _ONE = np.uint64(1)
 
@@ -195,14 +195,15 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, width: int = WIDTH, threshold
                 for s, t in zip(found[: len(x)], found[len(x) :], strict=True):
                     ok.append(alike(s, t, threshold))
                 yield part.select(["a", "b"]).filter(pa.array(ok))
+        released()
 
     return both.select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """id, component (the smallest id reachable) for the ids of the edges (a, b)."""
+def components(edges: DataFrame) -> DataFrame:
+    """id, component (the smallest id reachable) for the ids of the edges (a, b). Rounds grow with the logarithm of the edges."""
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: larger neighbours, to the smallest of the neighbourhood
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -215,7 +216,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = new
         if same:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    raise RuntimeError("components did not settle")
 
 
 def cells(bands: DataFrame, reps: DataFrame, found: DataFrame, bodies: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, cell: int = CELL, part: int = PART) -> DataFrame:
@@ -272,6 +272,8 @@ def cells(bands: DataFrame, reps: DataFrame, found: DataFrame, bodies: DataFrame
                             root[root == root[comp[y]]] = root[comp[x]]
                             a.append(max(ids[x], ids[y]))
                             b.append(min(ids[x], ids[y]))
+        if table.nbytes > part:
+            released()
         arrow = table.schema.field("doc_id").type
         return pa.table({"a": pa.array(a, arrow), "b": pa.array(b, arrow)})
 

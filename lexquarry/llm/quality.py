@@ -7,7 +7,7 @@ would keep without one of its rules follows from the bits alone, without another
 Defined cases: a null or empty text has no words and all counts are 0; ratios are compared by cross-multiplication, so
 nothing divides by 0. Lines are split at \\n alone; lines and words are compared byte by byte, never by hash. Extra
 columns are dropped by `ledger`; ids may repeat or be null: a row of the ledger for each row. A text is measured whole,
-in memory of about 45 times its bytes; smaller texts share blocks of 1 MB.
+in memory of about 45 times its bytes; smaller texts share blocks of 512 KB.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ empty. Words are runs of bytes outside SEPARATORS; since these are ASCII, words
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
 
@@ -42,7 +43,16 @@ def block_of(arr) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def in_blocks(batches, column: str = "text", limit: int = 1 << 20):
+def released() -> None:
+    """Gives memory that is free back to the system: a worker waits for its next task with what it needs, not with its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def in_blocks(batches, column: str = "text", limit: int = 1 << 19):
     """The rows of the batches in slices whose text has at most `limit` bytes, or one row."""
     for batch in batches:
         n = batch.num_rows
@@ -54,6 +64,7 @@ def in_blocks(batches, column: str = "text", limit: int = 1 << 20):
             b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
             yield batch.slice(a, b - a)
             a = b
+    released()
 
 
 def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

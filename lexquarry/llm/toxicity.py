@@ -13,7 +13,7 @@ documents of one class by SIGNIFICANT standard errors. Everything else reads who
 Defined cases: null and empty texts have no sentence and score 0; without labels of both classes no score exceeds 1e-9;
 documents with several labels count as toxic if any label says so, and of several texts of one id the first in order
 teaches. Extra columns are dropped by `score`. A text is read
-whole, in memory of about 60 times its bytes; smaller texts share blocks of 1 MB.
+whole, in memory of about 60 times its bytes; smaller texts share blocks of 512 KB.
 """
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""Texts over the 1 MB block, beside short ones: each operator reads them whole."""
+"""Texts over the block of 512 KB, beside short ones: each operator reads them whole."""
 
 import hashlib
 import re

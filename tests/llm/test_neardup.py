@@ -136,3 +136,29 @@ def test_cells_compare_pairs_whatever_their_signatures_say(spark, frame, part):
     found = spark.createDataFrame([], "id long, component long")
     links = neardup.cells(reps.select(F.explode("bands").alias("key"), "doc_id"), reps, found, neardup.bodies_of(docs, docs.select(F.col("doc_id").alias("id"))), part=part).collect()
     assert len(links) == 3 and {x for r in links for x in (r.a, r.b)} == {0, 1, 2, 3}
+
+
+def links_of(texts, threshold=85, step=20):
+    """Links between documents divisible by `step` and all others of a different set, by an inverted index of exact shingles."""
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    sets, index = {}, {}
+    for i, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+        for x in sets[i]:
+            index.setdefault(x, []).append(i)
+    out = []
+    for i in (i for i in sets if i % step == 0):
+        common = {}
+        for x in sets[i]:
+            for j in index[x]:
+                common[j] = common.get(j, 0) + 1
+        out += [(i, j) for j, n in common.items() if j != i and sets[i] != sets[j] and 100 * n >= threshold * (len(sets[i]) + len(sets[j]) - n)]
+    return out
+
+
+def test_recall_against_an_inverted_index(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    links = links_of([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], step=2)
+    component = {r.doc_id: r.component_id for r in neardup.grouped(docs).collect()}
+    assert links and sum(component[a] == component[b] for a, b in links) == len(links)
