@@ -15,7 +15,8 @@ of integers or decimals, so neither the order in which rows arrive nor a rerun c
 
 Defined cases: a null source is a source, the last one; sizes of 0 get rate 1; a source without tokens has target 0 and
 keeps its documents; if all targets exceed cap times their sources, every source is taken cap times; if a source has not
-reached its target after all steps, an error names it. Empty table: empty. The driver holds a few numbers per source.
+reached its target after all steps, an error names it. Empty table: empty. The driver holds a few numbers per source. Texts are only counted, in the
+JVM and row by row, so a very long one costs a row of its own size; repeated rows are rows of their own, ties in size go by hash.
 """
 
 from __future__ import annotations
