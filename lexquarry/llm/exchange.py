@@ -21,6 +21,8 @@ from lexquarry.ship import ship
 
 GROUP_BYTES = 3 << 20
 LEAST_GROUPS = 48
+MOST_TASKS = 100_000
+"""What a driver can schedule in a stage: beyond about a terabyte a task works through more groups, one after another."""
 SENT = "kind int, b int, g int, body binary"
 """kind: the step of the exchange; b: bucket, g: group; body: packed arrays."""
 
@@ -61,7 +63,7 @@ def grouped(docs: DataFrame, n_groups: int, doc_id: str = "doc_id", text: str =
     kind = docs.schema[doc_id].dataType.simpleString()
     g = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n_groups)).cast("int")
     rows = docs.select(g.alias("g"), F.col(doc_id).alias("doc_id"), (F.lit(False) if flag is None else flag).alias("flag"), F.col(text).alias("text")).mapInArrow(squeeze, f"g int, doc_id {kind}, flag boolean, body binary")
-    return rows.repartition(max(partitions(docs.sparkSession), n_groups // 3), "g")
+    return rows.repartition(max(partitions(docs.sparkSession), min(n_groups // 3, MOST_TASKS)), "g")
 
 
 def opened(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
