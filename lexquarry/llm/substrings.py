@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm import exchange as X
-from lexquarry.llm.tables import forget, text_bytes, written
+from lexquarry.llm.tables import forget, has, text_bytes, written
 from lexquarry.llm.text import first_min, hashed, joined, runs, words_of
 from lexquarry.ship import ship
 
@@ -239,7 +239,7 @@ def longest(level: DataFrame, length: int, n_buckets: int) -> DataFrame:
         reached.append(level.where(F.col("kind") == length).select("g", "kind", "body"))
         state = level.where(F.col("kind") == -2 * length).select("kind", "b", "g", "body")
         length *= 2
-        if not state.limit(1).count():
+        if not has(level, f"kind={-length}"):
             break
         send, survive = _doubling(length, n_buckets)
         asked = state.groupBy("g").applyInArrow(send, X.SENT).groupBy("b").applyInArrow(_earlier, X.SENT)

@@ -55,11 +55,23 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
 _folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def forget(table: DataFrame, part: str = "") -> None:
-    """Deletes a written table, or one partition of it, that nothing reads any more."""
+def _at(table: DataFrame, part: str):
+    """A written table's folder or that of a partition, and its file system."""
     sc = table.sparkSession.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(f"{_folders[table]}/{part}" if part else _folders[table])
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return path, path.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def forget(table: DataFrame, part: str = "") -> None:
+    """Deletes a written table, or one partition of it, that nothing reads any more."""
+    path, files = _at(table, part)
+    files.delete(path, True)
+
+
+def has(table: DataFrame, part: str) -> bool:
+    """Whether a written table has rows in a partition."""
+    path, files = _at(table, part)
+    return files.exists(path)
 
 
 def orderable(kind: T.DataType) -> bool:
