@@ -179,22 +179,36 @@ class Stretches:
             self.stop = at[np.searchsorted(at, start, "right")]
             self.anchor = pick[start].astype(np.int64)
         under = hasher.spans(self.anchor, self.anchor + anchor)
-        raw = self.buf.data
-        lead = (self.anchor - self.start).tolist()
-        whole = keyed([b"%d:" % k + bytes(raw[a:b]) for k, a, b in zip(lead, self.start.tolist(), (self.stop + length - 1).tolist(), strict=True)], 2)
+        self.raw, self.length = self.buf.tobytes(), length
         bucket = under % np.uint64(n_buckets)
-        # by bucket, anchor, content; of equal ones the first speaks for all
-        self.sorted = np.lexsort((whole[:, 1], whole[:, 0], under, bucket))
+        # by bucket, anchor, content; of equal ones the first speaks for all. Equal hashes are checked byte by byte
+        lead = self.anchor - self.start
+        whole = hasher.spans(self.start, self.stop + length - 1) + mix(lead.astype(np.uint64))
+        self.sorted = np.lexsort((whole, under, bucket))
         u, w = under[self.sorted], whole[self.sorted]
-        head = np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1]).any(1)][: len(u)]
+        head = np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])][: len(u)]
+        again = np.flatnonzero(~head)
+        if any(self._content(x) != self._content(y) for x, y in zip(self.sorted[again].tolist(), self.sorted[again - 1].tolist(), strict=True)):
+            w = self.digests(np.arange(len(u)))
+            self.sorted = np.lexsort((w[1], w[0], under, bucket))
+            u, w = under[self.sorted], w[:, self.sorted]
+            head = np.r_[True, (u[1:] != u[:-1]) | (w[:, 1:] != w[:, :-1]).any(0)][: len(u)]
         self.own = np.flatnonzero(head)
-        self.under, self.whole = u[self.own], np.ascontiguousarray(w[self.own].T)
+        self.under = u[self.own]
         self.many = np.diff(np.r_[self.own, len(u)]) > 1
         self.first = self.sorted[self.own]
         self.entry = np.zeros(len(u), np.int64)
         self.entry[self.sorted] = np.cumsum(head) - 1
         self.cuts = np.searchsorted(bucket[self.first], np.arange(n_buckets + 1)).tolist()
 
+    def _content(self, k: int) -> tuple[int, bytes]:
+        """What makes a stretch what it is: the place of its anchor, and its bytes."""
+        return int(self.anchor[k] - self.start[k]), self.raw[self.start[k] : self.stop[k] + self.length - 1]
+
+    def digests(self, which: np.ndarray) -> np.ndarray:
+        """128 bits of each of these stretches, as two rows."""
+        return np.ascontiguousarray(keyed([b"%d:" % lead + content for lead, content in map(self._content, which.tolist())], 2).T)
+
     def windows(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entry and first byte of every suffix in the stretches that speak for these entries."""
         of, place = ragged(self.stop[self.first[entries]] - self.start[self.first[entries]])
@@ -216,7 +230,8 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
     def first(table: pa.Table) -> pa.Table:
         s = of(table)
-        return X.sent(0, g_of(table), [(b, X.pack(s.under[i:j], s.many[i:j].astype(np.uint8), *(w[i:j] for w in s.whole))) for b, (i, j) in enumerate(zip(s.cuts[:-1], s.cuts[1:], strict=True)) if i < j])
+        whole = s.digests(s.first)
+        return X.sent(0, g_of(table), [(b, X.pack(s.under[i:j], s.many[i:j].astype(np.uint8), *(w[i:j] for w in whole))) for b, (i, j) in enumerate(zip(s.cuts[:-1], s.cuts[1:], strict=True)) if i < j])
 
     def decide(table: pa.Table) -> pa.Table:
         # groups in order, so that a rerun picks the same copy to send
@@ -232,7 +247,9 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
         again = (count > 1) | (np.maximum.reduceat(many[order], heads) > 0)
         of_anchor = np.cumsum(anchors[heads]) - 1
         different = np.bincount(of_anchor)[of_anchor]
-        state = np.where(again, SETTLED, 0) | np.where((different > 1) & (different <= hot), SEND, 0) | np.where(~again & (different > 1), ASK, 0) | np.where(different > hot, SPREAD, 0)
+        # where every stretch under an anchor is settled, nobody asks
+        asked = (np.bincount(of_anchor, ~again) > 0)[of_anchor] & (different > 1)
+        state = np.where(again, SETTLED, 0) | np.where(asked & (different <= hot), SEND, 0) | np.where(asked & ~again, ASK, 0) | np.where(asked & (different > hot), SPREAD, 0)
         full = np.repeat(state, count)
         full[~head] &= ~(SEND | SPREAD)
         out = np.zeros(len(u), np.uint8)
@@ -243,7 +260,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
         s, g = of(left), g_of(left)
         state = X.answers(X.replies(right, 0), s.cuts)
-        raw, z, out = s.buf.tobytes(), zstandard.ZstdCompressor(level=1), []
+        raw, z, out = s.raw, zstandard.ZstdCompressor(level=1), []
         for b, (i, j) in enumerate(zip(s.cuts[:-1], s.cuts[1:], strict=True)):
             e = np.flatnonzero(state[i:j] & SEND) + i
             if len(e):
