@@ -16,7 +16,8 @@ of integers or decimals, so neither the order in which rows arrive nor a rerun c
 Defined cases: a null source is a source, the last one; sizes of 0 get rate 1; a source without tokens has target 0 and
 keeps its documents; if all targets exceed cap times their sources, every source is taken cap times; if a source has not
 reached its target after all steps, an error names it. Empty table: empty. The driver holds a few numbers per source. Texts are only counted, in the
-JVM and row by row, so a very long one costs a row of its own size; repeated rows are rows of their own, ties in size go by hash.
+JVM and row by row, so a very long one costs a row of its own size; repeated rows are rows of their own, ties in size go by a hash of
+all columns but maps, nulls included.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.tables import written
+from lexquarry.llm.tables import orderable, row_hash, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 ONE = 1 << 28
@@ -104,8 +105,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
     """docs with source_size, target, rate and copies added. `size` is a column of tokens per document."""
     spark = docs.sparkSession
     given = [c for c in docs.columns if c not in ("source_size", "target", "rate", "copies")]
+    # rows of one id, source and size differ elsewhere: without that, arrival would decide which of them is taken
+    keys = [c for c in given if orderable(docs.schema[c].dataType)]
     # the rows travel as one column, so that no name of theirs can clash
-    docs = docs.select(F.struct(*given).alias("row"), F.col(source).alias("_source"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_k"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(source), F.col(size)).alias("_h"))
+    docs = docs.select(F.struct(*given).alias("row"), F.col(source).alias("_source"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_k"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"), row_hash(seed, *keys).alias("_h"))
     buckets = max(BUCKETS, -(-docs.count() // BUCKET_ROWS))
     counts = written(docs.groupBy(F.col("_source").alias("source"), F.col("_size").alias("size"), F.pmod("_h", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     by_size = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.tables import orderable
+from lexquarry.llm.tables import orderable, row_hash
 
 ROWS_PER_PARTITION = 100_000
 MAX_CELLS = 2_000_000
@@ -62,7 +62,7 @@ def shard(docs: DataFrame, n_shards: int = 8, keys: list[str] | None = None, see
     spark = docs.sparkSession
     given = [c for c in docs.columns if c not in ("shard", "slot")]
     keys = keys or [c for c in given if orderable(docs.schema[c].dataType)]
-    of_row = lambda k: F.xxhash64(F.lit(f"{seed}:{k}"), *keys)
+    of_row = lambda k: row_hash(f"{seed}:{k}", *keys)
     n = docs.count()
     parts = max(1, -(-n // rows_per_partition), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 1000)))
     parts = min(parts, max(1, MAX_CELLS // n_shards))

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,6 +81,13 @@ def orderable(kind: T.DataType) -> bool:
     return orderable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
 
 
+def row_hash(salt: int | str, *columns: str | Column) -> Column:
+    """Hash of the columns and of which of them are null: Spark's own passes over nulls, so that a value and a null could
+    change places unseen."""
+    of = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.xxhash64(F.lit(salt), *of, *(c.isNull() for c in of))
+
+
 class Scratch:
     """Deletes the tables that were written inside, except the last, which holds the result."""
 

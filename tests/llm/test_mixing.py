@@ -103,3 +103,15 @@ def test_empty_texts_and_table(frame):
     rows = mixed(frame([None, "", "a b", (None, "c d e"), (3, "x")])).collect()
     assert len(rows) == 5 and all(r.copies <= 2 for r in rows)
     assert mixed(frame([])).collect() == []
+
+
+def test_arrival_does_not_decide_which_row_is_taken(spark):
+    """Rows without an id, of one source and size, that differ in text or in where a value and a null stand."""
+    rows = [(None, "a", f"x{i // 2} y z", "v" if i % 2 else None, None if i % 2 else "v") for i in range(60)]
+
+    def taken(order):
+        docs = spark.createDataFrame([rows[i] for i in order], "doc_id long, source string, text string, m string, n string").repartition(1)
+        return sorted((r.text, r.m or "", r.copies) for r in mixed(docs, share=0.8).collect())
+
+    first = taken(range(60))
+    assert len({c for *_, c in first}) > 1 and first == taken(range(59, -1, -1))

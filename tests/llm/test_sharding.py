@@ -112,3 +112,13 @@ def test_a_group_of_equal_rows_is_dealt_to_all_shards(frame):
     rows = sharding.shard(docs, 4, ["doc_id"], rows_per_partition=1000).collect()
     per = np.bincount([r.shard for r in rows if r.doc_id is None], minlength=4)
     assert per.sum() == 300 and chi_square_ok(per, np.full(4, 75.0))
+
+
+def test_arrival_does_not_decide_where_a_value_and_a_null_go(spark):
+    rows = [(None, "v" if i % 2 else None, None if i % 2 else "v") for i in range(60)]
+
+    def placed(order):
+        docs = spark.createDataFrame([rows[i] for i in order], "doc_id long, m string, n string").repartition(1)
+        return sorted((r.m or "", r.shard, r.slot) for r in sharding.shard(docs, 8).collect())
+
+    assert placed(range(60)) == placed(range(59, -1, -1))
