@@ -76,7 +76,8 @@ def balance(counts: DataFrame, want: dict[str | None, float], size: dict[str | N
             continue
         # at the cap every rate is the cap: the tilt that lifts the shortest document there
         full = want[s] >= cap * size[s] * (1 - near)
-        low, high = -2000.0, math.log(cap) * scale[s] / least[s] * (1 + 1e-9)
+        # below, every rate is at most the target's share of the source: the tilt that brings the shortest document there
+        low, high = (math.log(x) * scale[s] / least[s] * (1 + 1e-9) for x in (min(1.0, want[s] / size[s]), cap))
         state[s] = [high if full else 0.0, low, high, full]
     for _ in range(steps):
         if all(done for *_, done in state.values()):

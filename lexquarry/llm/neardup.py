@@ -5,9 +5,10 @@ value j + r, r uniform in [0, 1); a place keeps the smallest value it is given.
 place has one below j, so a text of many shingles stops after a few ranks. Signatures of equal sets are equal, and two
 signatures agree in a share of places that estimates the Jaccard similarity with less variance than MinHash.
 
-1. Documents with the same set of shingles (equal sizes and 128-bit sums over the set) form a class; one of them stands for it.
-2. Bands of ROWS places are hashed; each band bucket has a hub, the member with the smallest hash of id, which the
-   buckets of one group mostly share. Every document is compared with the smallest of its hubs, and then with those of
+1. Rows with the same set of shingles (equal sizes and 128-bit sums over the set) form a class, which has a number; the text
+   of one of them stands for it. From here on classes are compared and joined, and at last named by their smallest id.
+2. Bands of ROWS places are hashed; each band bucket has a hub, the class with the smallest hash of its number, which the
+   buckets of one group mostly share. Every class is compared with the smallest of its hubs, and then with those of
    its other hubs that are not in its component yet. Links are confirmed on the full sets.
 3. Where a bucket still holds documents of different components, those outside its largest one are compared with all
    others: in cells of bounded size, each pair in the first bucket it shares. All pairs are compared on the full sets,
@@ -18,7 +19,7 @@ So a group of n copies costs n links, not n squared. Bands are as long as the th
 places, a pair at similarity 0.85 meets in no band with probability 8e-5; with 24 bands of 5, one at 0.80 with 7e-5.
 
 Defined cases: a set is the distinct runs of `width` words, or the whole text if shorter; texts without words, and null
-ids, are linked with nothing and kept. Rows of one id are one document. Words are lower-cased in A-Z only. Shingles are
+ids, are linked with nothing and kept. Rows of one id are one document: if their texts differ, all their classes are linked. Words are lower-cased in A-Z only. Shingles are
 told apart by 64-bit hashes, which only matters within a pair of documents. A text is read whole, in memory of about 30
 times its bytes; smaller texts share blocks of 512 KB.
 """
@@ -30,7 +31,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexquarry.llm.tables import written
@@ -99,8 +100,13 @@ def superminhash(h: np.ndarray, row: np.ndarray, n: int, size: int = SIZE) -> np
     return values.reshape(n, size)
 
 
+def text_key(text: str) -> list[Column]:
+    """t1 and t2: tell the texts of one id apart."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n (shingles), f1 and f2 (sums over the set), bands (hashes), sig (a byte per place)."""
+    """doc_id, t1 and t2 (of the text), n (shingles), f1 and f2 (sums over the set), bands (hashes), sig (a byte per place)."""
 
     ship(docs.sparkSession)
     places = rows_of(threshold)
@@ -119,12 +125,12 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
             bands = np.stack([mix(runs_of(q[:, b * places : (b + 1) * places]) + np.uint64(b)) for b in range(n_bands)], 1)
             sig = (mix(q.ravel()) & np.uint64(255)).astype(np.uint8).reshape(n, SIZE)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), pa.ListArray.from_arrays(np.arange(0, n * n_bands + 1, n_bands, dtype=np.int32), pa.array(bands.ravel().view(np.int64))), pa.array([s.tobytes() for s in sig], pa.binary())],
-                ["doc_id", "n", "f1", "f2", "bands", "sig"],
+                [*(batch.column(c) for c in ("doc_id", "t1", "t2")), pa.array(count, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), pa.ListArray.from_arrays(np.arange(0, n * n_bands + 1, n_bands, dtype=np.int32), pa.array(bands.ravel().view(np.int64))), pa.array([s.tobytes() for s in sig], pa.binary())],
+                ["doc_id", "t1", "t2", "n", "f1", "f2", "bands", "sig"],
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, f"doc_id {kind}, n long, f1 long, f2 long, bands array<bigint>, sig binary")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *text_key(text)).mapInArrow(rows, f"doc_id {kind}, t1 long, t2 long, n long, f1 long, f2 long, bands array<bigint>, sig binary")
 
 
 def runs_of(q: np.ndarray) -> np.ndarray:
@@ -134,17 +140,19 @@ def runs_of(q: np.ndarray) -> np.ndarray:
     return out
 
 
-def bodies_of(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, body: compressed texts of these ids, one per id. The plan is the same at every size."""
+def bodies_of(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, body: a compressed text of each class. wanted: id of the class, and the doc_id, t1 and t2 of one row of it."""
 
     def squeeze(batches):
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(t.as_buffer()) for t in batch.column(1).cast(pa.binary())], pa.binary())], ["id", "body"])
+            body = pa.array([z.compress(t.as_buffer()) for t in batch.column(3).cast(pa.binary())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], body], ["doc_id", "t1", "t2", "body"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    bodies = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(squeeze, f"id {kind}, body binary")
-    return bodies.join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("body").alias("body"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), *text_key(text), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    bodies = own.mapInArrow(squeeze, f"doc_id {kind}, t1 long, t2 long, body binary")
+    return bodies.join(wanted.hint("merge"), ["doc_id", "t1", "t2"]).groupBy("id").agg(F.min("body").alias("body"))
 
 
 def sets_of(bodies: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -288,21 +296,27 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     sigs = written(signatures(docs, doc_id, text, width, threshold).drop("sig"), "signatures")
     full = sigs.where("n > 0 AND doc_id IS NOT NULL")
     same = ["n", "f1", "f2"]
-    classes = written(full.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
-    members = full.select("doc_id", *same).join(classes, same).select("doc_id", "rep")
-    reps = full.join(classes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi").select("doc_id", "bands")
-    reps = written(reps.groupBy("doc_id").agg(F.min("bands").alias("bands")), "representatives")
+    # each class has a number of its own: an id may have several texts, and so stand for several classes
+    classes = full.groupBy(*same).agg(F.min(F.struct("doc_id", "t1", "t2")).alias("rep"), F.min("bands").alias("bands"))
+    classes = written(classes.select(*same, "rep", "bands", F.monotonically_increasing_id().alias("id")), "classes")
+    reps = classes.select(F.col("id").alias("doc_id"), "bands")
     bands = reps.select(F.explode("bands").alias("key"), "doc_id")
+    number = classes.select(*same, "id")
 
     hubs = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("hub"))).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "x")
     of_doc = bands.join(hubs, "key").groupBy("doc_id").agg(F.array_sort(F.collect_set("x")).alias("hubs"))  # at most one hub a band
     of_doc = written(of_doc, "hubs")
-    bodies = written(bodies_of(docs, of_doc.select(F.col("doc_id").alias("id")), doc_id, text), "bodies")
+    wanted = classes.select("id", "rep.doc_id", "rep.t1", "rep.t2").join(of_doc.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    bodies = written(bodies_of(docs, wanted, doc_id, text), "bodies")
     edge = lambda hub: (F.greatest("doc_id", hub).alias("a"), F.least("doc_id", hub).alias("b"))
 
     star = of_doc.select(*edge(F.col("hubs")[0]["hub"])).where("a <> b").distinct()
-    # a row whose id has several texts links its classes: each id is one document
-    own = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(reps.select(F.col("doc_id").alias("a")), "a", "left_semi")
+    # an id with several texts links their classes: each id is one document
+    key = F.struct(*same)
+    several = full.groupBy("doc_id").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first <> last").select("doc_id", "first")
+    own = full.select("doc_id", *same).join(several, "doc_id").where(key != F.col("first")).select(*same, *(F.col("first")[c].alias(f"first_{c}") for c in same)).distinct()
+    own = own.join(number, same).select(F.col("id").alias("x"), *(F.col(f"first_{c}").alias(c) for c in same)).join(number, same)
+    own = own.select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b"))
     links = written(confirmed(star, bodies, width, threshold).unionAll(own), "links")
     found = written(components(links), "components")
     label = found.select(F.col("id").alias("hub"), F.col("component").alias("c"))
@@ -325,8 +339,9 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
         for name, table in (("star", star), ("rest", rest), ("cells", last)):
             report(name, table)
 
-    labelled = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    labelled = labelled.groupBy("doc_id").agg(F.min("component").alias("component"))
-    out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(labelled, "doc_id", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("component").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # a component's name is the smallest id of its classes
+    label = classes.select("id", *same, F.col("rep.doc_id").alias("least")).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    label = label.join(label.groupBy("component").agg(F.min("least").alias("name")), "component").select(*same, "name")
+    out = sigs.select("doc_id", *same).join(label, same, "left")
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull() & F.col("name").isNotNull(), F.col("name")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -115,3 +115,22 @@ def test_arrival_does_not_decide_which_row_is_taken(spark):
 
     first = taken(range(60))
     assert len({c for *_, c in first}) > 1 and first == taken(range(59, -1, -1))
+
+
+def test_a_text_thousands_of_times_longer_than_the_others(spark):
+    sources = {"a": (43_500, 300, 300), "b": (900_000, 10, 4_000_000), "c": (22_000, 400, 500)}
+    parts = [spark.range(n).select((F.col("id") + 10_000_000 * k).alias("doc_id"), F.lit(s).alias("source"), F.when(F.col("id") == 0, top).otherwise(size).cast("long").alias("size")) for k, (s, (n, size, top)) in enumerate(sources.items())]
+    docs = parts[0].unionAll(parts[1]).unionAll(parts[2])
+    of = {r.source: r for r in mixing.mix(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most"), F.sum("size").alias("size")).collect()}
+    for s, (n, size, top) in sources.items():
+        assert of[s].size == size * (n - 1) + top and of[s].most <= 2
+        assert abs(of[s].taken - of[s].target) <= top
+    assert of["b"].target < 900_000 * 10 - 10  # less than the short texts alone have
+
+
+def test_the_pipelines_stage_takes_a_very_long_text(spark, frame):
+    import corpus_pipeline
+
+    docs = frame([" ".join(["word"] * 4_000_000), *["ten words are said here and they are quite short"] * 300, None, ""])
+    got = {r.doc_id: r.n for r in corpus_pipeline.mix(spark, docs, "").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert all(1 <= n <= 2 for n in got.values()) and {301, 302} <= set(got)

@@ -32,6 +32,10 @@ def brute(pairs, threshold=85):
     return {i: (len(s[i]), root(i), root(i) == i) for i in ids}
 
 
+def wanted(docs):
+    return docs.select(F.col("doc_id").alias("id"), "doc_id", *neardup.text_key("text"))
+
+
 def found(df):
     return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in df.collect()}
 
@@ -77,7 +81,7 @@ def test_cells_link_whole_buckets(spark, frame, cell):
     bands = reps.select(F.explode("bands").alias("key"), "doc_id")
     known = [(k, 0) for k in (7, 14)]
     found = spark.createDataFrame(known, "id long, component long")
-    bodies = neardup.bodies_of(docs, docs.select(F.col("doc_id").alias("id")))
+    bodies = neardup.bodies_of(docs, wanted(docs))
     links = neardup.cells(bands, reps, found, bodies, cell=cell).select("a", "b").collect()
     parent = {k: k for k in range(60)} | dict(known)
 
@@ -134,7 +138,7 @@ def test_cells_compare_pairs_whatever_their_signatures_say(spark, frame, part):
     # signatures that agree in no place, as of a pair whose estimate is far off
     reps = neardup.signatures(docs).select("doc_id", F.array(F.lit(1)).cast("array<bigint>").alias("bands"), F.expr(f"unhex(repeat(lpad(hex(doc_id), 2, '0'), {neardup.SIZE}))").alias("sig"))
     found = spark.createDataFrame([], "id long, component long")
-    links = neardup.cells(reps.select(F.explode("bands").alias("key"), "doc_id"), reps, found, neardup.bodies_of(docs, docs.select(F.col("doc_id").alias("id"))), part=part).collect()
+    links = neardup.cells(reps.select(F.explode("bands").alias("key"), "doc_id"), reps, found, neardup.bodies_of(docs, wanted(docs)), part=part).collect()
     assert len(links) == 3 and {x for r in links for x in (r.a, r.b)} == {0, 1, 2, 3}
 
 
@@ -162,3 +166,38 @@ def test_recall_against_an_inverted_index(spark):
     links = links_of([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], step=2)
     component = {r.doc_id: r.component_id for r in neardup.grouped(docs).collect()}
     assert links and sum(component[a] == component[b] for a, b in links) == len(links)
+
+
+def test_an_id_with_several_texts_links_what_each_of_them_is_near(frame):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    got = found(neardup.grouped(frame([(1, a), (1, b), (2, a + " tail"), (3, b + " tail")])))
+    assert {i: c for i, (_, c, _) in got.items()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_ids_with_several_texts_match_brute_force(frame):
+    rng = np.random.default_rng(5)
+    pairs = []
+    for k in range(120):
+        base = [f"g{k % 17}w{j}" for j in range(50)]
+        for e in range(int(rng.integers(0, 3))):
+            base[int(rng.integers(50))] = f"e{k}-{e}"
+        pairs.append((int(rng.integers(0, 70)), " ".join(base)))
+    pairs += [(5, None), (6, ""), (71, pairs[0][1]), (None, pairs[1][1])]
+    of = {}
+    for i, t in pairs:
+        of.setdefault(i, []).append(sets(t))
+    parent = {i: i for i in of if i is not None}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in parent:
+        for j in parent:
+            if i < j and any(s and t and 100 * len(s & t) >= 85 * len(s | t) for s in of[i] for t in of[j]):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    want = sorted(((i is None, i or 0, len(sets(t)), i if i is None or not sets(t) else root(i)) for i, t in pairs), key=str)
+    rows = neardup.grouped(frame(pairs)).collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in rows), key=str) == want
