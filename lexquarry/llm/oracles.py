@@ -106,4 +106,19 @@ fill(step, k, held, unit) AS (SELECT 0, k, false, 1.5 * (SELECT sum(total) FROM
 last AS (SELECT k, held, unit FROM fill WHERE step = (SELECT max(step) FROM fill))
 SELECT source, total AS source_size, round(CASE WHEN held THEN 2.0 * total ELSE unit * weight END, 4) AS target, true AS near, true AS within FROM w JOIN last ON last.k = w.k"""
 
-ORACLES = {"op2_suffix_dedup": SUFFIXES, "sharding_report": SHARDS, "mixing_report": MIX, "op1_katz": KATZ, "katz_conversations": KATZ_TURNS, "op4_quality": QUALITY, "quality_ablations": ABLATIONS, "op6_substring_dedup": SUBSTRINGS, "op8_near_dedup": NEAR}
+TRIE = f"""WITH {CRC.split("crc AS")[0]}
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS r, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT c, c - c % 100 AS base FROM t),
+h AS (SELECT c, base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 6 AS h FROM c, crc_table),
+b AS (SELECT h.c, 0 AS own, r, role, text FROM h JOIN t ON t.c = h.base AND r < h UNION ALL SELECT h.c, 1, r, role, text FROM h JOIN t ON t.c = h.c AND r >= h),
+o AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, r) AS d, length(text) AS n, md5(length(role) || ':' || role || text) AS k FROM b),
+p AS (SELECT c, d, n, md5(string_agg(k, '') OVER (PARTITION BY c ORDER BY d)) AS k FROM o UNION ALL SELECT c, 0, 0, 'root' FROM c),
+q AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS up, max(d) OVER (PARTITION BY c) AS top FROM p),
+v AS (SELECT d, k, any_value(up) AS up, min(c) AS c, count(*) AS n_convs, any_value(n) AS n, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = top) AS ends FROM q GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM v WHERE d > 0 GROUP BY ALL),
+x AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN kids USING (d, k)),
+s AS (SELECT a.d, a.k, count(*) FILTER (x.n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.n) AS saved_tokens FROM x JOIN p a ON a.c = x.c AND a.d <= x.d GROUP BY ALL)
+SELECT x.c AS conv_id, x.d AS depth, u.c AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
+FROM x JOIN s USING (d, k) LEFT JOIN v u ON u.d = x.d - 1 AND u.k = x.up"""
+
+ORACLES = {"op11_prefix_trie": TRIE, "op2_suffix_dedup": SUFFIXES, "sharding_report": SHARDS, "mixing_report": MIX, "op1_katz": KATZ, "katz_conversations": KATZ_TURNS, "op4_quality": QUALITY, "quality_ablations": ABLATIONS, "op6_substring_dedup": SUBSTRINGS, "op8_near_dedup": NEAR}

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import decontamination, katz, language, mixing, neardup, quality, sharding, substrings, suffixes, toxicity
+from lexquarry.llm import decontamination, katz, language, mixing, neardup, quality, sharding, substrings, suffixes, toxicity, tries
 from lexquarry.llm.oracles import ORACLES
 
 
@@ -99,6 +99,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumns({"held_out": remainder(3) == 1, "predicted": (F.col("score") >= toxicity.CUT).cast("int")})
 
 
-QUERIES = {f.__name__: f for f in (op1_katz, op2_suffix_dedup, op3_sharding, op4_quality, op5_mixing, op6_substring_dedup, op7_decontamination, op8_near_dedup, op9_language, op10_toxicity, katz_conversations, mixing_report, quality_ablations, sharding_report)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = tries.numbered(tries.keyed(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return tries.nodes(tries.regrafted(turns))
+
+
+QUERIES = {f.__name__: f for f in (op1_katz, op2_suffix_dedup, op3_sharding, op4_quality, op5_mixing, op6_substring_dedup, op7_decontamination, op8_near_dedup, op9_language, op10_toxicity, op11_prefix_trie, katz_conversations, mixing_report, quality_ablations, sharding_report)}
 
 __all__ = ["ORACLES", "QUERIES"]
