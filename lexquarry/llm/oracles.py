@@ -121,4 +121,8 @@ s AS (SELECT a.d, a.k, count(*) FILTER (x.n_children = 0) AS n_leaves, sum((x.n_
 SELECT x.c AS conv_id, x.d AS depth, u.c AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
 FROM x JOIN s USING (d, k) LEFT JOIN v u ON u.d = x.d - 1 AND u.k = x.up"""
 
-ORACLES = {"op11_prefix_trie": TRIE, "op2_suffix_dedup": SUFFIXES, "sharding_report": SHARDS, "mixing_report": MIX, "op1_katz": KATZ, "katz_conversations": KATZ_TURNS, "op4_quality": QUALITY, "quality_ablations": ABLATIONS, "op6_substring_dedup": SUBSTRINGS, "op8_near_dedup": NEAR}
+SECRETS = r"""WITH c AS (SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) AS n_hex FROM documents)
+SELECT n_assign::BIGINT AS n_assign, n_access::BIGINT AS n_access, n_hex::BIGINT AS n_hex, count(*) AS n_docs, sum(doc_id)::BIGINT AS ids FROM c GROUP BY 1, 2, 3"""
+
+ORACLES = {"secrets_report": SECRETS, "op11_prefix_trie": TRIE, "op2_suffix_dedup": SUFFIXES, "sharding_report": SHARDS, "mixing_report": MIX, "op1_katz": KATZ, "katz_conversations": KATZ_TURNS, "op4_quality": QUALITY, "quality_ablations": ABLATIONS, "op6_substring_dedup": SUBSTRINGS, "op8_near_dedup": NEAR}

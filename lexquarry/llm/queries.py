@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.llm import decontamination, katz, language, mixing, neardup, quality, sharding, substrings, suffixes, toxicity, tries
+from lexquarry.llm import credentials, decontamination, katz, language, mixing, neardup, quality, sharding, substrings, suffixes, toxicity, tries
 from lexquarry.llm.oracles import ORACLES
 
 
@@ -104,6 +104,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.nodes(tries.regrafted(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_katz, op2_suffix_dedup, op3_sharding, op4_quality, op5_mixing, op6_substring_dedup, op7_decontamination, op8_near_dedup, op9_language, op10_toxicity, op11_prefix_trie, katz_conversations, mixing_report, quality_ablations, sharding_report)}
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = credentials.found(documents(spark, sf_dir))
+    hardest = F.array_max(F.transform("values", lambda v: v["cost"]))
+    return rows.select("doc_id", *(credentials.n_of(k).alias(f"n_{k}") for k in credentials.KINDS[:3]), F.sha2(credentials.said("base"), 256).alias("base_sha256"), credentials.said("spans").alias("spans"), F.round(hardest, 6).alias("hardest"))
+
+
+def secrets_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents have how many spans of each base kind."""
+    kinds = [f"n_{k}" for k in credentials.KINDS[:3]]
+    return op12_secrets(spark, sf_dir).groupBy(*kinds).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("doc_id").alias("ids"))
+
+
+QUERIES = {f.__name__: f for f in (op1_katz, op2_suffix_dedup, op3_sharding, op4_quality, op5_mixing, op6_substring_dedup, op7_decontamination, op8_near_dedup, op9_language, op10_toxicity, op11_prefix_trie, op12_secrets, katz_conversations, mixing_report, quality_ablations, secrets_report, sharding_report)}
 
 __all__ = ["ORACLES", "QUERIES"]
