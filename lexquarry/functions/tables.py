@@ -82,12 +82,54 @@ def html_to_text(html: Column) -> Column:
     return collapse(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?i)<\s*br\s*/?>", "\n"), r"<[^>]+>", " "))
 
 
-def cells(html: Column) -> Column:
-    """Rows of cells of an HTML table, each without its tags; tables inside cells are read as their rows."""
+OPENS = r"(?i)<t[hd](?=[\s>])([^>]*)>"
+SPAN = r"""(?i)(?:^|\s){}\s*=\s*["']?\s*(\d+)"""
+# How far a cell may reach, by the rules of HTML; 0 rows are all that follow.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+
+def spanning_cells(html: Column) -> Column:
+    """Rows of cells (text, columns, rows) of an HTML table, each without its tags; tables inside cells are read as their rows."""
     after = lambda c, tag: F.slice(F.split(c, f"(?i)<{tag}(?=[\\s>])[^>]*>"), 2, 10**9)
     until = lambda c, tag: F.split(c, f"(?i)</{tag}\\s*>", 2)[0]
-    row = lambda r: F.transform(after(until(until(r, "tr"), "table"), "t[hd]"), lambda c: F.replace(plain(until(c, "t[hd]")), F.lit("|"), F.lit("\\|")))
-    return F.filter(F.transform(after(html, "tr"), row), lambda r: F.size(r) > 0)
+    # a cell's attributes stand between two characters that no text has
+    marked = lambda r: F.slice(F.split(F.regexp_replace(F.translate(r, "\x01\x02", ""), OPENS, "\x01$1\x02"), "\x01"), 2, 10**9)
+    said = lambda c, name: F.regexp_extract(F.substring_index(c, "\x02", 1), SPAN.format(name), 1)
+    number = lambda c, name, most: F.when(F.length(said(c, name)) > 9, most).when(said(c, name) != "", F.least(said(c, name).cast("int"), F.lit(most))).otherwise(1)
+    text = lambda c: F.replace(plain(until(F.substring_index(c, "\x02", -1), "t[hd]")), F.lit("|"), F.lit("\\|"))
+    rows = lambda c: once(number(c, "rowspan", MOST_ROWS), lambda n: F.when(n == 0, MOST_ROWS).otherwise(n))
+    cell = lambda c: F.struct(text(c).alias("text"), F.greatest(number(c, "colspan", MOST_COLUMNS), F.lit(1)).alias("columns"), rows(c).alias("rows"))
+    return F.transform(after(html, "tr"), lambda r: F.transform(marked(until(until(r, "tr"), "table")), cell))
+
+
+def cells(html: Column, repeat: bool = False) -> Column:
+    """Rows of texts of an HTML table, with every cell in the columns that it spans.
+
+    A row's cells fill its free columns from the left; a cell over several rows keeps its columns in those below. Its text
+    stands in its first place (repeat: in all). Where two cells would overlap, the one from above stays. Rows without cells of
+    their own are left out.
+    """
+    spot = "struct<left:int,text:string>"
+    none = F.lit(None).cast(spot)
+    of = lambda left, text: F.struct(left.cast("int").alias("left"), text.alias("text"))
+
+    def put(line: Column, c: Column) -> Column:
+        free = F.coalesce(F.array_min(F.filter(F.transform(line, lambda x, i: F.when(x.isNull(), i)), lambda i: i.isNotNull())), F.size(line))
+        placed = lambda at: F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(line), at + c["columns"]) - 1),
+            lambda i: F.coalesce(F.get(line, i), F.when((i >= at) & (i < at + c["columns"]), of(c["rows"], F.when((i == at) | F.lit(repeat), c["text"]).otherwise("")))),
+        )
+        return once(free, placed)
+
+    def row(state: Column, r: Column) -> Column:
+        line = F.aggregate(r, F.transform(state["open"], lambda x: F.when(x["left"] > 0, x).otherwise(none)), put)
+        width = lambda line: F.coalesce(F.array_max(F.transform(line, lambda x, i: F.when(x.isNotNull(), i + 1))), F.lit(0))
+        said = lambda line: F.transform(F.slice(line, F.lit(1), width(line)), lambda x: F.coalesce(x["text"], F.lit("")))
+        below = lambda line: F.transform(line, lambda x: of(F.coalesce(x["left"] - 1, F.lit(0)), F.when(F.lit(repeat), F.coalesce(x["text"], F.lit(""))).otherwise("")))
+        return once(line, lambda line: F.struct(F.when(F.size(r) > 0, F.concat(state["out"], F.array(said(line)))).otherwise(state["out"]).alias("out"), below(line).alias("open")))
+
+    start = F.struct(F.array().cast("array<array<string>>").alias("out"), F.array().cast(f"array<{spot}>").alias("open"))
+    return F.aggregate(spanning_cells(html), start, row, lambda s: s["out"])
 
 
 def plain(html: Column) -> Column:

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters that Unicode decomposes into a Latin base and combining marks, as far as Vietnamese and the
-# western European languages use them; đ has no decomposition and stays.
-ACCENTED = {
-    "a": "àáâãäåāăąảạằắẳẵặầấẩẫậ", "c": "çćĉċč", "d": "ď", "e": "èéêëēĕėęěẻẽẹềếểễệ", "g": "ĝğġģ", "h": "ĥ",
-    "i": "ìíîïĩīĭįỉị", "j": "ĵ", "k": "ķ", "l": "ĺļľ", "n": "ñńņňǹ", "o": "òóôõöōŏőơỏọồốổỗộờớởỡợ", "r": "ŕŗř",
-    "s": "śŝşš", "t": "ţť", "u": "ùúûüũūŭůűųưủụừứửữự", "w": "ŵẁẃẅ", "y": "ýÿŷỳỷỹỵ", "z": "źżž",
-}
-
-FROM = "".join(ACCENTED.values())
-TO = "".join(k * len(v) for k, v in ACCENTED.items())
+# Combining marks that Unicode 14, 15 and 15.1 added, which the JVM's \p{Mn} doesn't know;
+# U+1734 no longer is one.
+LATER_MARKS = (
+    r"\x{898}-\x{89f}\x{8ca}-\x{8d2}\x{c3c}\x{ece}\x{180f}\x{1ac1}-\x{1ace}\x{1dfa}\x{10efd}-\x{10eff}\x{10f82}-\x{10f85}\x{11070}\x{11073}-\x{11074}\x{110c2}\x{11241}"
+    r"\x{11f00}-\x{11f01}\x{11f36}-\x{11f3a}\x{11f40}\x{11f42}\x{13440}\x{13447}-\x{13455}\x{1cf00}-\x{1cf2d}\x{1cf30}-\x{1cf46}\x{1e08f}\x{1e2ae}\x{1e4ec}-\x{1e4ef}"
+)
+MARK = rf"[\p{{Mn}}{LATER_MARKS}&&[^\x{{1734}}]]"
+FORMS = {"NFD": ("decompose", False), "NFKD": ("decompose", True), "NFC": ("compose", False), "NFKC": ("compose", True)}
+"""Unicode's normal forms, as the JVM's Unicode library names them, and whether compatibility forms are replaced."""
+
 TOKEN = "[0-9A-Za-zÀ-ỹ]+"
 
 
@@ -33,9 +33,17 @@ def filled(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def normalized(c: Column, form: str) -> Column:
+    """The text in a Unicode normal form, by the tables that come with Spark."""
+    method, compatible = FORMS[form]
+    return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), c, F.lit(compatible))
+
+
 def strip_accents(c: Column) -> Column:
-    """Lower-case text without accents; marks that stand alone go too."""
-    return F.regexp_replace(F.translate(c, FROM, TO), r"\p{Mn}", "")
+    """Without combining marks, be they of their own or part of a letter; what is left in composed compatibility form."""
+    bare = lambda t: normalized(F.regexp_replace(normalized(t, "NFD"), MARK, ""), "NFKC")
+    # most texts are plain, and cost one look
+    return F.when(c.rlike(r"[^\x00-\x7f]"), bare(c)).otherwise(c)
 
 
 def tokens(c: Column) -> Column:

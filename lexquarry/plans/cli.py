@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import argparse
 import dataclasses
-import functools
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.operators import chunks, dense, fusion, lexical, ranking
+from lexquarry.operators import chunks, dense, fusion, lexical, merges, ranking
 from lexquarry.plans import pipeline
 from lexquarry.sources import files, jsonl, providers
 from lexquarry.sources.store import Store
-from lexquarry.sources.vocabularies import JsonVocabulary
 
 MODALITIES = ("table", "image", "text")
 
@@ -31,7 +29,7 @@ def _parser() -> argparse.ArgumentParser:
     cutting = argparse.ArgumentParser(add_help=False)
     cutting.add_argument("--chunk-tokens", type=int, default=chunks.MAX_TOKENS)
     cutting.add_argument("--overlap-tokens", type=int, default=chunks.OVERLAP)
-    cutting.add_argument("--vocabulary", help="a vocabulary file of the tokenizers library, by a path that every worker can open")
+    cutting.add_argument("--vocabulary", help="a file of byte-pair ranks: a token in base64 and its rank a line")
     cutting.add_argument("--no-header", action="store_true", help="no article line above a section's text")
     cutting.add_argument("--no-clauses", action="store_true", help="sections don't end at clauses")
     cutting.add_argument("--no-points", action="store_true", help="sections don't end at points")
@@ -79,10 +77,10 @@ def _extractor(args: argparse.Namespace) -> files.Extractor:
     return files.with_remote(files.Remote(args.service_url, Path(args.service_key_file).read_text().strip()))
 
 
-def _settings(args: argparse.Namespace) -> pipeline.Settings:
+def _settings(spark: SparkSession, args: argparse.Namespace) -> pipeline.Settings:
     return pipeline.Settings(
         chunk_tokens=args.chunk_tokens, overlap_tokens=args.overlap_tokens, header=not args.no_header, by_clause=not args.no_clauses, by_point=not args.no_points,
-        vocabulary=functools.partial(JsonVocabulary, args.vocabulary) if args.vocabulary else None, tables=args.tables, table_chars=args.table_chars, caption_window=args.caption_window,
+        vocabulary=merges.load(spark, args.vocabulary) if args.vocabulary else None, tables=args.tables, table_chars=args.table_chars, caption_window=args.caption_window,
     )
 
 
@@ -135,10 +133,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             jsonl.append(jsonl.flat(made), args.out)
         made.unpersist()
     elif args.step == "chunk":
-        _chunked(jsonl.elements(jsonl.ordered(spark, args.elements), order="ord"), Store(spark, args.chunks), _settings(args))
+        _chunked(jsonl.elements(jsonl.ordered(spark, args.elements), order="ord"), Store(spark, args.chunks), _settings(spark, args))
     elif args.step == "ingest":
         store = Store(spark, args.chunks)
-        _chunked(_new(spark, args, store.read()), store, _settings(args))
+        _chunked(_new(spark, args, store.read()), store, _settings(spark, args))
     elif args.step == "index":
         pipeline.index(Store(spark, args.chunks).read(), args.index)
         print(f"{pipeline.opened(spark, args.index).chunks.count()} chunks")

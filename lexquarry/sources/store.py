@@ -1,16 +1,24 @@
-"""Versioned Parquet tables with upserts: each write is a new version, and a pointer says which one holds."""
+"""Parquet tables with upserts: whole versions, and between them the rows that came, changed or went.
+
+An upsert writes its own rows alone; a reader takes the newest whole version and what came after it, and of each key the
+newest rows. Numbers are claimed one by one, and an upsert never depends on what it would replace: of two writers at once,
+both stay, and the higher number holds where they meet. Every MOST upserts the table is written whole again.
+"""
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import time
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.operators.incremental import upserted
-
-VERSION, CLAIM = "version", "_claim"
+VERSION, CHANGED, GONE, CLAIM = "version", "changed", "gone", "_claim"
+MOST = 8
+"""Upserts before the table is written whole again: a reader joins at most so many."""
+STALE = 24 * 3600
+"""Seconds after which a claim without a version is taken to be a writer's that ended."""
 
 
 def scratch(spark: SparkSession) -> str:
@@ -28,7 +36,7 @@ _local: dict[str, str | None] = {}
 
 
 class Store:
-    """A table under a folder that Spark can read; versions are numbered, and the newest complete one is current."""
+    """A table under a folder that Spark can read: version=N holds it whole, changed.KEY=N new rows of some keys, gone.KEY=N keys that left."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -36,16 +44,42 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[int]:
+    def _parts(self) -> list[tuple[int, str]]:
+        """Number and kind of all that was committed."""
         root = self._path(self.folder)
         if not self._fs.exists(root):
             return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{VERSION}=") and self._fs.exists(self._path(f"{self.folder}/{n}/_SUCCESS")))
+        names = [s.getPath().getName().split("=") for s in self._fs.listStatus(root)]
+        return sorted((int(n[1]), n[0]) for n in names if n[0].split(".")[0] in (VERSION, CHANGED, GONE) and self._fs.exists(self._path(f"{self.folder}/{n[0]}={n[1]}/_SUCCESS")))
+
+    def versions(self) -> list[int]:
+        return [number for number, _ in self._parts()]
+
+    def _open(self, part: tuple[int, str]) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{part[1]}={part[0]}")
+
+    def _current(self) -> list[tuple[int, str]]:
+        """The newest whole version and what came after it."""
+        have = self._parts()
+        whole = max((k for k, part in enumerate(have) if part[1] == VERSION), default=None)
+        return [] if whole is None else have[whole:]
 
     def read(self) -> DataFrame | None:
-        have = self.versions()
-        return self.spark.read.parquet(f"{self.folder}/{VERSION}={have[-1]}") if have else None
+        have = self._current()
+        out = None
+        for k, part in enumerate(have):
+            if part[1].startswith(GONE):
+                continue
+            rows = self._open(part)
+            # what is newer says which rows no longer hold; Spark broadcasts its keys where they are few
+            later: dict[str, list[DataFrame]] = {}
+            for p in have[k + 1 :]:
+                key = p[1].split(".", 1)[1]
+                later.setdefault(key, []).append(self._open(p).select(key))
+            for key, keys in later.items():
+                rows = rows.join(functools.reduce(DataFrame.unionAll, keys).distinct(), key, "left_anti")
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        return out
 
     def claimed(self) -> int:
         """The next number that no other writer has: claims are files that only one can create."""
@@ -54,23 +88,59 @@ class Store:
             number += 1
         return number
 
+    def _open_claims(self, below: int) -> bool:
+        """Whether a writer with a lower number may still be at work."""
+        done, now = set(self.versions()), time.time()
+        for s in self._fs.listStatus(self._path(self.folder)):
+            name = s.getPath().getName()
+            if name.startswith(f"{CLAIM}-"):
+                number = int(name.rsplit("-", 1)[1])
+                if number < below and number not in done and number > min(done, default=0) and now - s.getModificationTime() / 1000 < STALE:
+                    return True
+        return False
+
+    def _write(self, table: DataFrame, kind: str, number: int, partition_by: list[str] | None) -> None:
+        (table.write.partitionBy(*partition_by) if partition_by else table.write).parquet(f"{self.folder}/{kind}={number}")
+
     def write(self, table: DataFrame, partition_by: list[str] | None = None) -> int:
-        """A new version, visible once its job has committed."""
+        """A new whole version, visible once its job has committed."""
+        number = self.claimed()
+        self._write(table, VERSION, number, partition_by)
+        return number
+
+    def _add(self, rows: DataFrame, kind: str, partition_by: list[str] | None) -> int:
         number = self.claimed()
-        writer = table.write
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.folder}/{VERSION}={number}")
+        self._write(rows, kind, number, partition_by)
+        newest = [n for n, k in self._parts() if k == VERSION]
+        if newest and newest[-1] > number:  # the table was written whole meanwhile, and may not have seen these rows
+            return self._add(self._open((number, kind)), kind, partition_by)
+        if len(self._current()) > MOST:
+            self.whole()
         return number
 
     def upsert(self, rows: DataFrame, key: str = "id", partition_by: list[str] | None = None) -> int:
-        base = self.read()
-        if base is None:
+        """rows in place of those with the same keys; the first rows are the first version."""
+        if not self._current():
             return self.write(rows, partition_by)
-        # read twice, for its keys and for its rows: what is costly to make is made once
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            return self.write(upserted(base, rows, key), partition_by)
-        finally:
-            rows.unpersist()
+        return self._add(rows, f"{CHANGED}.{key}", partition_by)
+
+    def remove(self, keys: DataFrame, key: str = "id") -> int:
+        """Takes the rows of these keys away."""
+        return self._add(keys.select(key).distinct(), f"{GONE}.{key}", None)
+
+    def whole(self) -> None:
+        """Writes the table whole, partitioned as it was, unless a writer is at work that this could miss; what the version before
+        had replaced is deleted."""
+        number = self.claimed()
+        if self._open_claims(number):
+            self._fs.delete(self._path(f"{self.folder}/{CLAIM}-{number}"), False)
+            return
+        before = self._current()[0]
+        own = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/{before[1]}={before[0]}"))]
+        self._write(self.read(), VERSION, number, sorted({n.split("=")[0] for n in own if "=" in n}))
+        for n, kind in self._parts():
+            if n < before[0]:  # readers of the version before may still be at work: that one stays
+                self._fs.delete(self._path(f"{self.folder}/{kind}={n}"), True)
 
     def get(self, ids: DataFrame, key: str = "id") -> DataFrame:
         """Rows with these keys."""

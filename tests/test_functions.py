@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pytest
@@ -22,7 +23,7 @@ def test_white_space_of_any_kind(value):
 
 
 def test_accents_follow_decomposition(value):
-    for c in text.FROM:
+    for c in "àáâãäåāăąảạằắẳẵặầấẩẫậçćčďèéêëềếểễệìíîïỉịñńòóôõöơỏọồốộờớỡợşšťùúûüưủụừứựýÿỳỹžđ":
         low = unicodedata.normalize("NFD", c)
         want = "".join(x for x in low if unicodedata.category(x) != "Mn")
         assert value(text.strip_accents, c) == want, c
@@ -127,3 +128,63 @@ def test_guard_verdicts(value):
     assert off.status == "off_topic" and len(off.suggestions) == 3
     assert value(guarding.guard, "  ").status == "empty" and value(guarding.guard, None).removed_segments == []
     assert value(lambda c: guarding.guard(c, notify=False), "nấu ăn").user_warning == ""
+
+
+def test_unicode_forms_equal_the_tables_on_every_code_point(spark):
+    rng = random.Random(2)
+    every = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    mixed = ["".join(rng.choice(every) for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    marks = [c for c in every if unicodedata.category(c) == "Mn"]
+    mixed += [rng.choice("aăâeêoôơuưyđAĂ") + "".join(rng.choice(marks) for _ in range(rng.randint(1, 5))) for _ in range(2000)] + ["", "각 각", "ﬁ½ǅ"]
+    df = spark.createDataFrame([(s,) for s in every + mixed], "s string").repartition(8)
+    rows = df.select("s", text.strip_accents(F.col("s")).alias("bare"), *(text.normalized(F.col("s"), f).alias(f) for f in text.FORMS)).collect()
+    assert len(rows) == len(every) + len(mixed)
+    for r in rows:
+        assert all(r[f] == unicodedata.normalize(f, r.s) for f in text.FORMS)
+        assert r.bare == unicodedata.normalize("NFKC", "".join(c for c in unicodedata.normalize("NFD", r.s) if unicodedata.category(c) != "Mn"))
+    assert spark.createDataFrame([(None,)], "s string").select(text.strip_accents(F.col("s")).alias("b")).first().b is None
+
+
+def spanned(rows, repeat):
+    """Brute force: a grid of (row, column) places."""
+    grid, out = {}, []
+    for y, row in enumerate(rows):
+        at = 0
+        for words, wide, tall in row:
+            while (y, at) in grid:
+                at += 1
+            for dy in range(min(tall or 999, 999)):
+                for dx in range(wide):
+                    if dy == 0 and (y, at + dx) in grid:
+                        continue
+                    if (y, at + dx) in grid and dy and grid[y, at + dx][1] != (y, at):
+                        continue
+                    grid[y + dy, at + dx] = (words if repeat or (dx == 0 and dy == 0) else "", (y, at))
+        width = max([x for (yy, x) in grid if yy == y], default=-1) + 1
+        if row:
+            out.append([grid.get((y, x), ("",))[0] for x in range(width)])
+    return out
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_cells_over_several_columns_and_rows(spark, repeat):
+    rng, tables_ = random.Random(6), []
+    for _ in range(150):
+        rows = [[(f"r{y}c{x}", rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2, 3, 0])) for x in range(rng.randint(0, 4))] for y in range(rng.randint(1, 6))]
+        tables_.append(rows)
+    tables_ += [[[("wide", 3, 1)], [("a", 1, 1), ("b", 1, 1), ("c", 1, 1)]], [[("tall", 1, 3), ("x", 1, 1)], [("y", 1, 1)], [("z", 2, 1)]], [[("a", 1, 1), ("t", 1, 2)], [("b", 3, 1)]]]
+
+    def html(rows):
+        said = lambda name, n: rng.choice([f" {name}={n}", f' {name.upper()} = "{n}"', f" class='q' {name}='{n}'"]) if n != 1 else ""
+        return "<table>" + "".join("<tr>" + "".join(f"<td{said('colspan', w)}{said('rowspan', t)}>{s}</td>" for s, w, t in row) + "</tr>" for row in rows) + "</table>"
+
+    df = spark.createDataFrame([(k, html(rows)) for k, rows in enumerate(tables_)], "k int, h string")
+    got = {r.k: r.c for r in df.select("k", tables.cells(F.col("h"), repeat).alias("c")).collect()}
+    for k, rows in enumerate(tables_):
+        assert got[k] == spanned(rows, repeat), rows
+
+
+def test_a_spanning_table_in_markdown(spark):
+    html = "<table><tr><th rowspan=2>Lỗi</th><th colspan=2>Mức phạt</th></tr><tr><th>từ</th><th>đến</th></tr><tr><td>một</td><td>5</td><td>10</td></tr></table>"
+    got = spark.range(1).select(tables.html_to_markdown(F.lit(html)).alias("m")).first().m
+    assert got == "| Lỗi | Mức phạt |  |\n| --- | --- | --- |\n|  | từ | đến |\n| một | 5 | 10 |"

@@ -1,11 +1,13 @@
-import functools
+import base64
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexquarry.functions import text
-from lexquarry.operators import chunks, dense, fusion, incremental, lexical, ranking, sections
+from lexquarry.operators import chunks, dense, fusion, incremental, lexical, merges, ranking, sections
+from lexquarry.sources import vocabularies
 
 ELEMENTS = "source_sha1 string, doc_id string, ord long, element_type string, text string, page_number int"
 WORDS = {"chuong": "Chương II", "dieu": "Điều {}", "khoan": "Khoản {}", "diem": "Điểm {}", "body": "nội dung {}"}
@@ -136,20 +138,66 @@ def test_packing_matches_a_loop(spark):
 
 
 def test_packing_by_a_vocabulary(spark, tmp_path):
-    """A small word vocabulary made here: tokens are words, and cuts fall between them."""
-    from tokenizers import Tokenizer, models, pre_tokenizers
-
-    from lexquarry.sources.vocabularies import JsonVocabulary, counted, truncated
-
-    own = Tokenizer(models.WordLevel({"[UNK]": 0, "a": 1, "bb": 2}, unk_token="[UNK]"))
-    own.pre_tokenizer = pre_tokenizers.Whitespace()
-    own.save(str(tmp_path / "v.json"))
-    load = functools.partial(JsonVocabulary, str(tmp_path / "v.json"))
-    parts = ["a bb a", "bb unknownword", "a a a a a a a a", "bb"]
-    assert chunks.packed(parts, 5, 2, load()) == ["a bb a bb unknownword", "a a a a a", "a a a", "bb"]
+    """A small vocabulary made here: a word is one token with the space before it, and other words are bytes."""
+    words = ["a", "b", "bb", " a", " b", " bb", " "]
+    (tmp_path / "v").write_text("".join(f"{base64.b64encode(w.encode()).decode()} {k}\n" for k, w in enumerate(words)))
+    load = merges.load(spark, str(tmp_path / "v"))
+    parts = ["a bb a", "bb unknown", "a a a a a a a a", "bb"]
+    assert chunks.packed(parts, 5, 2, load()) == ["a bb a", "bb unk", "nown", "a a a a a", "a a a", "bb"]
     rows = spark.createDataFrame([(1, parts), (2, None)], "k int, parts array<string>")
-    got = rows.select(chunks.pack(F.col("parts"), 5, 2, load).alias("p"), counted(F.array_join("parts", " "), load).alias("n"), truncated(F.array_join("parts", " "), 4, load).alias("t")).collect()
-    assert got[0].p == chunks.packed(parts, 5, 2, load()) and (got[0].n, got[0].t) == (14, "a bb a bb") and got[1].p is None and got[1].t is None
+    got = rows.select(chunks.pack(F.col("parts"), 5, 2, load).alias("p"), vocabularies.counted(F.array_join("parts", " "), load).alias("n"), vocabularies.truncated(F.array_join("parts", " "), 4, load).alias("t")).collect()
+    assert got[0].p == chunks.packed(parts, 5, 2, load()) and (got[0].n, got[0].t) == (21, "a bb a bb") and got[1].p is None and got[1].t is None
+
+
+def naive(piece, ranks):
+    """Brute force: the lowest pair, the leftmost first, again and again."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not pairs:
+            return parts
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def test_merges_equal_brute_force_on_all_words(spark):
+    ranks = merges.ranks(spark, VOCABULARY)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words = docs.select(F.explode(merges.pieces(F.col("text"))).alias("piece")).distinct()
+    rows = merges.token_table(words, spark.sparkContext.broadcast(ranks)).collect()
+    assert len(rows) > 1000
+    for r in rows:
+        raw = r.piece.encode()
+        ends = merges.merged(raw, ranks)
+        assert [raw[a:b] for a, b in zip([0, *ends], ends)] == naive(raw, ranks)
+        assert len(r.ends) == len(ends) and r.ends[-1] == len(r.piece)
+    assert merges.merged(b"a" * 5000, ranks) == list(itertools.accumulate(map(len, naive(b"a" * 5000, ranks))))
+
+
+def test_tokens_of_texts_equal_the_public_encoder(spark):
+    import tiktoken
+
+    ranks = merges.ranks(spark, VOCABULARY)
+    own = tiktoken.Encoding("own", pat_str=merges.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    odd = [None, "", " ", "  \n\t x", "it's we'll I'd", "ﬁ½ 123abc", "日本語テキスト", "🙂🙂 e\u0301", "a\u00a0b\u2003 c", "x" * 3000, "é" * 2000] + ["".join(rng.choice("ab é日🙂 \n'1.") for _ in range(40)) for _ in range(60)]
+    texts = odd + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    held = spark.sparkContext.broadcast(ranks)
+    docs = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)] + [(9999, texts[5], "twice")], "id long, text string, piece string")
+    by = merges.Merges(ranks)
+    for n in (1, 7, 300):
+        cut = {r.id: r for r in merges.truncated(merges.counted(docs, held), held, n).collect()}
+        assert len(cut) == len(texts) + 1 and cut[9999].n_tokens == cut[5].n_tokens
+        for i, t in enumerate(texts):
+            ids = own.encode_ordinary(t or "")
+            assert cut[i].n_tokens == max(1, len(ids)) == by.count(t or "") and cut[i].piece == "kept"
+            want = None if t is None else own.decode_bytes(ids[:n]).decode("utf-8", "ignore")
+            assert cut[i].cut == want, (n, t)
+            if t and len(ids) > n:
+                assert by.head(t, n) == (want or t[:1]) and t.endswith(by.tail(t, n))
 
 
 def test_chunks_and_parents(spark):
