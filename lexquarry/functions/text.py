@@ -34,7 +34,8 @@ def filled(c: Column) -> Column:
 
 
 def normalized(c: Column, form: str) -> Column:
-    """The text in a Unicode normal form, by the tables that come with Spark."""
+    """The text in a Unicode normal form, by the tables that come with Spark. Spark takes calls of Java methods for not
+    deterministic, which they are here: they may not stand inside an aggregate, but in a column before it."""
     method, compatible = FORMS[form]
     return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), c, F.lit(compatible))
 
