@@ -13,6 +13,9 @@ in D; the suffixes at places of D (about 2 / sqrt(v) of all) are ranked beforeha
 compare by the ranks at i + d and j + d. Ties are split by a level-wise three-way quicksort over all groups at once, so
 the longest common prefix never costs more than those ranks, and memory stays in proportion to the block.
 
+Where a text repeats itself every few bytes, as in a run of one letter, all suffixes repeat by definition and those of the
+first period stand for the rest.
+
 An anchor with more than HOT different stretches would fill a task: it is split by anchors of the full `length`, which are
 the suffixes themselves. Suffixes with the same anchor are then equal, so a bucket has nothing left to sort under each and
 counts them; anchors are dealt by, and told apart by, two polynomials modulo 2**61 - 1 at random bases (`text.Exact`), by
@@ -40,6 +43,8 @@ LENGTH = 400
 ANCHOR = 100
 HOT = 20_000
 BLOCK_BYTES = 2 << 20
+PERIOD = 256
+"""Bytes after which a passage may repeat itself to be filed by its first period alone."""
 _LOW = np.uint64(0xFFFFFFFF)
 
 SETTLED, SEND, ASK, SPREAD = 1, 2, 4, 8
@@ -154,6 +159,47 @@ def sort_block(buf: np.ndarray, end_of: np.ndarray, starts: np.ndarray, length:
     return rank
 
 
+def periodic(buf: np.ndarray, off: np.ndarray, length: int, most: int = PERIOD) -> list[tuple[int, int, int]]:
+    """(a, b, p): where bytes a to b of a row repeat themselves every p bytes, for `length` + p bytes or more, p up to `most`.
+
+    Such a place holds one of every length // 2 bytes: there alone, eight bytes are compared with those p further on.
+    """
+    n = len(buf)
+    if n < length + 8:
+        return []
+    words = np.ndarray((n - 7,), "<u8", np.ascontiguousarray(buf), 0, (1,))
+    grid = np.arange(0, n - 7, max(1, length // 2))
+    row_end = off[np.searchsorted(off, grid, "right")]
+    row_start = off[np.searchsorted(off, grid, "right") - 1]
+    here, open_, out = words[grid], np.ones(len(grid), bool), []
+    for p in range(1, min(most, length, n - 8) + 1):
+        near = np.flatnonzero(open_ & (grid + p < n - 7))
+        for k in near[here[near] == words[grid[near] + p]].tolist():
+            if not open_[k]:
+                continue
+            g, lo, hi = int(grid[k]), int(row_start[k]), int(row_end[k]) - p
+            a, b = g, g
+            size = 64
+            while b < hi:  # how far bytes equal those p further on, in steps that grow
+                differ = np.flatnonzero(buf[b : min(b + size, hi)] != buf[b + p : min(b + size, hi) + p])
+                if len(differ):
+                    b += int(differ[0])
+                    break
+                b, size = min(b + size, hi), size * 2
+            size = 64
+            while a > lo:
+                c = max(a - size, lo)
+                differ = np.flatnonzero(buf[c:a] != buf[c + p : a + p])
+                if len(differ):
+                    a = c + int(differ[-1]) + 1
+                    break
+                a, size = c, size * 2
+            if b - a >= length:
+                out.append((a, b + p, p))
+                open_[(grid >= a) & (grid < b + p)] = False
+    return sorted(out)
+
+
 class Stretches:
     """A group's text cut to stretches of neighbouring suffixes with the same anchor."""
 
@@ -163,6 +209,7 @@ class Stretches:
         n = len(self.buf)
         empty = np.zeros(0, np.int64)
         self.start = self.stop = self.anchor = empty
+        self.periodic, known = periodic(self.buf, self.off, length), empty.astype(bool)
         if n >= length:
             pick = first_min(hasher.keys(anchor), length - anchor + 1)
             pick &= _LOW
@@ -172,12 +219,21 @@ class Stretches:
                 inside[a : max(a, b)] = True
             turn = np.r_[True, pick[1:] != pick[:-1], True]
             turn[self.off[self.off < len(turn)]] = True
+            # what repeats itself: the suffixes of the first period speak for the others
+            first = np.zeros(len(turn), bool)
+            for a, b, p in self.periodic:
+                inside[a + p : b - length + 1] = False
+                twice = min(a + p, b - length - p + 1)  # from here on, a suffix of the first period doesn't fit in once more
+                turn[[a, twice, a + p, b - length + 1]] = True
+                first[a:twice] = True
             start = np.flatnonzero(inside[:-1] & turn[:-1])
             self.start = start
-            closes = turn | ~inside
+            closes = turn
+            closes[1:] |= inside[:-1] & ~inside[1:]
             at = np.flatnonzero(closes)
             self.stop = at[np.searchsorted(at, start, "right")]
             self.anchor = pick[start].astype(np.int64)
+            known = first[start]
         under = hasher.spans(self.anchor, self.anchor + anchor)
         self.raw, self.length = self.buf.tobytes(), length
         bucket = under % np.uint64(n_buckets)
@@ -196,6 +252,8 @@ class Stretches:
         self.own = np.flatnonzero(head)
         self.under = u[self.own]
         self.many = np.diff(np.r_[self.own, len(u)]) > 1
+        if len(self.own):
+            self.many |= np.logical_or.reduceat(known[self.sorted], self.own)
         self.first = self.sorted[self.own]
         self.entry = np.zeros(len(u), np.int64)
         self.entry[self.sorted] = np.cumsum(head) - 1
@@ -281,6 +339,9 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
         s = of(left)
         n = len(s.buf)
         gone = np.zeros(n + 1, np.int64)
+        for a, b, _ in s.periodic:
+            gone[a] += 1
+            gone[b] -= 1
         if len(s.own):
             state = X.answers(X.replies(right, 0), s.cuts)
             settled = (state[s.entry] & SETTLED) > 0

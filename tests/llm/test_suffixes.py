@@ -63,3 +63,43 @@ def test_cover_has_an_offset_for_each_pair():
         inside, offset = suffixes.cover(v)
         i = np.arange(v)
         assert inside[(i[:, None] + offset) % v].all() and inside[(i[None, :] + offset) % v].all()
+
+
+def test_texts_that_repeat_themselves(frame):
+    rng = np.random.default_rng(9)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    texts = ["a" * 900, "a" * 61, "a" * 60, "a" * 59, "ab" * 40, "ab" * 30 + "a", noise(50) + "xyz" * 60 + noise(70), noise(30) + "z" * 62 + "y" * 61 + "yz" * 45 + noise(10), "abcdefghijk" * 12, "abcdefghijk" * 5 + "abcdef" + noise(90)]
+    texts += [noise(20) + "k" * m + noise(20) for m in (58, 60, 61, 63, 119, 120, 121)] + [("four words said again " * 30)[k : 400 + 7 * k] for k in range(5)] + ["é" * 80, "q" * 130 + "é" * 70]
+    for _ in range(30):
+        unit = noise(int(rng.integers(1, 40)))
+        texts.append(noise(int(rng.integers(0, 40))) + (unit * 60)[: int(rng.integers(50, 200))] + noise(int(rng.integers(0, 40))))
+    pairs = list(enumerate(texts))
+    for n_groups in (1, 4):
+        assert found(suffixes.removed(frame(pairs), length=60, anchor=16, n_groups=n_groups)) == brute(pairs, 60)
+    assert found(suffixes.removed(frame(pairs), length=60, anchor=16, n_groups=3, hot=1)) == brute(pairs, 60)
+
+
+def test_one_letter_takes_no_more_memory_than_other_texts():
+    import time
+    import tracemalloc
+
+    from lexquarry.llm import exchange
+
+    import pyarrow as pa
+    import zstandard
+
+    size = 4_000_000
+    noise = np.random.default_rng(1).integers(97, 123, size).astype(np.uint8).tobytes()
+    for text in (b"a" * size, b"ab" * (size // 2), b"four words said again " * (size // 22), noise):
+        table = pa.table({"g": pa.array([0], pa.int32()), "doc_id": pa.array([1], pa.int64()), "flag": [False], "body": pa.array([zstandard.compress(text)], pa.binary())})
+        exchange.flagged(table)
+        suffixes.Stretches(table.slice(0, 0), 400, 100, 16)
+        tracemalloc.start()
+        began = time.time()
+        s = suffixes.Stretches(table, 400, 100, 16)
+        took = time.time() - began
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80 * size and took < 10, (text[:8], peak / size, took)
+        if text is not noise:
+            assert len(s.start) < 1000
