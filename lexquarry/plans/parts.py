@@ -169,11 +169,13 @@ def embedding_norms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    """Every user's question, guarded and answered from two given documents."""
-    asked = answering.guarded(V.questions(spark, d))
+    """Every user's question, guarded and answered from the two documents that BM25 finds first among all."""
+    asked = answering.guarded(V.questions(spark, d)).persist()  # of the questions alone; Spark drops it when memory is short
+    good = asked.where("guard.status = 'ok'").select("query_id", F.col("guard.normalized_query").alias("query"))
     none, n = F.lit(None).cast("string"), F.lit(None).cast("int")
-    rank = F.explode(F.array(F.lit(1), F.lit(2)))
-    hits = asked.select("query_id", rank.alias("final_rank")).withColumn("id", (F.col("query_id") * F.lit(7) + F.col("final_rank") * 3) % 200)
+    postings, terms, stats = catalog._index(spark, d)
+    found = lexical.okapi(postings, stats, good, terms=terms).withColumn("bm25", F.round("bm25", 8))
+    hits = lexical.top(found, [F.col("bm25").desc(), F.col("id")], 2, "final_rank")
     docs = V.corpus(spark, d).select("id", "text", F.col("source").alias("van_ban"))
     ranked = hits.join(docs, "id").select("query_id", "final_rank", "text", F.lit("text").alias("modality"), "van_ban", none.alias("dieu"), none.alias("khoan"), none.alias("diem"), n.alias("page_start"), n.alias("page_end"), F.lit("").alias("citation"))
     return answering.answered(asked, ranked, providers.Extractive()).select("query_id", "answer", F.array_join("sources", "|").alias("sources"), "notice", F.array_join("suggestions", "|").alias("suggestions"))
@@ -236,8 +238,10 @@ ORACLES = {
       SELECT CASE WHEN regexp_matches(text, '^\\s*\\[(BẢNG|BANG)\\]') THEN 'table' WHEN modality = 'image' OR regexp_matches(text, '^\\s*\\[(HÌNH|HINH|FIGURE)\\]') THEN 'image' ELSE 'text' END AS modality, count(*) AS n_chunks, 64 AS dim, (SELECT count(*) FROM p) AS n_postings, (SELECT sum(tf) FROM p)::BIGINT AS n_tokens, (SELECT count(*) FROM v) AS n_terms,
         (SELECT max(df) FROM v) AS top_df, (SELECT count(*) FROM ok) AS n, round((SELECT avg(len({oracles._tokens("text")})) FROM ok), 6) AS avgdl FROM ok GROUP BY 1""",
     "embedding_norms": "SELECT doc_id, 64 AS dim, CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents",
-    "answers": f"""WITH {oracles.VERDICTS},
-      hit AS (SELECT query_id, doc_id, text, source, k FROM v, (VALUES (1), (2)) AS r(k) JOIN documents ON doc_id = (query_id * 7 + k * 3) % 200),
+    "answers": f"""WITH {oracles.OKAPI.split("asked AS")[0]} {oracles.VERDICTS},
+      asked AS (SELECT query_id, unnest({oracles._tokens("normalized_query")}) AS term FROM v WHERE status = 'ok'),
+      scored AS (SELECT query_id, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 8) AS bm25 FROM asked JOIN fixed USING (term) JOIN post USING (term) JOIN dls USING (id), st GROUP BY query_id, id),
+      hit AS (SELECT query_id, doc_id, text, source, k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS k FROM scored) JOIN documents ON doc_id = id WHERE k <= 2),
       s AS (SELECT query_id, arg_min(text, k) AS best, CASE WHEN arg_min(source, k) = arg_max(source, k) THEN any_value(source) ELSE string_agg(source, '|' ORDER BY k) END AS sources FROM hit GROUP BY query_id),
       a AS (SELECT v.*, sources, coalesce(nullif({oracles._strip("string_split(best, chr(10) || chr(10))[1]")}, ''), '{answering.REFUSAL}') AS said FROM v LEFT JOIN s USING (query_id))
       SELECT query_id, CASE WHEN status <> 'ok' THEN replace(suggestions, '|', chr(10)) WHEN user_warning <> '' THEN '> ' || replace(user_warning, chr(10), chr(10) || '> ') || chr(10) || chr(10) || said ELSE said END AS answer,
