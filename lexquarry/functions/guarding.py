@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexquarry.functions.tables import once
 from lexquarry.functions.text import collapse, strip
 
 # Spelling fixes in the order they apply (pattern, replacement).
@@ -92,7 +93,8 @@ def summary(removed: Column, items: int = 2, chars: int = 90) -> Column:
 def guard(query: Column, notify: bool = True) -> Column:
     """status, normalized_query, suggestions, reason, removed_segments and user_warning of a question."""
     parts = F.transform(segments(fix_spelling(query)), lambda s: F.struct(s.alias("text"), label(s).alias("label")))
-    return judged(strip(F.coalesce(query, F.lit(""))) == "", parts, notify)
+    # the segments are labelled once, however many fields of the verdict are read
+    return once(parts, lambda p: judged(strip(F.coalesce(query, F.lit(""))) == "", p, notify))
 
 
 def judged(empty: Column, parts: Column, notify: bool = True) -> Column:

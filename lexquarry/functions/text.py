@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Lower-case letters with marks, as Vietnamese and the western European languages use them.
+ACCENTED = {
+    "a": "àáâãäåāăąảạằắẳẵặầấẩẫậ", "c": "çćĉċč", "d": "ď", "e": "èéêëēĕėęěẻẽẹềếểễệ", "g": "ĝğġģ", "h": "ĥ",
+    "i": "ìíîïĩīĭįỉị", "j": "ĵ", "k": "ķ", "l": "ĺļľ", "n": "ñńņňǹ", "o": "òóôõöōŏőơỏọồốổỗộờớởỡợ", "r": "ŕŗř",
+    "s": "śŝşš", "t": "ţť", "u": "ùúûüũūŭůűųưủụừứửữự", "w": "ŵẁẃẅ", "y": "ýÿŷỳỷỹỵ", "z": "źżž",
+}
+FROM = "".join(ACCENTED.values())
+TO = "".join(k * len(v) for k, v in ACCENTED.items())
 # Combining marks that Unicode 14, 15 and 15.1 added, which the JVM's \p{Mn} doesn't know;
 # U+1734 no longer is one.
 LATER_MARKS = (
@@ -42,9 +50,10 @@ def normalized(c: Column, form: str) -> Column:
 
 def strip_accents(c: Column) -> Column:
     """Without combining marks, be they of their own or part of a letter; what is left in composed compatibility form."""
-    bare = lambda t: normalized(F.regexp_replace(normalized(t, "NFD"), MARK, ""), "NFKC")
-    # most texts are plain, and cost one look
-    return F.when(c.rlike(r"[^\x00-\x7f]"), bare(c)).otherwise(c)
+    # most texts hold no other letters than these, and need no tables
+    common = F.translate(c, FROM, TO)
+    every = normalized(F.regexp_replace(normalized(c, "NFD"), MARK, ""), "NFKC")
+    return F.when(common.rlike(r"[^\x00-\x7fđß]"), every).otherwise(common)
 
 
 def tokens(c: Column) -> Column:

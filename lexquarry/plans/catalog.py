@@ -29,7 +29,9 @@ def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
         folder = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
         postings, terms, stats = (Store(spark, f"{folder}/{n}") for n in ("postings", "terms", "statistics"))
         postings.write(lexical.postings(docs))
-        stats.write(lexical.statistics(docs))
+        # the texts are tokenised once: all frequencies together are all tokens
+        counts = docs.agg(F.count(F.lit(1)).alias("n")).join(postings.read().agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("length")), how="cross")  # one row each
+        stats.write(counts.select("n", F.try_divide("length", "n").alias("avgdl")))
         terms.write(lexical.vocabulary(postings.read(), stats.read()))
         _indexed[key] = state, folder
     folder = _indexed[key][1]
@@ -97,8 +99,8 @@ def hybrid_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
-    own = text.tokens(F.col("text"))
-    return V.table(spark, d, "documents").select("doc_id", F.size(own).alias("n_tokens"), F.size(F.array_distinct(own)).alias("n_distinct"), F.array_join(own, " ").alias("tokens"))
+    own = V.table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    return own.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), F.array_join("t", " ").alias("tokens"))
 
 
 def accent_strip(spark: SparkSession, d: str) -> DataFrame:
