@@ -374,3 +374,47 @@ def test_whole_items_are_searched(spark):
     want = {(q, i) for q, t in items.items() for i, d in docs.items() if t and t <= d}
     found = {(r.query_id, r.id) for r in __spark_entry__.queries()["bm25_fts_topk"](spark, folder).collect()}
     assert found and found == want
+
+
+def test_a_long_texts_vector_depends_on_its_end(spark):
+    own = providers.HashEmbedder()
+    long = "một " * 5000
+    texts = [long + "hai", long + "ba " * 3000, "một hai", "", None]
+    got = {r.id: r.embedding for r in providers.embedded(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), own, "id", "t").collect()}
+    assert got[0] != got[1] and got[2] == pytest.approx(own.embed(["một hai"])[0], abs=1e-6)
+    for k in (0, 1):
+        parts = providers.pieces(texts[k])
+        assert "".join(parts) == texts[k] and len(parts) > 1
+        vectors, weight = [own.embed([p])[0] for p in parts], [len(p) for p in parts]
+        mean = [sum(v[d] * w for v, w in zip(vectors, weight)) for d in range(64)]
+        size = sum(x * x for x in mean) ** 0.5
+        assert got[k] == pytest.approx([x / size for x in mean], abs=1e-6)  # all parts have length 1
+    first = providers.embedded(spark.createDataFrame([(0, texts[0]), (1, texts[1])], "id long, t string"), own, "id", "t", compat=True).collect()
+    assert first[0].embedding == first[1].embedding
+
+
+def test_a_failing_rewrite_leaves_the_question(spark, index):
+    class Model:
+        def rewrite(self, question):
+            if "lỗi" in question:
+                raise RuntimeError("the service is down")
+            return "" if "trống" in question else question.upper()
+
+    asked = answering.guarded(spark.createDataFrame([(1, "pccc lỗi"), (2, "pccc được"), (3, "pccc trống"), (4, "nấu ăn")], "query_id int, query string"))
+    got = {r.query_id: r.q for r in answering.rewritten(asked, providers.rewriting(Model)).select("query_id", F.col("guard.normalized_query").alias("q")).collect()}
+    assert got == {1: "pccc lỗi", 2: "PCCC ĐƯỢC", 3: "pccc trống", 4: ""}
+
+    def broken():
+        raise OSError("no model")
+
+    kept = answering.rewritten(asked, providers.rewriting(broken)).select(F.col("guard.normalized_query").alias("q")).collect()
+    assert {r.q for r in kept} == {"pccc lỗi", "pccc được", "pccc trống", ""}
+    assert pipeline.answer(asked.select("query_id", "query").where("query_id = 1"), index, rewrite=providers.rewriting(Model)).first().answer
+
+
+def test_every_users_question_is_answered_from_what_is_found(spark):
+    from lexquarry.plans import parts
+
+    rows = parts.answers(spark, FOLDER).collect()
+    asked = spark.read.parquet(f"{FOLDER}/conversations.parquet").where("role = 'user'").count()
+    assert len(rows) == asked and any(r.sources for r in rows)
