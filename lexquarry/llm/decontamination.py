@@ -6,8 +6,8 @@ automaton over all pieces finds those hits in one pass over the text. Each hit s
 that agree within k are one candidate, and Myers' bit-parallel edit distance decides on the text around it.
 
 The benchmark is read in blocks of at most BLOCK characters, each one automaton sent to the executors and one pass over
-the documents; documents are never shuffled. Defined cases: null and empty items match nothing; items shorter than
-SHORT characters, for which an edit could make another word, are found without edits and as whole words; null and empty
+the documents; documents are never shuffled. Defined cases: null and empty items match nothing; items whose budget is no
+edit are found as whole words, since as parts of words they would say nothing; null and empty
 documents match nothing; repeated rows each give their matches; item ids that repeat give a match each. A text is searched
 whole, in memory of about 10 times its bytes.
 """
@@ -27,7 +27,6 @@ from lexquarry.ship import ship
 
 BUDGET = 0.05
 """Edits per character of the item: pieces of about 20 characters."""
-SHORT = 24
 BLOCK = 4_000_000
 
 
@@ -36,7 +35,7 @@ def normal(text: str | None) -> str:
 
 
 def edits(item: str, budget: float = BUDGET) -> int:
-    return int(len(item) * budget) if len(item) >= SHORT else 0
+    return int(len(item) * budget)
 
 
 def pieces(item: str, budget: float = BUDGET) -> list[tuple[int, str]]:
@@ -106,7 +105,7 @@ class Matcher:
         for n, starts in begins.items():
             item = self.texts[n]
             m, k = len(item), edits(item, self.budget)
-            if m < SHORT:
+            if not k:
                 ends = [a + m for a in sorted(starts) if _alone(text, a, a + m)]
                 out += [(self.ids[n], 0, ends[0])] if ends else []
                 continue
