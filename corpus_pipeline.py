@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from lexquarry.llm import decontamination, language, mixing, neardup, sharding
 from lexquarry.llm.tables import Scratch, orderable, written
 
-MIN_COSINE = 0.04
-MIN_CHARS = 200
-"""A text of so many characters goes if no language's prototype is nearer than MIN_COSINE, as with random letters; shorter
-ones say too little for that. A text without letters goes always."""
+MIN_COSINE, SAYS_NOTHING = 0.04, 100
+"""A text goes if no language's prototype is nearer than MIN_COSINE, as with random letters, less what chance may take from a text
+of its length: the cut rises from 0 at SAYS_NOTHING characters with the inverse root of the length. A text without letters goes always."""
 
 NEAR = 80
 """Percent of the union of shingles from which documents are near copies; 85 is op8's own."""
@@ -33,11 +32,11 @@ def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language: null and empty texts, texts without a letter, and texts of MIN_CHARS
-    or more that are like no language. Labels (null: none) train the profiles; the text alone decides, row by row."""
+    """Drops documents without a recognisable language: null and empty texts, texts without a letter, and texts that are like
+    no language. Labels (null: none) train the profiles; the text alone decides, row by row."""
     rows, at = renamed(docs)
     found = language.identify(rows, language.fit(rows, at["text"], at["lang"]), at["text"])
-    alien = (F.length(at["text"]) >= MIN_CHARS) & (F.col("cosine") < MIN_COSINE)
+    alien = F.col("cosine") < MIN_COSINE * (1 - F.sqrt(SAYS_NOTHING / F.greatest(F.length(at["text"]), F.lit(1))))
     return restored(found.where((F.col("lang_pred") != language.UNKNOWN) & ~alien), docs)
 
 
