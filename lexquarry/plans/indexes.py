@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexquarry.functions import tables, text
-from lexquarry.operators import cells, dense, merges
+from lexquarry.functions import legal, tables, text
+from lexquarry.operators import cells, dense, merges, sections
+from lexquarry.plans import oracles
 from lexquarry.plans import views as V
 from lexquarry.sources.store import scratch
 
@@ -52,6 +53,12 @@ def spanning_tables(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", tables.html_to_markdown(html).alias("markdown"))
 
 
+def section_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The sections of every element, found in blocks that cut documents anywhere."""
+    rows = sections.sectioned_by_blocks(V.elements(spark, d), blocks=50)
+    return rows.select("doc_id", F.col("ord").alias("i"), F.col("section").cast("int").alias("section"), "flush", *(F.col(f"state.{f}").alias(f) for f in legal.FIELDS))
+
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -61,8 +68,9 @@ def vocabulary_tokens(spark: SparkSession, d: str, vocabulary: str = VOCABULARY)
     return merges.counted(V.table(spark, d, "documents").select("doc_id", "text"), held).select("doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (ivf_knn_topk, ivf_report, unicode_forms, spanning_tables, vocabulary_tokens)}
+QUERIES = {f.__name__: f for f in (ivf_knn_topk, ivf_report, unicode_forms, spanning_tables, section_blocks, vocabulary_tokens)}
 ORACLES = {
+    "section_blocks": oracles.ORACLES["section_windows"],
     "ivf_report": "SELECT count(*) AS n_vectors, count(*) AS n_indexed, count(*) FILTER (vec_id % 20 = 0) AS n_queries, true AS good FROM embeddings WHERE embedding IS NOT NULL",
     "unicode_forms": """WITH m AS (SELECT doc_id, nfc_normalize(text) AS nfc FROM documents),
       c AS (SELECT doc_id, unnest(string_split(nfc, '')) AS c FROM m)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,13 @@ def scratch(spark: SparkSession) -> str:
 _local: dict[str, str | None] = {}
 
 
+def materialised(table: DataFrame, name: str) -> DataFrame:
+    """The table, written to the application's folder and read back: what refers to it sees the same rows each time."""
+    path = f"{scratch(table.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 class Store:
     """A table under a folder that Spark can read: version=N holds it whole, changed.KEY=N new rows of some keys, gone.KEY=N keys that left."""
 

@@ -254,6 +254,30 @@ def test_stream_equals_batch_and_repeats_nothing(spark, folder):
     assert store.versions() == [1, 2] and {r.chunk_id for r in store.read().collect()} > first
 
 
+def test_repeated_late_and_restarted_batches_give_each_source_once(spark, folder, monkeypatch):
+    store = Store(spark, str(folder / "chunks"))
+    run = lambda: ingest.ingest(spark, str(folder / "in"), store, str(folder / "ckpt"), files.PlainText()).awaitTermination()
+    monkeypatch.setattr(ingest, "BATCH_FILES", 1)  # copies come in batches of their own
+    real, calls = ingest.chunk, []
+
+    def fails_once(*args, **options):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return real(*args, **options)
+
+    monkeypatch.setattr(ingest, "chunk", fails_once)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    run()
+    (folder / "in" / "late.pdf").write_text(LAW)
+    run()
+    rows = store.read().collect()
+    found = files.new_files(files.scan(spark, str(folder / "in")), spark.createDataFrame([], "source_sha1 string"))
+    assert {r.chunk_id for r in rows} == {r.chunk_id for r in real(files.extracted(found, files.PlainText())).collect()}
+    assert len(rows) == len({r.chunk_id for r in rows}) and len({r.source_sha1 for r in rows}) == 2 and len(calls) == 3
+
+
 def test_command_line(spark, folder, capsys):
     at = lambda name: str(folder / name)
     run = lambda *args: (cli.main(list(args), spark), capsys.readouterr().out)
@@ -402,13 +426,13 @@ def test_a_failing_rewrite_leaves_the_question(spark, index):
 
     asked = answering.guarded(spark.createDataFrame([(1, "pccc lỗi"), (2, "pccc được"), (3, "pccc trống"), (4, "nấu ăn")], "query_id int, query string"))
     got = {r.query_id: r.q for r in answering.rewritten(asked, providers.rewriting(Model)).select("query_id", F.col("guard.normalized_query").alias("q")).collect()}
-    assert got == {1: "pccc lỗi", 2: "PCCC ĐƯỢC", 3: "pccc trống", 4: ""}
+    assert got == {1: "PCCC lỗi", 2: "PCCC ĐƯỢC", 3: "PCCC trống", 4: ""}
 
     def broken():
         raise OSError("no model")
 
     kept = answering.rewritten(asked, providers.rewriting(broken)).select(F.col("guard.normalized_query").alias("q")).collect()
-    assert {r.q for r in kept} == {"pccc lỗi", "pccc được", "pccc trống", ""}
+    assert {r.q for r in kept} == {"PCCC lỗi", "PCCC được", "PCCC trống", ""}
     assert pipeline.answer(asked.select("query_id", "query").where("query_id = 1"), index, rewrite=providers.rewriting(Model)).first().answer
 
 

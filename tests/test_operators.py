@@ -200,6 +200,37 @@ def test_tokens_of_texts_equal_the_public_encoder(spark):
                 assert by.head(t, n) == (want or t[:1]) and t.endswith(by.tail(t, n))
 
 
+@pytest.mark.parametrize("by_clause, by_point", [(True, True), (False, True), (False, False)])
+def test_sections_by_blocks_equal_sections_by_documents(spark, by_clause, by_point):
+    rng, rows = random.Random(12), []
+    for d, n in (("long", 4000), ("b", 70), ("c", 3), ("a", 900)):
+        page = 1
+        for k in range(n):
+            page += rng.random() < 0.1
+            kind = rng.choice(["chuong", "dieu", "khoan", "diem", "body", "body", "body"] if d != "long" or k % 1000 < 300 else ["body"])
+            rows.append((d, f"doc{d}", k, rng.choice(["Title", "Text", "Text", "Footer"]), WORDS[kind].format(rng.randint(1, 4)) + " " + rng.choice(["x", "Tên gọi", ""]), None if rng.random() < 0.05 else page))
+    rng.shuffle(rows)
+    elements = spark.createDataFrame(rows, ELEMENTS)
+    columns = ("source_sha1", "ord", "section", "flush", "is_title", "has_heading", "titles", "state", "text")
+    want = sorted((tuple(r) for r in sections.sectioned(elements, by_clause, by_point).select(*columns).collect()), key=str)
+    for blocks in (1, 3, 40):
+        got = sections.sectioned_by_blocks(elements, by_clause, by_point, blocks)
+        assert sorted((tuple(r) for r in got.select(*columns).collect()), key=str) == want
+    assert sections.sectioned_by_blocks(elements.limit(0)).count() == 0
+
+
+def test_a_document_of_many_elements_is_dealt_to_many_tasks(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(sections, "materialised", lambda table, name, real=sections.materialised: held.append(real(table, name)) or held[-1])
+    n = 60_000
+    text = F.when(F.col("id") % 997 == 5, F.concat(F.lit("Điều "), (F.col("id") / 997).cast("int").cast("string"))).otherwise("thân bài")
+    elements = spark.range(n).select(F.lit("s").alias("source_sha1"), F.lit("d").alias("doc_id"), F.col("id").alias("ord"), F.lit("Text").alias("element_type"), text.alias("text"), (F.col("id") / 50).cast("int").alias("page_number"))
+    got = sections.sectioned_by_blocks(elements, blocks=30)
+    assert got.agg(F.max("section")).first()[0] == (n - 6) // 997 + 1
+    sizes = [r["count"] for r in held[0].groupBy("_block").count().collect()]
+    assert len(sizes) > 25 and max(sizes) < n / 10
+
+
 def test_chunks_and_parents(spark):
     rows = [
         ("s", "d", 0, "Title", "Điều 1 Tên", 1), ("s", "d", 1, "Text", "Câu một. Câu hai.", 1), ("s", "d", 2, "Table", "| a | b |", 2), ("s", "d", 3, "Image", "ảnh", 3), ("s", "d", 4, "Text", "Khoản 2 nội dung", 4),
