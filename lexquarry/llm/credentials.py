@@ -24,6 +24,7 @@ read. A long text is held once as characters; a value of n characters costs n st
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 
@@ -107,8 +108,9 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             for t in batch.column(1).to_pylist():
                 t = t or ""
                 own = base_spans(t)
+                inside = Covered(own)
                 base.append([{"start": a, "kind": k, "end": b} for a, k, b in own])
-                found.append([{"start": a, "end": b, "value": v, "covered": any(x <= a and b <= y for x, _, y in near(own, a))} for a, b, v in values_of(t)] if likely(t) else [])
+                found.append([{"start": a, "end": b, "value": v, "covered": inside(a, b)} for a, b, v in values_of(t)] if likely(t) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, _BASE), pa.array(found, _VALUES)], ["doc_id", "base", "values"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -120,18 +122,15 @@ _BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end",
 _VALUES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("covered", pa.bool_())]))
 
 
-def near(spans: list[tuple[int, int, int]], at: int) -> list[tuple[int, int, int]]:
-    """Of sorted spans, the last ones of each kind that start at or before a place: spans of a kind don't overlap."""
-    lo, hi = 0, len(spans)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (mid + 1, hi) if spans[mid][0] <= at else (lo, mid)
-    last = {}
-    for k in range(lo - 1, -1, -1):
-        last.setdefault(spans[k][1], spans[k])
-        if len(last) == 3 or lo - k > 64:  # a kind that is farther back than so many spans of others has ended
-            break
-    return list(last.values())
+class Covered:
+    """Whether a place is inside a base span: those of a kind don't overlap, so the last one to start decides."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.kinds = [[(x, y) for x, k, y in spans if k == kind] for kind in range(3)]
+
+    def __call__(self, a: int, b: int) -> bool:
+        last = (own[at - 1] for own in self.kinds if (at := bisect.bisect_right(own, (a, math.inf))))
+        return any(b <= y for _, y in last)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -144,6 +144,7 @@ def test_queries_have_the_contracts_columns(spark):
         "op3": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}, "op4": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
         "op5": {"doc_id", "size", "source_size", "target", "taken"}, "op6": {"doc_id", "n_words", "n_removed", "kept_sha256"}, "op7": {"doc_id", "item_id"},
         "op8": {"doc_id", "n_shingles", "component_id", "kept"}, "op9": {"doc_id", "held_out", "lang_pred", "score"}, "op10": {"doc_id", "held_out", "score", "predicted"},
+        "op11": {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"}, "op12": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
     }
     own = {n: f for n, f in queries.QUERIES.items() if n.startswith("op")}
     assert {n.split("_")[0] for n in own} == set(want)
