@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.operators import cells, dense, lexical
 from lexquarry.plans import indexes, pipeline
+from lexquarry.sources import providers
 from lexquarry.sources import store as stores
 from lexquarry.sources.store import Store
 
@@ -170,6 +171,19 @@ def test_equal_null_few_and_no_vectors(spark, tmp_path):
     assert none.vectors.count() == 0 and cells.search(asked, none, 3).count() == 0
 
 
+def test_retrieval_may_search_cells(spark, tmp_path):
+    rng = random.Random(4)
+    texts = {f"c{k}": " ".join(rng.choice("phòng cháy chữa nhà tầng cao rừng kho xe điện nước cầu thang cửa sổ".split()) for _ in range(12)) for k in range(80)}
+    at = pipeline.index(chunk_rows(spark, texts), str(tmp_path / "i"))
+    near = cells.build(at.vectors, str(tmp_path / "cells"))
+    asked = spark.createDataFrame([(1, "phòng cháy nhà cao tầng"), (2, "cửa sổ kho")], "query_id long, query string")
+    vectors = providers.embedded(asked, providers.HashEmbedder(), "query_id", "query").withColumnRenamed("embedding", "vector")
+    pool = lambda near: {(r.query_id, r.id, r["rank"]) for r in pipeline.retrieve(asked, vectors, at, pipeline.Settings(), near).collect()}
+    every = cells.Cells(near.centers, near.vectors, len(near.centers))
+    assert pool(every) == pool(None)
+    assert len({x[:2] for x in pool(near)} & {x[:2] for x in pool(None)}) > 0.8 * len(pool(None))
+
+
 def test_bm25_reads_a_kept_up_index(spark, tmp_path):
     at = pipeline.index(chunk_rows(spark, {"a": "phòng cháy", "b": "chữa cháy nhà"}), str(tmp_path / "i"))
     at = pipeline.index(chunk_rows(spark, {"b": "nhà cao tầng", "c": "cháy rừng lớn"}), str(tmp_path / "i"))
