@@ -68,9 +68,11 @@ def table_blocks(ranked: DataFrame, most: int = 2, max_rows: int = 30, max_chars
 
 
 def sources(ranked: DataFrame, rank: str = "final_rank") -> DataFrame:
-    """query_id, sources: labels in rank order, each once."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), label(ranked).alias("l")))), lambda x: x["l"])
-    return ranked.groupBy("query_id").agg(distinct_in_order(ordered).alias("sources"))
+    """query_id, sources: labels in rank order, each once. Hits of one label are brought to its best rank first, so that a query's
+    list grows with its labels alone."""
+    best = ranked.select("query_id", F.col(rank).alias("r"), label(ranked).alias("l")).groupBy("query_id", "l").agg(F.min("r").alias("r"))
+    named = F.array_sort(F.collect_list(F.when(F.col("l") != "", F.struct("r", "l"))))
+    return best.groupBy("query_id").agg(F.transform(named, lambda x: x["l"]).alias("sources"))
 
 
 def prompts(queries: DataFrame, ranked: DataFrame, rank: str = "final_rank") -> DataFrame:

@@ -200,6 +200,24 @@ def test_tokens_of_texts_equal_the_public_encoder(spark):
                 assert by.head(t, n) == (want or t[:1]) and t.endswith(by.tail(t, n))
 
 
+def test_zeros_come_before_negative_scores(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 4 else "b") for i in range(40)], "id long, text string")
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "none")], "query_id long, query string")
+    scored = lexical.okapi(lexical.postings(docs), lexical.statistics(docs), asked, epsilon=-1.0 / 16).withColumn("bm25", F.when(F.col("query_id") == 1, -F.abs("bm25") - 0.001).otherwise(F.abs("bm25") + 0.001))
+    got = {}
+    for r in lexical.top(lexical.with_zeros(scored, docs, asked, 8), [F.col("bm25").desc(), F.col("id")], 8).orderBy("query_id", "rn").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.bm25 == 0))
+    assert got[1] == [(i, True) for i in range(0, 32, 4)]  # the eight without the word, beyond the first 16 ids
+    assert got[2] == [(i, False) for i in range(0, 32, 4)] and got[3] == [(i, True) for i in range(8)]
+
+
+def test_parents_and_excerpts_follow_their_limits(spark):
+    rows = [("s", "d", 0, "Text", "Điều 1 Tên dài hơn một chút", 1), ("s", "d", 1, "Table", "| a | b |", 2)]
+    elements = spark.createDataFrame(rows, ELEMENTS).withColumn("text_as_html", F.when(F.col("element_type") == "Table", F.lit("<table><tr><td>một</td></tr></table>")))
+    made = chunks.chunked(sections.sections(sections.sectioned(elements)), parent_tokens=5, excerpt=9).collect()
+    assert next(r for r in made if r.doc_type == "parent").text == "Điều 1 Tên" and next(r for r in made if r.modality == "table").table_html_excerpt == "<table><t ..."
+
+
 @pytest.mark.parametrize("by_clause, by_point", [(True, True), (False, True), (False, False)])
 def test_sections_by_blocks_equal_sections_by_documents(spark, by_clause, by_point):
     rng, rows = random.Random(12), []
