@@ -27,8 +27,8 @@ def first_of_each_text(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("sha", F.sha1("text"))
     # the digests alone are grouped; texts travel only for the documents that stay
     first = rows.groupBy("sha").agg(F.min(F.struct("doc_id", "source")).alias("first")).select("sha", "first.doc_id", "first.source")
-    # rows of one id, source and text are one
-    return rows.dropDuplicates(["doc_id", "source", "sha"]).join(first, ["sha", "doc_id", "source"], "left_semi")
+    # rows of one id, source and text are one; the join has dealt them by these already
+    return rows.join(first, ["sha", "doc_id", "source"], "left_semi").dropDuplicates(["doc_id", "source", "sha"])
 
 
 def chunked(docs: DataFrame, most: int, overlap: int) -> DataFrame:
