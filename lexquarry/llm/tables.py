@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+WHILE_WRITING = {CLEAN: "true", BATCH: str(8 << 20)}
+"""Settings of the jobs that write tables: what goes to Python workers at once takes 8 MB, or one row."""
 
 
 def shared(spark: SparkSession) -> str:
@@ -38,15 +41,14 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if Scratch.now is not None:
         Scratch.now.paths.append(path)
     writer = df.write.option("compression", "zstd")
-    had = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
+    had = {name: spark.conf.get(name, None) for name in WHILE_WRITING}
+    for name, value in WHILE_WRITING.items():
+        spark.conf.set(name, value)
     try:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     finally:
-        if had is None:
-            spark.conf.unset(CLEAN)
-        else:
-            spark.conf.set(CLEAN, had)
+        for name, value in had.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     table = spark.read.schema(df.schema).parquet(path)
     _folders[table] = path
     return table
