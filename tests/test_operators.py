@@ -1,4 +1,5 @@
 import base64
+import functools
 import itertools
 import random
 
@@ -299,6 +300,26 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in dense.nearest(asked, vectors, 5, 4).collect()) == whole
 
 
+def test_nearest_among_copies_and_nulls_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(dense, "VECTORS_A_TASK", 50)
+    rng = random.Random(8)
+    base = [[rng.random() for _ in range(6)] for _ in range(15)]
+    rows = [(i, base[rng.randrange(15)] if i % 3 else [rng.random() for _ in range(6)]) for i in range(600)] + [(900, None), (901, [1.0])]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>")
+    wanted = [(q, rows[q][1]) for q in range(0, 600, 20)]
+    got = {}
+    for r in dense.nearest(spark.createDataFrame([*wanted, (7, None)], "query_id long, vector array<double>"), vectors, 45).orderBy("query_id", "rn").collect():
+        got.setdefault(r.query_id, []).append((r.distance, r.id))
+    for q, v in wanted:
+        gaps = lambda x: [(a - b) * (a - b) for a, b in zip(v, x, strict=True)]
+        assert got[q] == sorted((functools.reduce(float.__add__, gaps(x), 0.0), i) for i, x in rows[:600])[:45]
+    assert got[7] == [(None, i) for i in range(45)]
+    last = dense.nearest(spark.createDataFrame(wanted[:1], "query_id long, vector array<double>"), vectors, 602).orderBy("rn").collect()
+    assert [(r.id, r.distance) for r in last[600:]] == [(900, None), (901, None)]
+    plan = dense.nearest(spark.createDataFrame(wanted, "query_id long, vector array<double>"), vectors, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "REPARTITION_BY_NUM" in plan  # dealt to tasks however few files there are
+
+
 def test_bm25_batch_equals_single_queries(spark):
     corpus = spark.createDataFrame([(0, "a b c"), (1, "a a d"), (2, "e"), (3, None), (4, "b e e")], "id long, text string")
     posting, stats = lexical.postings(corpus), lexical.statistics(corpus)
