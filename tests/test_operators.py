@@ -3,6 +3,7 @@ import functools
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,6 +335,42 @@ def test_bm25_batch_equals_single_queries(spark):
     assert lexical.top(zero, [F.col("bm25").desc(), F.col("id")], 3).groupBy("query_id").count().where("count = 3").count() == 3
 
 
+@pytest.mark.parametrize("epsilon, most", [(0.25, 10**6), (-0.25, 10**6), (0.25, 20)])
+def test_best_documents_are_the_top_of_all_scores(spark, monkeypatch, epsilon, most):
+    monkeypatch.setattr(lexical, "MAX_QUERY_TERMS", most)  # blocks of queries
+    monkeypatch.setattr(lexical, "SCORES", 60)  # and of documents: workers see these only where they are forked after, results are equal anyhow
+    rng, words = random.Random(3), [f"w{k}" for k in range(30)] + ["common"] * 20
+    texts = [" ".join(rng.choices(words, k=rng.randrange(12))) for _ in range(120)]
+    corpus = spark.createDataFrame([(i, rng.choice(texts) if i % 9 else None) for i in range(400)], "id long, text string")  # copies tie
+    asked = spark.createDataFrame([(q, " ".join(rng.choices(words, k=5))) for q in range(12)] + [(90, "none"), (91, "")], "query_id long, query string")
+    docs, stats = lexical.documents(corpus.repartition(3)), lexical.statistics(corpus)
+    assert sorted(map(tuple, lexical.postings_of(docs).collect())) == sorted(map(tuple, lexical.postings(corpus).collect()))
+    terms = lexical.vocabulary(lexical.postings(corpus), stats)
+    every = lexical.okapi(lexical.postings(corpus), stats, asked, epsilon=epsilon, terms=terms).withColumn("bm25", F.round("bm25", 8))
+    order = [F.col("bm25").desc(), F.col("id")]
+    rows = lambda df: sorted((r.query_id, r.rn, r.id, r.bm25) for r in df.collect())
+    assert rows(lexical.best(docs, stats, asked, 15, terms, epsilon=epsilon)) == rows(lexical.top(every, order, 15))
+    zeros = asked.select("query_id").crossJoin(corpus.select("id")).join(every, ["query_id", "id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    assert rows(lexical.best(docs, stats, asked, 15, terms, epsilon=epsilon, zeros=True)) == rows(lexical.top(zeros, order, 15))
+    assert lexical.best(docs, stats, asked.where("query_id > 99"), 15, terms).count() == lexical.best(docs.limit(0), stats, asked, 15, terms).count() == 0
+
+
+def test_rounding_is_sparks(spark):
+    rng = random.Random(5)
+    said = [x * 10.0**k for x in (rng.random() - 0.3 for _ in range(400)) for k in (0, 2)] + [1.000000005, -2.125000005, 0.5e-8, 12.345678905, 0.0]
+    got = spark.createDataFrame([(x,) for x in said], "x double").select(F.round("x", 8)).collect()
+    assert lexical.rounded(np.array(said)).tolist() == [r[0] for r in got]
+
+
+def test_scoring_shuffles_no_hits(spark):
+    corpus = spark.createDataFrame([(i, f"a b{i % 3}") for i in range(300)], "id long, text string")
+    docs, stats = lexical.documents(corpus), lexical.statistics(corpus)
+    asked = spark.createDataFrame([(q, "a b1") for q in range(4)], "query_id long, query string")
+    found = lexical.best(docs, stats, asked, 2, lexical.vocabulary(lexical.postings_of(docs), stats))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") <= 1 and found.count() == 8
+
+
 POOL = "query_id int, rank int, id string, text string, modality string, doc_id string, van_ban string, dieu string, khoan string, diem string, ancestor_dieu_id string, bm25 double, distance double, score_rrf double, effective_date string"
 
 
