@@ -1,4 +1,5 @@
 import random
+import time
 import unicodedata
 
 import pytest
@@ -188,3 +189,22 @@ def test_a_spanning_table_in_markdown(spark):
     html = "<table><tr><th rowspan=2>Lỗi</th><th colspan=2>Mức phạt</th></tr><tr><th>từ</th><th>đến</th></tr><tr><td>một</td><td>5</td><td>10</td></tr></table>"
     got = spark.range(1).select(tables.html_to_markdown(F.lit(html)).alias("m")).first().m
     assert got == "| Lỗi | Mức phạt |  |\n| --- | --- | --- |\n|  | từ | đến |\n| một | 5 | 10 |"
+
+
+def test_long_tables_in_blocks(spark):
+    n = 3 * tables.BLOCK + 7
+    cell = lambda k: f"<td rowspan='{5 if k % 5 == 0 else 1}'>{k}</td>" if k % 5 == 0 else ""
+    html = "<table>" + "".join(f"<tr>{cell(k)}<td>r{k}</td></tr>" for k in range(n)) + "</table>"
+    got = spark.createDataFrame([(html,), ("<table></table>",)], "h string").select(tables.cells(F.col("h"), repeat=True).alias("c")).collect()
+    assert got[0].c == [[str(k - k % 5), f"r{k}"] for k in range(n)] and got[1].c == []
+
+
+def test_a_table_takes_time_in_proportion_to_its_rows(spark):
+    def seconds(n):
+        html = "<table>" + "".join(f"<tr><td>{k}</td><td>b</td></tr>" for k in range(n)) + "</table>"
+        rows, start = spark.createDataFrame([(html,)], "h string"), time.monotonic()
+        assert rows.select(tables.html_to_markdown(F.col("h")).alias("m")).first().m.count("\n") == n
+        return time.monotonic() - start
+
+    seconds(200)
+    assert seconds(16_000) < 10  # over 100 million looks at a row's width before
