@@ -2,8 +2,8 @@
 
 A text is cut into pieces by PATTERN. A piece starts as its bytes; of all neighbours that together are a token, those
 with the lowest rank, the leftmost first, are merged, until none are left. `token_table` does this for each distinct piece of a
-table, and texts are joined with it: nothing is encoded twice, and no library is called. What packs sentences inside a task uses the
-same merges through `Merges`, which remembers recent pieces.
+table, and what is truncated is joined with it; what counts, or packs sentences inside a task, uses the same merges through `Merges`,
+which remembers recent pieces. No library is called.
 
 Defined cases: null and empty texts have no tokens of their own, and count as one like everywhere; bytes that are no token by
 themselves count as one; a text is cut where whole characters end. The vocabulary is held whole, and has LARGEST tokens at most.
@@ -15,6 +15,7 @@ import base64
 import functools
 import heapq
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexquarry.ship import ship
-from lexquarry.sources.vocabularies import Load
+from lexquarry.sources.vocabularies import Load, once
 
 # Fixed value: how texts are cut before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -105,13 +106,19 @@ def token_table(words: DataFrame, held: Broadcast) -> DataFrame:
 
 
 def counted(docs: DataFrame, held: Broadcast, text: str = "text") -> DataFrame:
-    """docs with n_tokens, at least 1. Equal texts are counted once; their pieces are summed up before they are dealt."""
-    rows = docs.withColumn("_text", F.sha1(F.coalesce(text, F.lit(""))))
-    texts = rows.select("_text", F.col(text).alias("_t")).where("_t <> ''").dropDuplicates(["_text"])
-    own = texts.select("_text", F.explode(pieces(F.col("_t"))).alias("piece")).groupBy("_text", "piece").agg(F.count(F.lit(1)).alias("n"))
-    table = token_table(own.select("piece").distinct(), held)
-    sums = own.join(table, "piece").groupBy("_text").agg(F.sum(F.col("n") * F.size("ends")).alias("n_tokens"))
-    return rows.join(sums, "_text", "left").withColumn("n_tokens", F.greatest(F.coalesce("n_tokens", F.lit(1)), F.lit(1)).cast("long")).drop("_text")
+    """docs with n_tokens, at least 1. A worker merges a piece once as long as it remembers it; nothing is dealt anew."""
+    ship(docs.sparkSession)
+    counter = once(functools.partial(Merges, held))
+
+    @functools.partial(F.arrow_udf, returnType="long")
+    def run(column: pa.Array) -> pa.Array:
+        flat = column.flatten().dictionary_encode()
+        sizes = np.array([len(counter().of_piece(p)) for p in flat.dictionary.to_pylist()], np.int64)
+        upto = np.concatenate([[0], np.cumsum(sizes[flat.indices.to_numpy()])]) if len(flat) else np.zeros(1, np.int64)
+        ends = np.cumsum(column.value_lengths().to_numpy())
+        return pa.array(np.maximum(np.diff(upto[ends], prepend=0), 1))
+
+    return docs.withColumn("n_tokens", run(pieces(F.col(text))))
 
 
 def truncated(docs: DataFrame, held: Broadcast, n: int, text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.functions import text
 from lexquarry.operators import chunks, dense, fusion, incremental, lexical, merges, ranking, sections
-from lexquarry.sources import vocabularies
+from lexquarry.sources import providers, vocabularies
 
 ELEMENTS = "source_sha1 string, doc_id string, ord long, element_type string, text string, page_number int"
 WORDS = {"chuong": "Chương II", "dieu": "Điều {}", "khoan": "Khoản {}", "diem": "Điểm {}", "body": "nội dung {}"}
@@ -443,3 +443,28 @@ def test_table_modes_header_and_length(spark):
 
 def test_distinct_in_order(spark):
     assert spark.createDataFrame([(["b", "", "a", None, "b"],)], "x array<string>").select(text.distinct_in_order(F.col("x")).alias("y")).first().y == ["b", "a"]
+
+
+def test_texts_with_words_have_vectors_of_length_one(spark):
+    embedder, seen, pair = providers.HashEmbedder(), {}, None
+    for word in (f"w{k}" for k in itertools.count()):
+        own = tuple(embedder.embed([word])[0])
+        if tuple(-x for x in own) in seen:
+            pair = f"{seen[tuple(-x for x in own)]} {word}"
+            break
+        seen[own] = word
+    blank = " " * (2 * providers.TEXT_TOKENS + 1)  # a part without words, and parts that cancel out
+    texts = [pair, pair + " " + pair, " ", "word" + blank + "tail", *(w + blank[len(w) :] + v for w, v in [pair.split()]), blank, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    norm = F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 3)
+    got = [r[0] for r in providers.embedded(docs, embedder, "doc_id").orderBy("doc_id").select(norm).collect()]
+    assert got == [1.0] * 5 + [0.0] * 3
+
+
+def test_tokens_are_counted_where_the_text_is_read(spark):
+    ranks = {bytes([b]): b for b in range(97, 123)} | {b" ": 5, b"ab": 300, b"abc": 301, b" a": 302}
+    held = spark.sparkContext.broadcast(ranks)
+    texts = ["abc abc", "ab" * 50, "", None, "x " * 30, "é"]
+    got = merges.counted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), held)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.n_tokens for r in got.orderBy("doc_id").collect()] == [merges.Merges(ranks).count(t or "") for t in texts]
