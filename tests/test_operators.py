@@ -468,3 +468,20 @@ def test_tokens_are_counted_where_the_text_is_read(spark):
     got = merges.counted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), held)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert [r.n_tokens for r in got.orderBy("doc_id").collect()] == [merges.Merges(ranks).count(t or "") for t in texts]
+
+
+def test_strip_takes_what_patterns_call_white_space(spark):
+    codes = spark.range(1, 0x3100).where("id NOT BETWEEN 55296 AND 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    said = codes.select(F.concat("c", F.lit("a"), "c", F.lit(" b"), "c", F.lit("\n")).alias("t"))
+    assert said.where(~text.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+    assert said.where(~text.collapse(F.col("t")).eqNullSafe(F.regexp_replace(F.regexp_replace("t", r"(?U)\s+", " "), "^ | $", ""))).count() == 0
+
+
+def _executed(table, node):
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    return sum(line.lstrip(" :+-*()0123456789").startswith(node) for line in plan.splitlines())
+
+
+def test_sections_sort_their_rows_once(spark):
+    rows = [("s", "d", i, "Text", t, 1) for i, t in enumerate(["Điều 1. a", "Khoản 2 b", "Điểm a c", "Chương II x", "d"])]
+    assert _executed(sections.sectioned(spark.createDataFrame(rows, ELEMENTS)), "Sort ") == 1
