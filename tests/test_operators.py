@@ -485,3 +485,9 @@ def _executed(table, node):
 def test_sections_sort_their_rows_once(spark):
     rows = [("s", "d", i, "Text", t, 1) for i, t in enumerate(["Điều 1. a", "Khoản 2 b", "Điểm a c", "Chương II x", "d"])]
     assert _executed(sections.sectioned(spark.createDataFrame(rows, ELEMENTS)), "Sort ") == 1
+
+
+def test_chunks_make_sections_once(spark):
+    rows = [("s", "d", i, "Text", f"nội dung {i}", 1) for i in range(3)]
+    made = chunks.chunked(sections.sections(sections.sectioned(sections.nearby_captions(spark.createDataFrame(rows, ELEMENTS)))))
+    assert _executed(made, "Window ") == 0 and made.count() == 2
