@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexquarry.functions.tables import once
 from lexquarry.functions.text import filled, page_number
 
 
@@ -12,8 +13,9 @@ def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
     """lines with `row` (variant): blank lines are dropped, malformed ones have none."""
     # inside brackets, since the parser ignores what follows a value
     inside = F.try_parse_json(F.concat(F.lit("["), F.col(value), F.lit("]")))
-    one = F.try_variant_get(inside, "$[1]", "variant").isNull()
-    return lines.where(F.trim(F.col(value)) != "").withColumn("row", F.when(one, F.try_variant_get(inside, "$[0]", "variant")))
+    one = once(inside, lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant")))
+    # exploded, as conditions on a plain column would move below it and parse the line again for each of its uses
+    return lines.where(F.trim(F.col(value)) != "").select("*", F.explode(F.array(one)).alias("row"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +67,7 @@ def elements(rows: DataFrame, row: str = "row", order: str | None = None) -> Dat
     either = lambda a, b: F.when(flat, a).otherwise(b)
     first = lambda *c: F.coalesce(*(filled(x) for x in c))
     meta = lambda f: F.coalesce(at(r, f"$.metadata.{f}"), at(r, f"$.element.metadata.{f}"))
-    top = F.array_contains(F.map_keys(F.from_json(F.to_json(r), "map<string,string>")), "page_number")
+    top = at(r, "$.page_number", "variant").isNotNull()  # a null of JSON is a value
     page = F.when(top, at(r, "$.page_number")).otherwise(F.coalesce(meta("page_number"), meta("slide_number")))
     out = rows.select(
         *([F.col(order).alias("ord")] if order else []),

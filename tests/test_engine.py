@@ -171,6 +171,15 @@ def test_json_lines(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
 
+def test_json_lines_are_parsed_once(spark, tmp_path):
+    path = tmp_path / "e.jsonl"
+    path.write_text(json.dumps({"type": "Text", "text": "y", "source_sha1": "s"}) + "\n[1]\n2\nnull\n")
+    made = jsonl.elements(jsonl.ordered(spark, str(path)), order="ord")
+    assert made._jdf.queryExecution().executedPlan().toString().count("parseJson") == 1
+    assert [(r.text, r.page_number) for r in made.collect()] == [("y", None)]
+    assert jsonl.malformed(spark.read.text(str(path))).first().asDict() == {"n_lines": 4, "n_bad": 0}
+
+
 def test_store_versions_and_lookups(spark, tmp_path):
     store = Store(spark, str(tmp_path / "t"))
     assert store.read() is None and store.upsert(spark.createDataFrame([(1, "a"), (2, None)], "id long, v string")) == 1
