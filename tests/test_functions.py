@@ -208,3 +208,24 @@ def test_a_table_takes_time_in_proportion_to_its_rows(spark):
 
     seconds(200)
     assert seconds(16_000) < 10  # over 100 million looks at a row's width before
+
+
+def test_cells_that_span_rows_alone(spark):
+    def placed(rows):
+        out, held = [], []
+        for row in rows:
+            line = [left if left > 0 else None for left in held]
+            said = ["" if left else None for left in line]
+            for i, n in enumerate(row):
+                at = line.index(None) if None in line else len(line)
+                line[at : at + 1], said[at : at + 1] = [n], [f"c{i}"]
+            width = max((k + 1 for k, x in enumerate(line) if x is not None), default=0)
+            out += [[x or "" for x in said[:width]]] if row else []
+            held = [(left or 1) - 1 for left in line]
+        return out
+
+    rng = random.Random(5)
+    made = [[[rng.choice([1, 1, 2, 3]) for _ in range(rng.randint(0, 4))] for _ in range(rng.randint(1, 7))] for _ in range(300)]
+    html = ["<table>" + "".join("<tr>" + "".join(f"<td rowspan={n}>c{i}</td>" if n > 1 else f"<td>c{i}</{rng.choice(['td', 'TD', 'th', 'td '])}>" for i, n in enumerate(row)) + "</tr>" for row in rows) + "</table>" for rows in made]
+    got = spark.createDataFrame(list(enumerate(html)), "i int, html string").select("i", tables.cells(F.col("html")).alias("c")).collect()
+    assert [r.c for r in sorted(got)] == [placed(rows) for rows in made]
