@@ -27,11 +27,12 @@ def ivf_knn_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def ivf_report(spark: SparkSession, d: str) -> DataFrame:
     """Whether every vector is in a cell, and whether the same queries find nine in ten of their true nearest."""
-    at, asked = _cells(spark, d), V.asked_vectors(spark, d)
-    truth = dense.nearest(asked, V.vectors(spark, d), K, 64).select("query_id", "id")
+    at, asked, rows = _cells(spark, d), V.asked_vectors(spark, d).where("vector IS NOT NULL"), V.vectors(spark, d).where("embedding IS NOT NULL")
+    truth = dense.nearest(asked, rows, K, at.centers.shape[1]).select("query_id", "id")
     hits = truth.join(cells.search(asked, at, K).select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
-    share = hits.agg(F.count_distinct("query_id").alias("n_queries"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("good"))
-    n = V.vectors(spark, d).agg(F.count(F.lit(1)).alias("n_vectors"))
+    found = F.coalesce(F.sum(F.coalesce("hit", F.lit(0))), F.lit(0))  # where nothing is asked, nothing is missed
+    share = hits.agg(F.count_distinct("query_id").alias("n_queries"), (found >= 0.9 * F.count(F.lit(1))).alias("good"))
+    n = rows.agg(F.count(F.lit(1)).alias("n_vectors"))
     held = at.vectors.agg(F.count(F.lit(1)).alias("n_indexed"))
     return n.join(F.broadcast(held), how="cross").join(F.broadcast(share), how="cross")  # one row each
 

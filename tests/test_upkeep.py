@@ -160,6 +160,26 @@ def test_recall_on_the_given_vectors(spark, sf):
     assert row.good and row.n_indexed == row.n_vectors
 
 
+def test_recall_is_not_measured_by_what_the_centers_started_from(spark):
+    given = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(np.random.default_rng(5).normal(size=(4000, 8)))], "id long, embedding array<float>")
+    centers = cells.fitted(given, cells=200, steps=0)
+    held = cells.placed(given, centers).cache()
+    at = cells.Cells(centers, held, cells.enough(held, centers, 3, 0.97))
+    asked = given.where("id % 20 = 0").selectExpr("id AS query_id", "embedding AS vector")
+    rows = lambda df: {(r.query_id, r.id) for r in df.collect()}
+    exact = rows(dense.nearest(asked, given, 3, 8))
+    assert len(rows(cells.search(asked, at, 3)) & exact) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("n, nulls", [(45, (3, 20)), (15, (0,)), (0, ())])
+def test_report_counts_no_null_vectors(spark, tmp_path, n, nulls):
+    rows = [(i, None if i in nulls else [float(i), 1.0]) for i in range(n)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    row = indexes.ivf_report(spark, str(tmp_path)).first()
+    held, asked = n - len(nulls), len([i for i in range(0, n, 20) if i not in nulls])
+    assert (row.n_vectors, row.n_indexed, row.n_queries, row.good) == (held, held, asked, True)
+
+
 def test_equal_null_few_and_no_vectors(spark, tmp_path):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)] + [(900, None)], "id long, embedding array<float>")
     at = cells.build(same, str(tmp_path / "same"))
