@@ -111,6 +111,33 @@ def test_an_index_kept_up_equals_one_built_anew(spark, tmp_path):
         assert contents(now) == contents(pipeline.index(chunk_rows(spark, texts), str(tmp_path / f"anew{step}")))
 
 
+def test_a_first_build_writes_each_table_once_and_leaves_no_shuffle_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(stores._local, spark.sparkContext.applicationId, str(tmp_path / "scratch"))
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    shuffled = lambda: {p for p in local.rglob("shuffle_*.data")}
+    before = shuffled()
+    at = pipeline.index(chunk_rows(spark, {f"c{k}": f"w{k} w{k % 7} w{k % 11}" for k in range(500)}), str(tmp_path / "i"))
+    assert shuffled() <= before
+    assert not list((tmp_path / "scratch").rglob("*.parquet")) and at.chunks.count() == 500
+    assert all(len(list((tmp_path / "i" / name).glob("version=*"))) == 1 for name in pipeline.TABLES)
+
+
+def test_a_first_build_that_failed_is_done_again_whole(spark, tmp_path):
+    class Failing(providers.HashEmbedder):
+        def embed(self, texts):
+            raise RuntimeError("down")
+
+    texts = {"a": "phòng cháy", "b": "chữa cháy nhà", "c": "cháy rừng lớn"}
+    with pytest.raises(Exception, match="down"):
+        pipeline.index(chunk_rows(spark, texts), str(tmp_path / "i"), Failing())
+    texts.pop("c")
+    now = pipeline.index(chunk_rows(spark, texts), str(tmp_path / "i"))
+    assert contents(now) == contents(pipeline.index(chunk_rows(spark, texts), str(tmp_path / "anew")))
+    texts |= {"b": "nhà cao tầng", "d": "cửa sổ"}
+    now = pipeline.index(chunk_rows(spark, texts), str(tmp_path / "i"))
+    assert contents(now) == contents(pipeline.index(chunk_rows(spark, texts), str(tmp_path / "anew2")))
+
+
 def test_what_an_index_writes_grows_with_what_is_new(spark, tmp_path):
     rng, at = random.Random(5), tmp_path / "i"
     texts = {f"c{k}": " ".join(f"w{rng.randint(0, 3000)}" for _ in range(60)) for k in range(2000)}
